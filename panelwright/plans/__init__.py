@@ -6,6 +6,7 @@ from .registry import PLANS, Plan
 
 FAMILIES = [
     "indicators",
+    "flows",
 ]
 
 
