@@ -9,7 +9,7 @@ from ..functions.crosssection import CrossSection
 from ..functions.exprs import DATE, SYMBOL, div, mean_of, symbol_window, trailing
 from ..functions.timeseries import ret, streak
 
-W = symbol_window()
+W = symbol_window
 
 
 def last_date(df: DataFrame, date: str = DATE) -> DataFrame:
@@ -34,7 +34,7 @@ def whale_share(holding: DataFrame, bound: int = 400_000) -> DataFrame:
     """Percent held in large brackets and its change against the previous date."""
     big = F.sum(F.when(level_lower_bound("level") >= bound, F.col("percent")).otherwise(0.0))
     d = holding.groupBy(SYMBOL, DATE).agg(big.alias("whale_percent"))
-    return d.withColumn("whale_change", F.col("whale_percent") - F.lag("whale_percent").over(W))
+    return d.withColumn("whale_change", F.col("whale_percent") - F.lag("whale_percent").over(W()))
 
 
 def daily_hhi(brokers: DataFrame) -> DataFrame:
@@ -86,7 +86,7 @@ def persistence(flows: DataFrame, calendar: DataFrame, n: int = 10) -> DataFrame
 
 def flow_slope(flows: DataFrame, n: int = 10) -> DataFrame:
     """Least-squares slope of net over the last n rows, per mean absolute net."""
-    d = flows.withColumn("_i", F.row_number().over(W).cast("double"))
+    d = flows.withColumn("_i", F.row_number().over(W()).cast("double"))
     w = trailing(n)
     slope = F.covar_pop("_i", "total_net").over(w) / F.when(F.var_pop("_i").over(w) > 0, F.var_pop("_i").over(w))
     scale = F.avg(F.abs("total_net")).over(w)
@@ -308,7 +308,7 @@ def earnings_quality(st: DataFrame) -> DataFrame:
     """Cash backing, growth consistency and leverage, averaged."""
     c = F.col
     cash = div("operating_cf", "net_income")
-    pr_, pn = F.lag("revenue").over(W), F.lag("net_income").over(W)
+    pr_, pn = F.lag("revenue").over(W()), F.lag("net_income").over(W())
     rg = (c("revenue") - pr_) / F.when(pr_ != 0, F.abs(pr_))
     ng = (c("net_income") - pn) / F.when(pn != 0, F.abs(pn))
     a = F.when(cash > 1, 1.0).when(cash > 0.5, 0.6).when(cash.isNotNull(), 0.2).otherwise(0.5)
@@ -341,9 +341,9 @@ def peer_ranking(st: DataFrame, info: DataFrame, xs: CrossSection, bonus: float
 
 def revenue_acceleration(rev: DataFrame, run: int = 3) -> DataFrame:
     """Streak of rising growth plus three-row acceleration -> score."""
-    d = rev.withColumns({"_p": F.lag("yoy_growth").over(W), "_q": F.lag("yoy_growth", 3).over(W)})
+    d = rev.withColumns({"_p": F.lag("yoy_growth").over(W()), "_q": F.lag("yoy_growth", 3).over(W())})
     d = d.where(F.col("yoy_growth").isNotNull())
-    d = d.withColumn("_p", F.lag("yoy_growth").over(W))
+    d = d.withColumn("_p", F.lag("yoy_growth").over(W()))
     d = streak(d, F.col("yoy_growth") > F.col("_p"), "consecutive_accel_months")
     acc, n = F.col("yoy_growth") - F.col("_q"), F.col("consecutive_accel_months")
     s = F.when((acc > 10) & (n >= run), 0.9).when(n >= run, 0.75).when(acc > 0, 0.6).when(acc <= 0, 0.3).otherwise(0.5)
@@ -428,7 +428,7 @@ def concept_mean(values: DataFrame, members: DataFrame, value: str, out: str) ->
 
 def volume_spike(bars: DataFrame, rows: int = 10, factor: float = 2.0) -> DataFrame:
     """Latest volume at least ``factor`` times the mean of the rows before."""
-    avg = F.avg("volume").over(W.rowsBetween(-rows, -1))
+    avg = F.avg("volume").over(W().rowsBetween(-rows, -1))
     d = last_rows(bars.select(SYMBOL, DATE, F.col("volume").alias("today_vol"), avg.alias("avg_vol")))
     d = d.withColumn("vol_ratio", div("today_vol", "avg_vol"))
     return d.where(F.col("vol_ratio") >= factor)
@@ -442,7 +442,7 @@ def investor_buy(flow_long: DataFrame, threshold: float) -> DataFrame:
 
 def lending_spike(lending: DataFrame, rows: int = 10, sigma: float = 2.0) -> DataFrame:
     """Latest lending change beyond ``sigma`` deviations of the rows before."""
-    h = W.rowsBetween(-rows, -1)
+    h = W().rowsBetween(-rows, -1)
     d = lending.select(
         SYMBOL,
         DATE,
@@ -464,7 +464,7 @@ def broker_concentration(brokers: DataFrame, threshold: float = 0.4) -> DataFram
 def revenue_scan(rev: DataFrame, st: DataFrame, xs: CrossSection, min_yoy: float, min_margin: float) -> DataFrame:
     """Latest growth with the change of gross margin, ranked 0.7 / 0.3."""
     r = last_rows(rev)
-    m = st.withColumn("margin_change", F.col("gross_margin") - F.lag("gross_margin").over(W))
+    m = st.withColumn("margin_change", F.col("gross_margin") - F.lag("gross_margin").over(W()))
     m = last_rows(m).select(SYMBOL, "gross_margin", "margin_change")
     d = r.join(m, SYMBOL, "left")
     d = d.where((F.col("yoy_growth") >= min_yoy) & (F.col("margin_change").isNull() | (F.col("margin_change") >= min_margin)))
@@ -475,7 +475,7 @@ def revenue_scan(rev: DataFrame, st: DataFrame, xs: CrossSection, min_yoy: float
 
 def market_breadth(bars: DataFrame) -> DataFrame:
     """Rising, falling and flat names and total volume per date."""
-    d = bars.withColumn("_s", F.col("close") - F.lag("close").over(W))
+    d = bars.withColumn("_s", F.col("close") - F.lag("close").over(W()))
     return d.groupBy(DATE).agg(
         F.count_if(F.col("_s") > 0).alias("rising"),
         F.count_if(F.col("_s") < 0).alias("falling"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import DATE, SYMBOL, corr, div, symbol_window, trailing
 from ..functions.timeseries import ret, rolling, smooth
 
-W = symbol_window()
+W = symbol_window
 
 
 def feature_columns(bars: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def rsi(df: DataFrame, out: str = "rsi_14", n: int = 14, *, price: str = "close"
     ``seeded`` starts from the mean of the first n moves (Wilder); otherwise the first row
     contributes a zero move and values appear from row n on.
     """
-    d = F.col(price) - F.lag(price).over(W)
+    d = F.col(price) - F.lag(price).over(W())
     zero = F.lit(None).cast("double") if seeded else F.lit(0.0)
     df = df.withColumns(
         {
@@ -53,7 +53,7 @@ def rsi(df: DataFrame, out: str = "rsi_14", n: int = 14, *, price: str = "close"
     full = F.lit(100.0) if seeded else F.when(ag > 0, 100.0).otherwise(50.0)
     value = F.when(al < 1e-10, full).otherwise(100.0 - 100.0 / (1.0 + ag / F.when(al >= 1e-10, al)))
     if not seeded:
-        value = F.when(F.row_number().over(W) >= n, value)
+        value = F.when(F.row_number().over(W()) >= n, value)
     return df.withColumn(out, F.when(ag.isNotNull(), value)).drop("_g", "_l", "_ag", "_al")
 
 
@@ -72,7 +72,7 @@ def macd(
     df = smooth(df, {"_f": (value, a(fast)), "_s": (value, a(slow))})
     line = F.col("_f") - F.col("_s")
     if warmup:
-        line = F.when(F.row_number().over(W) >= slow, line)
+        line = F.when(F.row_number().over(W()) >= slow, line)
     df = df.withColumn(prefix, line).drop("_f", "_s")
     df = smooth(df, {f"{prefix}_signal": (prefix, a(signal))})
     if warmup:
@@ -91,7 +91,7 @@ def bollinger(df: DataFrame, n: int = 20, k: float = 2.0) -> DataFrame:
 
 def true_range(first_row: bool = True) -> Column:
     """Largest of bar range and distance to the previous close."""
-    p = F.lag("close").over(W)
+    p = F.lag("close").over(W())
     h, lo = F.col("high"), F.col("low")
     gap = F.greatest(h - lo, F.abs(h - p), F.abs(lo - p))
     return F.when(p.isNull(), h - lo if first_row else None).otherwise(gap)
@@ -99,8 +99,8 @@ def true_range(first_row: bool = True) -> Column:
 
 def adx(df: DataFrame, n: int = 14) -> DataFrame:
     """Average directional index, with both directional lines (Wilder seeding twice)."""
-    up = F.col("high") - F.lag("high").over(W)
-    dn = F.lag("low").over(W) - F.col("low")
+    up = F.col("high") - F.lag("high").over(W())
+    dn = F.lag("low").over(W()) - F.col("low")
     df = df.withColumns(
         {
             "_tr": true_range(first_row=False),
@@ -152,7 +152,7 @@ def weekly(daily: DataFrame, min_weeks: int = 3) -> DataFrame:
 
 def rsi_latest(bars: DataFrame) -> DataFrame:
     """E5: RSI of every row, 50 below 15 rows of history."""
-    df = rsi(bars).withColumn("_k", F.row_number().over(W))
+    df = rsi(bars).withColumn("_k", F.row_number().over(W()))
     return df.withColumn("rsi", F.when(F.col("_k") < 15, 50.0).otherwise(F.col("rsi_14"))).drop("_k")
 
 
@@ -166,7 +166,7 @@ def decayed_flow(flows: DataFrame, n: int = 10, decay: float = 0.85) -> DataFram
     """Sum of net * decay^age over the last n dates of each symbol."""
     s = None
     for i in range(n):
-        term = F.coalesce(F.lag("total_net", i).over(W), F.lit(0.0)) * decay**i
+        term = F.coalesce(F.lag("total_net", i).over(W()), F.lit(0.0)) * decay**i
         s = term if s is None else s + term
     return flows.withColumn("inst_flow_weighted", s)
 
@@ -176,9 +176,9 @@ def flow_macd(flows: DataFrame, fast: int = 5, slow: int = 20, signal: int = 5)
     df = macd(flows, fast, slow, signal, value="total_net", prefix="cm", warmup=False)
     eps = 1e-6
     m, h = F.col("cm"), F.col("cm_hist")
-    rising = h > F.coalesce(F.lag("cm_hist").over(W), F.lit(0.0)) + eps
+    rising = h > F.coalesce(F.lag("cm_hist").over(W()), F.lit(0.0)) + eps
     score = (
-        F.when(F.row_number().over(W) < slow, 0.5)
+        F.when(F.row_number().over(W()) < slow, 0.5)
         .when((m > eps) & (h > eps) & rising, 1.0)
         .when((m > eps) & (h > eps), 0.7)
         .when(m >= -eps, 0.5)
@@ -192,9 +192,9 @@ def revenue_pivot(revenue: DataFrame) -> DataFrame:
     """Growth of this, the previous and the third-last row side by side."""
     return revenue.withColumns(
         {
-            "prev_yoy": F.lag("yoy_growth", 1).over(W),
-            "prev_mom": F.lag("mom_growth", 1).over(W),
-            "yoy_3m_ago": F.lag("yoy_growth", 3).over(W),
+            "prev_yoy": F.lag("yoy_growth", 1).over(W()),
+            "prev_mom": F.lag("mom_growth", 1).over(W()),
+            "yoy_3m_ago": F.lag("yoy_growth", 3).over(W()),
         }
     )
 
@@ -204,7 +204,7 @@ def volume_price_divergence(bars: DataFrame, n: int = 5) -> DataFrame:
     df = bars.withColumns({"_dc": ret("close", 1), "_dv": ret("volume", 1)})
     w = trailing(n)
     flat = (F.stddev_samp("_dc").over(w) == 0) | (F.stddev_samp("_dv").over(w) == 0)
-    df = df.withColumns({"_k": F.row_number().over(W), "_flat": flat})
+    df = df.withColumns({"_k": F.row_number().over(W()), "_flat": flat})
     df = df.withColumn("_corr", F.when((F.col("_k") >= n + 2) & ~F.col("_flat"), corr("_dc", "_dv", w)))
     c = F.round("_corr", 12)
     adj = F.when(c < -0.3, -0.05).when(c < 0, -0.02).when(c >= 0.3, 0.02).otherwise(0.0)
@@ -216,13 +216,13 @@ def momentum_decay(bars: DataFrame, look: int = 5) -> DataFrame:
     df = macd(rsi(bars, "_rsi", seeded=True), prefix="_m", warmup=False)
     df = df.withColumns(
         {
-            "_k": F.row_number().over(W),
-            "_h1": F.max("high").over(W.rowsBetween(-(look - 1), 0)),
-            "_h0": F.max("high").over(W.rowsBetween(-(2 * look - 1), -look)),
-            "_r1": F.max("_rsi").over(W.rowsBetween(-look, 0)),
-            "_r0": F.max("_rsi").over(W.rowsBetween(-2 * look, -(look + 1))),
-            "_p1": F.lag("_m_hist", 1).over(W),
-            "_p2": F.lag("_m_hist", 2).over(W),
+            "_k": F.row_number().over(W()),
+            "_h1": F.max("high").over(W().rowsBetween(-(look - 1), 0)),
+            "_h0": F.max("high").over(W().rowsBetween(-(2 * look - 1), -look)),
+            "_r1": F.max("_rsi").over(W().rowsBetween(-look, 0)),
+            "_r0": F.max("_rsi").over(W().rowsBetween(-2 * look, -(look + 1))),
+            "_p1": F.lag("_m_hist", 1).over(W()),
+            "_p2": F.lag("_m_hist", 2).over(W()),
         }
     )
     diverging = F.coalesce((F.col("_h1") > F.col("_h0")) & (F.col("_r1") < F.col("_r0")), F.lit(False))
@@ -236,9 +236,9 @@ def momentum_decay(bars: DataFrame, look: int = 5) -> DataFrame:
 
 def flow_acceleration(flows: DataFrame, n: int = 10, recent: int = 3) -> DataFrame:
     """Mean of the last rows against the rows before them, as a bonus."""
-    a = F.avg("total_net").over(W.rowsBetween(-(recent - 1), 0))
-    b = F.avg("total_net").over(W.rowsBetween(-(n - 1), -recent))
-    df = flows.withColumns({"_a": a, "_b": b, "_k": F.row_number().over(W)})
+    a = F.avg("total_net").over(W().rowsBetween(-(recent - 1), 0))
+    b = F.avg("total_net").over(W().rowsBetween(-(n - 1), -recent))
+    df = flows.withColumns({"_a": a, "_b": b, "_k": F.row_number().over(W())})
     ratio = F.when(F.col("_b") <= 0, 1.0).otherwise(F.col("_a") / F.when(F.col("_b") > 0, F.col("_b")) - 1)
     bonus = (
         F.when((F.col("_k") < n) | (F.col("_a") <= 0), 0.0).when(ratio > 0.5, 0.04).when(ratio > 0, 0.02).otherwise(0.0)
@@ -296,15 +296,15 @@ def drawdown_from_high(series: DataFrame, n: int = 20, *, key=SYMBOL, out: str =
 
 def breakout_bonus(bars: DataFrame) -> DataFrame:
     """Cross above the 60-row mean after five rows below it, or a box breakout."""
-    below = F.max("close").over(W.rowsBetween(-6, -2))
+    below = F.max("close").over(W().rowsBetween(-6, -2))
     df = bars.withColumns(
         {
-            "_k": F.row_number().over(W),
+            "_k": F.row_number().over(W()),
             "_m60": F.avg("close").over(trailing(60)),
             "_below": below,
-            "_v20": F.avg("volume").over(W.rowsBetween(-20, -1)),
-            "_hi": F.max("high").over(W.rowsBetween(-20, -1)),
-            "_lo": F.min("low").over(W.rowsBetween(-20, -1)),
+            "_v20": F.avg("volume").over(W().rowsBetween(-20, -1)),
+            "_hi": F.max("high").over(W().rowsBetween(-20, -1)),
+            "_lo": F.min("low").over(W().rowsBetween(-20, -1)),
             "_tr": true_range(first_row=False),
         }
     )
@@ -320,7 +320,7 @@ def breakout_bonus(bars: DataFrame) -> DataFrame:
 
 def _cross(diff: Column) -> Column:
     """+1 when ``diff`` turns positive, -1 when it turns negative."""
-    p = F.lag(diff).over(W)
+    p = F.lag(diff).over(W())
     return F.when((p <= 0) & (diff > 0), 1).when((p >= 0) & (diff < 0), -1).otherwise(0).cast("long")
 
 
@@ -331,16 +331,16 @@ def signal_sma_cross(bars: DataFrame, fast: int = 10, slow: int = 20) -> DataFra
 
 def signal_rsi(df: DataFrame, low: float = 30, high: float = 70) -> DataFrame:
     """Up through ``low`` buys, down through ``high`` sells (needs rsi_14)."""
-    x, p = F.col("rsi_14"), F.lag("rsi_14").over(W)
+    x, p = F.col("rsi_14"), F.lag("rsi_14").over(W())
     sig = F.when((p <= low) & (x > low), 1).when((p >= high) & (x < high), -1).otherwise(0)
     return df.withColumn("signal", sig.cast("long"))
 
 
 def signal_bands(df: DataFrame) -> DataFrame:
     """Back inside the lower band buys, back inside the upper band sells."""
-    c, p = F.col("close"), F.lag("close").over(W)
-    lo, plo = F.col("bb_lower"), F.lag("bb_lower").over(W)
-    hi, phi = F.col("bb_upper"), F.lag("bb_upper").over(W)
+    c, p = F.col("close"), F.lag("close").over(W())
+    lo, plo = F.col("bb_lower"), F.lag("bb_lower").over(W())
+    hi, phi = F.col("bb_upper"), F.lag("bb_upper").over(W())
     sig = F.when((p <= plo) & (c > lo), 1).when((p >= phi) & (c < hi), -1).otherwise(0)
     return df.withColumn("signal", sig.cast("long"))
 
@@ -350,8 +350,8 @@ def signal_macd(df: DataFrame) -> DataFrame:
 
 
 def signal_buy_hold(bars: DataFrame) -> DataFrame:
-    first = F.lag("close").over(W).isNull()
-    last = F.lead("close").over(W).isNull()
+    first = F.lag("close").over(W()).isNull()
+    last = F.lead("close").over(W()).isNull()
     return bars.withColumn("signal", F.when(first, 1).when(last, -1).otherwise(0).cast("long"))
 
 
@@ -376,11 +376,11 @@ def signal_votes(df: DataFrame, weights=None, buy: float = 0.3, sell: float = -0
 def back_adjust(bars: DataFrame, events: DataFrame) -> DataFrame:
     """Scale prices before each ex-date; events (symbol, date, cash, stock) hit bar dates."""
     df = bars.join(events, [SYMBOL, DATE], "left")
-    prev = F.lag("close").over(W)
+    prev = F.lag("close").over(W())
     f = (prev - F.coalesce(F.col("cash"), F.lit(0.0))) / F.when(prev > 0, prev)
     f = f / (1 + F.coalesce(F.col("stock"), F.lit(0.0)) / 10)
     df = df.withColumn("_f", F.when((F.col("cash").isNotNull() | F.col("stock").isNotNull()) & (f > 0) & (f < 1.5), f).otherwise(1.0))
-    later = W.rowsBetween(1, Window.unboundedFollowing)
+    later = W().rowsBetween(1, Window.unboundedFollowing)
     df = df.withColumn("adj_factor", F.coalesce(F.product("_f").over(later), F.lit(1.0)))
     raw = {f"raw_{c}": F.col(c) for c in ("open", "high", "low", "close")}
     df = df.withColumns(raw)
@@ -417,10 +417,10 @@ def study_features(bars: DataFrame, flows: DataFrame) -> DataFrame:
         {
             "flow_ratio": div(F.sum(F.coalesce("foreign_net", F.lit(0.0))).over(w5), F.sum("volume").over(w5)),
             "ret5": ret("close", 5),
-            "_e": F.lead("open", 1).over(W),
+            "_e": F.lead("open", 1).over(W()),
             "median_volume": F.percentile("volume", F.lit(0.5)).over(Window.partitionBy(SYMBOL)),
         }
     )
     for h in (5, 10, 20):
-        df = df.withColumn(f"fwd_{h}", F.lead("close", h).over(W) / F.col("_e") - 1)
+        df = df.withColumn(f"fwd_{h}", F.lead("close", h).over(W()) / F.col("_e") - 1)
     return df.drop("_e")

@@ -129,7 +129,7 @@ cte("ledger_p", """SELECT r.symbol, r.broker, coalesce(wins / nullif(sells, 0),
   FROM led_r r JOIN (SELECT symbol, broker, max(n) AS n, sum(buy - sell) FILTER (rn > n - 3) AS recent_net, sum(buy - sell) FILTER (rn <= n // 2) AS h1, sum(buy - sell) FILTER (rn > n // 2) AS h2,
       sum(buy) AS tbuy, sum(sell) AS tsell FROM led_in GROUP BY 1, 2) t ON t.symbol = r.symbol AND t.broker = r.broker AND r.rn = t.n""")
 SMART = "(win_rate >= 0.4 AND profit_factor >= 1.0 AND sell_events >= 3 AND total_buy_value >= 50000)"
-ACC = "(sell_ratio <= 0.5 AND net_position > 0 AND total_buy_value >= 50000 AND trend_up)"
+ACC = "(sell_ratio <= 0.1 AND net_position > 0 AND total_buy_value >= 50000 AND trend_up)"
 GAP = "CASE WHEN close > 0 AND avg_cost > 0 THEN (close - avg_cost) / avg_cost ELSE 0 END"
 
 
@@ -269,7 +269,7 @@ cte("news_p", f"""SELECT symbol, c AS news_catalyst_score, r AS news_risk_score,
     SELECT x.symbol, 1 AS g, round(c * m, 9) AS c, round(r * m, 9) AS r FROM (
       SELECT symbol, sum({WEIGHT}) FILTER (event_type IN ('earnings_call', 'investor_day', 'buyback', 'revenue') AND NOT risk) AS c, sum({WEIGHT}) FILTER (risk) AS r FROM (
         SELECT *, event_type IN ('governance_change', 'filing') OR sentiment = -1 AS risk, datediff('day', date, (SELECT max(date) FROM ann_p)) AS age FROM ann_p) WHERE age <= 15 GROUP BY 1) x
-      JOIN (SELECT symbol, CASE WHEN abnormal_z > 2 THEN least(1 + (abnormal_z - 2) * 0.15, 1.5) WHEN abnormal_z < -1 THEN greatest(1 + abnormal_z * 0.1, 0.7) ELSE 1 END AS m FROM abn_p) z ON z.symbol = x.symbol)))""")
+      JOIN (SELECT symbol, CASE WHEN abnormal_z > 2 THEN least(1 + (abnormal_z - 2) * 0.15, 1.5) WHEN abnormal_z < -1 THEN greatest(1 + abnormal_z * 0.1, 0.7) ELSE 1 END AS m FROM abn_p) z ON z.symbol = x.symbol))""")
 
 
 @plan("d17_news_scores", "SELECT * FROM news_p", "news_catalyst_score news_risk_score news_score")
@@ -414,7 +414,7 @@ def _(p):
     return op.market_breadth(p.closes())
 
 
-@plan("d33_market_breadth_stats", """SELECT n AS days, avg(rising) AS avg_rising, avg(falling) AS avg_falling, avg(flat) AS avg_flat FROM (SELECT *, row_number() OVER (ORDER BY date DESC) AS k FROM breadth_p)
+@plan("d33_market_breadth_stats", """SELECT n::BIGINT AS days, avg(rising) AS avg_rising, avg(falling) AS avg_falling, avg(flat) AS avg_flat FROM (SELECT *, row_number() OVER (ORDER BY date DESC) AS k FROM breadth_p)
   JOIN (VALUES (1), (5), (20)) t(n) ON k <= n GROUP BY 1""", "avg_rising avg_falling avg_flat")
 def _(p):
     w = Window.partitionBy(F.lit(0)).orderBy(F.desc("date"))  # one row per date
