@@ -7,6 +7,7 @@ from .registry import PLANS, Plan
 FAMILIES = [
     "indicators",
     "flows",
+    "scalars",
 ]
 
 
