@@ -8,6 +8,7 @@ FAMILIES = [
     "indicators",
     "flows",
     "scalars",
+    "quality",
 ]
 
 

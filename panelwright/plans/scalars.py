@@ -34,7 +34,7 @@ def _(p):
 
 
 @plan("h03_classify_concepts", """SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(lower(text), 'license|rights') THEN 'legal' END, CASE WHEN regexp_matches(lower(text), 'apache|token') THEN 'software' END,
-   CASE WHEN regexp_matches(lower(text), 'free') THEN 'free' END], x -> x IS NOT NULL), ',') AS concepts FROM documents""")
+   CASE WHEN regexp_matches(lower(text), 'free') THEN 'free' END], lambda x: x IS NOT NULL), ',') AS concepts FROM documents""")
 def _(p):
     return p.table("documents").select("doc_id", F.array_join(tx.classify_concepts("text", TAGS), ",").alias("concepts"))
 
