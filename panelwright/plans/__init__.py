@@ -9,6 +9,7 @@ FAMILIES = [
     "flows",
     "scalars",
     "quality",
+    "regime",
 ]
 
 

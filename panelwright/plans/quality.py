@@ -170,7 +170,7 @@ def _(p):
     return raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in ORDER_SCHEMA.fields if f.name in raw.columns])
 
 
-@plan("a03_validate_import", "SELECT 'o_currency' AS column_name, 'missing' AS problem, NULL::BIGINT AS n_rows UNION ALL SELECT 'o_orderdate', 'bad_date', count(*) FROM orders WHERE o_orderkey % 11 = 0")
+@plan("a03_validate_import", "SELECT 'o_currency' AS column_name, 'missing' AS problem, 0::BIGINT AS n_rows UNION ALL SELECT 'o_orderdate', 'bad_date', count(*) FROM orders WHERE o_orderkey % 11 = 0")
 def _(p):
     return tb.schema_errors(raw_orders(p), ORDER_SCHEMA)
 

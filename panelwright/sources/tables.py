@@ -37,11 +37,11 @@ def schema_errors(df: DataFrame, schema: T.StructType) -> DataFrame:
     missing = [f.name for f in schema.fields if not f.nullable and f.name not in df.columns]
     checks = [f.name for f in schema.fields if f.name in df.columns and isinstance(f.dataType, (T.DateType, T.TimestampNTZType, T.TimestampType))]
     bad = lambda c: F.count_if(F.col(c).isNotNull() & F.to_timestamp_ntz(F.try_to_timestamp(F.col(c).cast("string")).cast("string")).isNull())
-    rows = [F.struct(F.lit(c).alias("column_name"), F.lit("missing").alias("problem"), F.lit(None).cast("long").alias("n_rows")) for c in missing]
+    rows = [F.struct(F.lit(c).alias("column_name"), F.lit("missing").alias("problem"), F.lit(0).cast("long").alias("n_rows")) for c in missing]
     rows += [F.struct(F.lit(c).alias("column_name"), F.lit("bad_date").alias("problem"), bad(c).alias("n_rows")) for c in checks]
     if not rows:
         return df.sparkSession.createDataFrame([], "column_name string, problem string, n_rows long")
-    return df.agg(F.array(*rows).alias("_r")).select(F.explode("_r").alias("_e")).select("_e.*").where("n_rows is null or n_rows > 0")
+    return df.agg(F.array(*rows).alias("_r")).select(F.explode("_r").alias("_e")).select("_e.*").where("problem = 'missing' or n_rows > 0")
 
 
 def read_import(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
