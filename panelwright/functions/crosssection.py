@@ -132,6 +132,12 @@ class CrossSection:
             return df.withColumns({o: a.over(w) for o, a in aggs.items()})
         return df.join(df.groupBy(*by).agg(*[a.alias(o) for o, a in aggs.items()]), by, "left")
 
+    def with_spread(self, df: DataFrame, by, outs: dict[str, str]) -> DataFrame:
+        """Attach max - min of a column over the group: output -> column."""
+        pair = {f"_lo_{o}": F.min(c) for o, c in outs.items()} | {f"_hi_{o}": F.max(c) for o, c in outs.items()}
+        df = self.with_stats(df, by, pair)
+        return df.withColumns({o: F.col(f"_hi_{o}") - F.col(f"_lo_{o}") for o in outs}).drop(*pair)
+
     def top(self, df: DataFrame, by, order: list[Column], n, out: str = "rank") -> DataFrame:
         """Best n rows per group.  Spark limits every map-side partition to n rows before
         the exchange, so this needs no split form."""

@@ -10,6 +10,7 @@ FAMILIES = [
     "scalars",
     "quality",
     "regime",
+    "scoring",
 ]
 
 

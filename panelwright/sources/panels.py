@@ -146,6 +146,39 @@ class Panels:
             .agg(part("foreign"), part("trust"), part("dealer"), F.sum(net).alias("total_net"))
         )
 
+    def wide(self) -> DataFrame:
+        """Bars, investor nets and running margin balances in one aggregation pass."""
+        px = F.col("l_extendedprice") / F.col("l_quantity")
+        tie = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
+        q = F.col("l_quantity")
+        net = F.when(F.col("l_returnflag") == "R", -q).otherwise(q)
+        inv = lookup(F.col("o_orderpriority"), PRIORITY_TO_INVESTOR, "other")
+        part = lambda cond, v, name: F.coalesce(F.sum(F.when(cond, v)), F.lit(0.0)).alias(name)
+        d = (
+            self._lines_orders()
+            .groupBy("symbol", F.col("week").alias("date"))
+            .agg(
+                F.min_by(px, tie).alias("open"),
+                F.max(px).alias("high"),
+                F.min(px).alias("low"),
+                F.max_by(px, tie).alias("close"),
+                F.sum(q).alias("volume"),
+                F.sum("l_extendedprice").alias("turnover"),
+                *[part(inv == k, net, f"{k}_net") for k in ("foreign", "trust", "dealer")],
+                F.sum(net).alias("total_net"),
+                part(F.col("l_linestatus") == "O", q, "_m"),
+                part(F.col("l_returnflag") == "R", q, "_s"),
+            )
+        )
+        w = symbol_window().rowsBetween(Window.unboundedPreceding, 0)
+        d = d.withColumns({"margin_balance": F.sum("_m").over(w), "short_balance": F.sum("_s").over(w)})
+        return d.drop("_m", "_s")
+
+    def scan_dates(self) -> DataFrame:
+        """The last trading week of every month."""
+        w = self.lines().select(F.col("week").alias("date")).distinct()
+        return w.groupBy(F.trunc("date", "month").alias("m")).agg(F.max("date").alias("date")).select("date")
+
     def brokers(self) -> DataFrame:
         """Broker trades per (symbol, date, broker)."""
         c = self.table("customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("broker"))
