@@ -259,8 +259,7 @@ def key_player_cost(brokers: DataFrame, top_n: int = 3, days: int = 60) -> DataF
 
 def last_window(df: DataFrame, days: int) -> DataFrame:
     """Rows within ``days`` days of the latest date of the table."""
-    top = df.agg(F.max(DATE).alias("_max"))
-    return df.join(F.broadcast(top), F.col(DATE) >= F.date_sub("_max", days)).drop("_max")  # one row
+    return df.where(F.col(DATE) >= F.date_sub(df.agg(F.max(DATE)).scalar(), days))
 
 
 def key_player_score(cost, price) -> Column:
@@ -271,10 +270,9 @@ def key_player_score(cost, price) -> Column:
 
 def abnormal_rate(ann: DataFrame, recent: int = 10, baseline: int = 180) -> DataFrame:
     """Z-score of the recent announcement count against earlier bins of equal length."""
-    top = ann.agg(F.max(DATE).alias("_max"))
     n = baseline // recent - 1
-    age = F.datediff("_max", DATE)
-    d = ann.join(F.broadcast(top), F.col(DATE) >= F.date_sub("_max", baseline))  # one row
+    d = ann.withColumn("_age", F.datediff(ann.agg(F.max(DATE)).scalar(), DATE)).where(F.col("_age") <= baseline)
+    age = F.col("_age")
     # bin k > 0 covers (recent*k, recent*(k+1)] days back; the recent bin includes its edge
     k = F.when(age <= recent, 0).otherwise(F.ceil(age / recent) - 1)
     per = d.groupBy(SYMBOL, k.alias("k")).agg(F.count(F.lit(1)).alias("c"))

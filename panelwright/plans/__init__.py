@@ -11,6 +11,8 @@ FAMILIES = [
     "quality",
     "regime",
     "scoring",
+    "records",
+    "screening",
 ]
 
 

@@ -243,9 +243,8 @@ def _(p):
 def news_scores(p):
     """Decayed catalyst and risk mass of each symbol over the last 15 days of the table."""
     a = p.announcements()
-    top = a.agg(F.max("date").alias("_max"))
-    a = a.join(F.broadcast(top), F.col("date") >= F.date_sub("_max", 15))  # one row
-    wt = news_decay_weight(F.datediff("_max", "date"), "event_type")
+    a = a.withColumn("age", F.datediff(a.agg(F.max("date")).scalar(), "date")).where(F.col("age") <= 15)
+    wt = news_decay_weight(F.col("age"), "event_type")
     risk = F.col("event_type").isin(RISK_TYPES) | (F.col("sentiment") == -1)
     cat = F.col("event_type").isin(CATALYST_TYPES) & ~risk
     g = a.groupBy("symbol").agg(F.sum(F.when(cat, wt)).alias("c"), F.sum(F.when(risk, wt)).alias("r"), F.lit(1).alias("_g"))
