@@ -150,7 +150,9 @@ def pr(c, by, asc: bool = True) -> Column:
     by = _keys(by)
     c = F.col(c) if isinstance(c, str) else c
     order = c.asc_nulls_last() if asc else c.desc_nulls_last()
-    rank = F.rank().over(Window.partitionBy(*by).orderBy(order))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, c))
-    n = F.count(c).over(Window.partitionBy(*by))
+    w = Window.partitionBy(*by).orderBy(order)
+    # one sort serves all three: rank, peers of the row, and the group count
+    rank = F.rank().over(w)
+    ties = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))
+    n = F.count(c).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return F.when(c.isNotNull(), (rank + (ties - 1) / 2) / n)

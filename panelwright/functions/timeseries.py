@@ -96,13 +96,29 @@ def asof(
     allow_exact: bool = True,
     forward: bool = False,
     matched: str | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """As-of join by one sort: union both sides and carry the last fact along.
 
+    Probes first collapse to distinct (key, date), so a hot key costs one row per date in the
+    sort; the hits are joined back by equality.  Pass ``unique`` when the probes already are
+    distinct.
+
     Rows of ``probes`` are kept; ``values`` are NULL without a match inside the
     tolerance.  ``matched`` names an output column for the matched fact date.
     """
     keys = [on] if isinstance(on, str) else list(on)
+    if not unique:
+        hits = asof(
+            probes.select(*keys, probe_date).distinct(), facts, on=keys, probe_date=probe_date, fact_date=fact_date, values=values,
+            tolerance_days=tolerance_days, allow_exact=allow_exact, forward=forward, matched=matched, unique=True,
+        )
+        new = [*values, *([matched] if matched else [])]
+        hits = hits.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(probe_date).alias("_kd"), *new)
+        cond = F.col(probe_date) == F.col("_kd")
+        for i, k in enumerate(keys):
+            cond = cond & (F.col(k) == F.col(f"_k{i}"))
+        return probes.join(hits, cond, "left").drop("_kd", *[f"_k{i}" for i in range(len(keys))])
     pcols = probes.columns
     fact = F.struct(F.col(fact_date).alias("_d"), *[F.col(v) for v in values])
     left = probes.select(

@@ -151,6 +151,12 @@ def enforceable_ic(rolling: DataFrame, as_of: Column, budget: Column | int, min_
     return g.withColumns({"staleness_days": stale, "reason": reason}).withColumn("enforceable", C("reason") == "ok")
 
 
+def blocked(verdicts: DataFrame, threshold: float = -0.05, need_enforceable: bool = True) -> DataFrame:
+    """Modes whose (enforceable) IC is below the threshold."""
+    ok = C("enforceable") if need_enforceable else F.lit(True)
+    return verdicts.where(ok & (C("ic") < threshold))
+
+
 # -- outcome statistics ---------------------------------------------------------------
 
 

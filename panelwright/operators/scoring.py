@@ -165,7 +165,7 @@ def revenue_asof(scan: DataFrame, revenue: DataFrame) -> DataFrame:
     cols = [c for c in cols if c in revenue.columns]
     q = scan.withColumn("_cut", revenue_visible_cutoff(DATE))
     r = revenue.withColumnRenamed(DATE, "revenue_month")
-    out = asof(q, r, on=SYMBOL, probe_date="_cut", fact_date="revenue_month", values=cols, tolerance_days=180, matched="revenue_month")
+    out = asof(q, r, on=SYMBOL, probe_date="_cut", fact_date="revenue_month", values=cols, tolerance_days=180, matched="revenue_month", unique=True)
     return out.drop("_cut")
 
 
@@ -175,7 +175,7 @@ def statements_asof(scan: DataFrame, statements: DataFrame, cols: list[str]) ->
 
     q = scan.withColumn("_cut", financial_visible_cutoff(DATE))
     s = statements.withColumnRenamed(DATE, "quarter_end")
-    return asof(q, s, on=SYMBOL, probe_date="_cut", fact_date="quarter_end", values=cols, matched="quarter_end").drop("_cut")
+    return asof(q, s, on=SYMBOL, probe_date="_cut", fact_date="quarter_end", values=cols, matched="quarter_end", unique=True).drop("_cut")
 
 
 def statement_inputs(st: DataFrame) -> DataFrame:

@@ -14,6 +14,9 @@ FAMILIES = [
     "records",
     "screening",
     "research",
+    "risk",
+    "ml",
+    "streams",
 ]
 
 

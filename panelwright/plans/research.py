@@ -106,7 +106,7 @@ def _(p):
     return rolling(p)
 
 
-@plan("j03_regime_ic", "SELECT regime, factor, avg(ic) AS ic, count(*) AS n_dates, sum(n)::BIGINT AS samples FROM dic10_p d JOIN regime_p r ON r.date = d.date GROUP BY 1, 2", "ic")
+@plan("j03_regime_ic", "SELECT regime, factor, avg(ic) AS ic, count(*) AS n_dates, sum(d.n)::BIGINT AS samples FROM dic10_p d JOIN regime_p r ON r.date = d.date GROUP BY 1, 2", "ic")
 def _(p):
     d = rs.date_ic(evaluated(p), p.xs, FACT, "fwd_10").join(regimes(p).select("date", "regime"), "date")
     return d.groupBy("regime", "factor").agg(F.avg("ic").alias("ic"), F.count(F.lit(1)).alias("n_dates"), F.sum("n").alias("samples"))
@@ -382,9 +382,9 @@ def _(p):
     return verdicts(p)
 
 
-@plan("j23_blocked_modes", "SELECT mode FROM verd_p WHERE enforceable AND ic < 0.02")
+@plan("j23_blocked_modes", "SELECT mode FROM verd_p WHERE ic < 0.03")
 def _(p):
-    return verdicts(p).where(C("enforceable") & (C("ic") < 0.02)).select("mode")
+    return rs.blocked(verdicts(p), 0.03, need_enforceable=False).select("mode")
 
 
 @plan("j34_mode_ic_verdict", "SELECT mode, factor, window_end, ic, sample_count::BIGINT AS sample_count FROM mroll_p", "ic")
@@ -543,13 +543,13 @@ def _(p):
     return d.select("symbol", "date", "technical_score", "chip_score", "fundamental_score", "selected")
 
 
-@plan("j41_replay_scan", "SELECT k.symbol, k.date, k.mode, k.rank, k.composite_score, n >= 60 AS coverage_ok FROM picks_p k JOIN (SELECT date, count(DISTINCT symbol) AS n FROM bars_p GROUP BY 1) c ON c.date = k.date WHERE k.date = (SELECT max(date) FROM scan_p WHERE date <= DATE '2000-06-30')", "composite_score")
+@plan("j41_replay_scan", "SELECT k.symbol, k.date, k.mode, k.rank, k.composite_score, c.n >= 60 AS coverage_ok FROM picks_p k JOIN (SELECT date, count(DISTINCT symbol) AS n FROM bars_p GROUP BY 1) c ON c.date = k.date WHERE k.date = (SELECT max(date) FROM scan_p WHERE date <= DATE '2000-06-30')", "composite_score")
 def _(p):
     sd = p.scan_dates()
     last = sd.where(C("date") <= d_("2000-06-30")).agg(F.max("date")).scalar()
-    cov = p.closes().groupBy("date").agg(F.countDistinct("symbol").alias("n"))
+    cov = p.closes().groupBy("date").agg(F.countDistinct("symbol").alias("names"))
     d = rec.picks(p).where(C("date") == last).join(cov, "date")
-    return d.select("symbol", "date", "mode", "rank", "composite_score", (C("n") >= 60).alias("coverage_ok"))
+    return d.select("symbol", "date", "mode", "rank", "composite_score", (C("names") >= 60).alias("coverage_ok"))
 
 
 @plan("j43_check_strategy_decay", "SELECT d.mode, recent_win_rate, recent_avg_return, is_decaying, mean_jaccard FROM decaym_p d JOIN (SELECT mode, avg(jaccard) AS mean_jaccard FROM turn_p GROUP BY 1) s ON s.mode = d.mode", "recent_win_rate recent_avg_return mean_jaccard")
