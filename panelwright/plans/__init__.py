@@ -13,6 +13,7 @@ FAMILIES = [
     "scoring",
     "records",
     "screening",
+    "stages",
     "research",
     "risk",
     "ml",
