@@ -12,6 +12,13 @@ C = F.col
 
 # Weights of the coarse ranking and limits of the sector cap.
 COARSE = {"vol_rank": 0.30, "inst_rank": 0.40, "mom_rank": 0.30}
+COARSE_BY_MODE = {
+    "momentum": {"vol_rank": 0.30, "inst_rank": 0.40, "mom_rank": 0.30},
+    "swing": {"inst_rank": 0.40, "trend_rank": 0.30, "vol_rank": 0.30},
+    "value": {"vol_rank": 0.50, "inst_rank": 0.50},
+    "dividend": {"dy_rank": 0.50, "vol_rank": 0.30, "inst_rank": 0.20},
+    "growth": {"yoy_rank": 0.40, "vol_rank": 0.30, "inst_rank": 0.30},
+}
 SECTOR_RATIO, SECTOR_MIN = 0.25, 3
 TIER_ORDER = {"N/A": 0, "3F": 1, "4F": 2, "5F": 3, "6F": 4, "7F": 5, "8F": 6}
 
@@ -37,10 +44,13 @@ def coarse_inputs(df: DataFrame, step: int = 7, dates: int = 5) -> DataFrame:
     )
 
 
-def coarse_ranks(df: DataFrame, xs: CrossSection, by=DATE) -> DataFrame:
-    """percent ranks of volume, flow and momentum and their weighted sum."""
-    df = xs.pct_rank(df, by, {"vol_rank": ("volume", True), "inst_rank": ("inst_net", True), "mom_rank": ("momentum", True)})
-    s = sum((C(k) * w for k, w in COARSE.items()), F.lit(0.0))
+INPUT = {"vol_rank": "volume", "inst_rank": "inst_net", "mom_rank": "momentum", "trend_rank": "trend_strength", "dy_rank": "dividend_yield", "yoy_rank": "yoy_growth"}
+
+
+def coarse_ranks(df: DataFrame, xs: CrossSection, by=DATE, weights: dict[str, float] = COARSE) -> DataFrame:
+    """percent ranks of volume, flow and momentum (or a mode's own inputs) and their weighted sum."""
+    df = xs.pct_rank(df, by, {k: (INPUT[k], True) for k in weights})
+    s = sum((C(k) * w for k, w in weights.items()), F.lit(0.0))
     return df.withColumn("coarse_score", F.round(s, 9))
 
 

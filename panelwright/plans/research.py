@@ -526,6 +526,20 @@ def impact_weights(p):
     return rs.adjust_weights(d, ["mode"], extra=mult).select("mode", "factor", "base_weight", "adjusted_weight")
 
 
+@plan("j36_ic_weight_adjustment", """SELECT date, mode, factor, a * sum(base_weight) OVER w / nullif(sum(a) OVER w, 0) AS adjusted_weight FROM (SELECT x.date, w.mode, w.factor, w.base_weight, w.a * CASE WHEN count(i.rank_correlation) OVER (PARTITION BY x.date, w.mode) >= 3 AND i.rank_correlation IS NOT NULL
+     THEN least(greatest(1 + 0.2 * ((1 - i.rank_correlation) - avg(1 - i.rank_correlation) OVER (PARTITION BY x.date, w.mode)), 0.6), 1.4) ELSE 1 END AS a FROM (SELECT DISTINCT date, mode FROM abls_p) x JOIN adjw_p w ON w.mode = x.mode LEFT JOIN abls_p i ON i.date = x.date AND i.mode = w.mode AND i.removed || '_score' = w.factor AND i.n >= 10) WINDOW w AS (PARTITION BY date, mode)""", "adjusted_weight")
+def _(p):
+    """Weights of every (scan date, mode): IC direction times the ablation impact of that pool."""
+    imp = rs.ablation_stats(ablated(p), p.xs, ["date", "mode"])
+    cells = imp.select("date", "mode").distinct()
+    rho = imp.where(C("n") >= 10).select("date", "mode", F.concat("removed", F.lit("_score")).alias("factor"), C("rank_correlation").alias("rho"))
+    d = cells.join(weighted_ic(p, ic_table(p)), "mode").join(rho, ["date", "mode", "factor"], "left")
+    w = Window.partitionBy("date", "mode")  # a handful of factors per cell
+    d = d.withColumns({"_k": F.count("rho").over(w), "_m": F.avg(1 - C("rho")).over(w)})
+    mult = F.when((C("_k") >= 3) & C("rho").isNotNull(), F.least(F.greatest(1 + 0.2 * ((1 - C("rho")) - C("_m")), F.lit(0.6)), F.lit(1.4))).otherwise(1.0)
+    return rs.adjust_weights(d, ["date", "mode"], extra=mult).select("date", "mode", "factor", "adjusted_weight")
+
+
 @plan("j38_chip_sub_factor_ic", "SELECT k AS factor, ic, evaluable_count, direction FROM ic10_p, (SELECT unnest(['consec', 'bvr', 'persist', 'smr', 'sbl', 'broker']) AS k) WHERE factor = 'chip_score'", "ic")
 def _(p):
     d = ic_table(p).where(C("factor") == "chip_score")

@@ -30,6 +30,9 @@ def coarse_scan(p):
 
 cte("cscan_p", "SELECT c.symbol, c.date, c.close, c.volume, c.inst_net, c.momentum, x.v20, x.sma60, x.n FROM coarse0_p c JOIN pxs_p x ON x.symbol = c.symbol AND x.date = c.date")
 RANKS = lambda src: f"SELECT *, round(vol_rank * 0.3 + inst_rank * 0.4 + mom_rank * 0.3, 9) AS coarse_score FROM (SELECT *, {pr_sql('volume', 'date')} AS vol_rank, {pr_sql('inst_net', 'date')} AS inst_rank, {pr_sql('momentum', 'date')} AS mom_rank FROM ({src}))"
+IN = {"vol_rank": "volume", "inst_rank": "inst_net", "mom_rank": "momentum", "dy_rank": "dividend_yield", "yoy_rank": "yoy_growth"}
+MODE_SQL = lambda src, w: "SELECT symbol, date, round(" + " + ".join(f"{k} * {v}" for k, v in w.items()) + ", 9) AS coarse_score FROM (SELECT *, " + ", ".join(f"{pr_sql(IN[k], 'date')} AS {k}" for k in w) + f" FROM ({src}))"
+WV, WD, WG = (rk.COARSE_BY_MODE[m] for m in ("value", "dividend", "growth"))
 OUT3 = ("symbol", "date", "coarse_score")
 
 
@@ -38,35 +41,35 @@ def _(p):
     return rk.coarse_ranks(coarse_scan(p).where(C("volume") > C("v20") * 0.5), p.xs).select(*OUT3)
 
 
-@plan("i25_coarse_swing", f"SELECT symbol, date, trend_rank * 0.4 + inst_rank * 0.4 + vol_rank * 0.2 AS coarse_score FROM (SELECT *, {pr_sql('ts', 'date')} AS trend_rank, {pr_sql('cum20', 'date')} AS inst_rank, {pr_sql('volume', 'date')} AS vol_rank FROM (SELECT c.*, c.close / c.sma60 AS ts, f.cum20 FROM cscan_p c JOIN fl0_p f ON f.symbol = c.symbol AND f.date = c.date WHERE c.n >= 60 AND c.close > c.sma60))", "coarse_score")
+@plan("i25_coarse_swing", f"SELECT symbol, date, trend_rank * 0.3 + inst_rank * 0.4 + vol_rank * 0.3 AS coarse_score FROM (SELECT *, {pr_sql('ts', 'date')} AS trend_rank, {pr_sql('cum20', 'date')} AS inst_rank, {pr_sql('volume', 'date')} AS vol_rank FROM (SELECT c.*, c.close / c.sma60 AS ts, f.cum20 FROM cscan_p c JOIN fl0_p f ON f.symbol = c.symbol AND f.date = c.date WHERE c.n >= 60 AND c.close > c.sma60))", "coarse_score")
 def _(p):
     d = at_scan(p, sc.flow_inputs(sc.price_inputs(p.wide())))
     d = d.where((C("n") >= 60) & (C("close") > C("sma60"))).withColumn("ts", C("close") / C("sma60"))
     d = p.xs.pct_rank(d, "date", {"trend_rank": ("ts", True), "inst_rank": ("cum20", True), "vol_rank": ("volume", True)})
-    return d.withColumn("coarse_score", C("trend_rank") * 0.4 + C("inst_rank") * 0.4 + C("vol_rank") * 0.2).select(*OUT3)
+    return d.withColumn("coarse_score", C("trend_rank") * 0.3 + C("inst_rank") * 0.4 + C("vol_rank") * 0.3).select(*OUT3)
 
 
-@plan("i26_coarse_value", "SELECT symbol, date, coarse_score FROM (" + RANKS("SELECT c.* FROM cscan_p c JOIN peth_p t ON t.symbol = c.symbol AND t.date = c.date WHERE pe IS NOT NULL AND ((pe > 0 AND pe < pe_threshold) OR dividend_yield > 8.5)") + ")", "coarse_score")
+@plan("i26_coarse_value", MODE_SQL("SELECT c.* FROM cscan_p c JOIN peth_p t ON t.symbol = c.symbol AND t.date = c.date WHERE pe IS NOT NULL AND ((pe > 0 AND pe < pe_threshold) OR dividend_yield > 8.5)", WV), "coarse_score")
 def _(p):
     v = valuation_panel(p).join(p.info().select("symbol", "industry"), "symbol")
     v = sn.pe_thresholds(v, p.xs, "date")
     ok = C("pe").isNotNull() & (((C("pe") > 0) & (C("pe") < C("pe_threshold"))) | sn.yes(C("dividend_yield") > 8.5))
     d = coarse_scan(p).join(v.where(ok).select("symbol", "date"), ["symbol", "date"], "left_semi")
-    return rk.coarse_ranks(d, p.xs).select(*OUT3)
+    return rk.coarse_ranks(d, p.xs, weights=WV).select(*OUT3)
 
 
-@plan("i27_coarse_dividend", "SELECT symbol, date, coarse_score FROM (" + RANKS("SELECT c.* FROM cscan_p c JOIN val_p v ON v.symbol = c.symbol AND v.date = c.date WHERE dividend_yield > 8 AND pe > 0 AND c.symbol NOT IN (SELECT symbol FROM (SELECT symbol, eps FROM statements_p QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) <= 4) GROUP BY 1 HAVING bool_or(eps <= 0))") + ")", "coarse_score")
+@plan("i27_coarse_dividend", MODE_SQL("SELECT c.*, v.dividend_yield FROM cscan_p c JOIN val_p v ON v.symbol = c.symbol AND v.date = c.date WHERE dividend_yield > 8 AND pe > 0 AND c.symbol NOT IN (SELECT symbol FROM (SELECT symbol, eps FROM statements_p QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) <= 4) GROUP BY 1 HAVING bool_or(eps <= 0))", WD), "coarse_score")
 def _(p):
     v = valuation_panel(p).where((C("dividend_yield") > 8) & (C("pe") > 0))
     bad = fl.last_rows(p.statements(), 4).groupBy("symbol").agg(F.bool_or(C("eps") <= 0).alias("bad")).where("bad")
-    d = coarse_scan(p).join(v.select("symbol", "date"), ["symbol", "date"], "left_semi").join(bad, "symbol", "left_anti")
-    return rk.coarse_ranks(d, p.xs).select(*OUT3)
+    d = coarse_scan(p).join(v.select("symbol", "date", "dividend_yield"), ["symbol", "date"]).join(bad, "symbol", "left_anti")
+    return rk.coarse_ranks(d, p.xs, weights=WD).select(*OUT3)
 
 
-@plan("i28_coarse_growth", "SELECT symbol, date, coarse_score FROM (" + RANKS("SELECT c.* FROM cscan_p c JOIN fund_p f ON f.symbol = c.symbol AND f.date = c.date WHERE yoy_growth > 10") + ")", "coarse_score")
+@plan("i28_coarse_growth", MODE_SQL("SELECT c.*, f.yoy_growth FROM cscan_p c JOIN fund_p f ON f.symbol = c.symbol AND f.date = c.date WHERE yoy_growth > 10", WG), "coarse_score")
 def _(p):
-    f = fundamental_panel(p).where(C("yoy_growth") > 10).select("symbol", "date")
-    return rk.coarse_ranks(coarse_scan(p).join(f, ["symbol", "date"], "left_semi"), p.xs).select(*OUT3)
+    f = fundamental_panel(p).where(C("yoy_growth") > 10).select("symbol", "date", "yoy_growth")
+    return rk.coarse_ranks(coarse_scan(p).join(f, ["symbol", "date"]), p.xs, weights=WG).select(*OUT3)
 
 
 # -- composite -------------------------------------------------------------------------------------
