@@ -5,11 +5,13 @@ that number has a known bound that fits one task, a window by date is the cheape
 exact plan.  Beyond the bound the same results come from split counting: values
 are pre-aggregated per (date, value), spread over value ranges with exact,
 deterministic edges, counted per range and joined back.
-No group is ever sorted in one task then, and equal values collapse first.
+No group is ever sorted in one task then, and equal values collapse first.  Intermediate tables
+that several branches read are checkpointed, which keeps plans short and survives lost executors.
 """
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,6 +26,23 @@ def _keys(by):
     return [by] if isinstance(by, str) else list(by)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` reliably, so that several readers share one result and lineage stays short.
+
+    Uses the folder named by ``spark.checkpoint.dir``; only a local session may fall back to its own.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if root is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            root = tempfile.mkdtemp(prefix="panelwright-")
+        sc.setCheckpointDir(root)
+    return df.checkpoint()
+
+
 def count_below(df: DataFrame, by, value: str, *, levels: int = 2, ranges: int = RANGES) -> DataFrame:
     """Distinct (by, value) rows with ``n_eq``, ``n_below`` and ``n_all``.
 
@@ -32,23 +51,23 @@ def count_below(df: DataFrame, by, value: str, *, levels: int = 2, ranges: int =
     """
     by = _keys(by)
     d = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n_eq"))
-    d = d.withColumn("_off", F.lit(0).cast("long"))
+    d = cut(d)
     group = list(by)
     for lv in range(levels):
         edge = d.groupBy(*group).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-        b = f"_r{lv}"
         width = F.col("_hi").cast("double") - F.col("_lo").cast("double")
         at = (F.col(value).cast("double") - F.col("_lo").cast("double")) / F.when(width > 0, width)
-        d = d.join(edge, group).withColumn(b, F.coalesce(F.floor(at * ranges).cast("int"), F.lit(0))).drop("_lo", "_hi")
-        tot = d.groupBy(*group, b).agg(F.sum("n_eq").alias("_n"))
-        before = Window.partitionBy(*group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-        tot = tot.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-        group = [*group, b]
-        d = d.join(tot, group).withColumn("_off", F.col("_off") + F.col("_before")).drop("_before")
-    w = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("n_below", F.col("_off") + F.coalesce(F.sum("n_eq").over(w), F.lit(0)))
-    n = d.groupBy(*by).agg(F.sum("n_eq").alias("n_all"))
-    return d.join(n, by).select(*by, value, "n_eq", "n_below", "n_all")
+        d = d.join(edge, group).withColumn(f"_r{lv}", F.coalesce(F.floor(at * ranges).cast("int"), F.lit(0)))
+        d = cut(d.drop("_lo", "_hi"))
+        group.append(f"_r{lv}")
+    # at most ranges ** levels counts per group
+    tot = d.groupBy(*group).agg(F.sum("n_eq").alias("_n"))
+    w = Window.partitionBy(*by)
+    before = w.orderBy(*group[len(by) :]).rowsBetween(Window.unboundedPreceding, -1)
+    tot = tot.withColumns({"_off": F.coalesce(F.sum("_n").over(before), F.lit(0)), "n_all": F.sum("_n").over(w)}).drop("_n")
+    inside = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.join(tot, group)
+    return d.select(*by, value, "n_eq", (F.col("_off") + F.coalesce(F.sum("n_eq").over(inside), F.lit(0))).alias("n_below"), "n_all")
 
 
 @dataclass(frozen=True)
@@ -69,8 +88,9 @@ class CrossSection:
         by = _keys(by)
         if not self.split:
             return df.withColumns({o: pr(c, by, asc) for o, (c, asc) in specs.items()})
+        base = df = cut(df)
         for o, (c, asc) in specs.items():
-            r = count_below(df.select(*by, c), by, c)
+            r = count_below(base.select(*by, c), by, c)
             avg = (F.col("n_below") + (F.col("n_eq") + 1) / 2) / F.col("n_all")
             if not asc:
                 avg = (F.col("n_all") - F.col("n_below") - F.col("n_eq") + (F.col("n_eq") + 1) / 2) / F.col("n_all")
@@ -88,6 +108,7 @@ class CrossSection:
             s = F.col(score).desc_nulls_last() if desc else F.col(score).asc_nulls_last()
             w = Window.partitionBy(*by).orderBy(s, F.col(tie))
             return df.withColumn(out, F.row_number().over(w).cast("long"))
+        df = cut(df)
         low = F.lit(float("-inf"))
         df = df.withColumn("_s", F.coalesce(F.col(score) if desc else -F.col(score), low))
         # -inf would break the linear ranges, so missing scores are ranked as their own group
@@ -107,6 +128,7 @@ class CrossSection:
         by = _keys(by)
         if not self.split:
             return df.groupBy(*by).agg(*[F.percentile(c, F.lit(q)).alias(o) for o, (c, q) in specs.items()])
+        df = cut(df)
         res = df.select(*by).distinct()
         for o, (c, q) in specs.items():
             d = count_below(df.select(*by, c), by, c)
@@ -122,6 +144,7 @@ class CrossSection:
         if not self.split:
             w = Window.partitionBy(*by)
             return df.withColumns({o: F.percentile(c, F.lit(q)).over(w) for o, (c, q) in specs.items()})
+        df = cut(df)
         return df.join(self.quantiles(df, by, specs), by, "left")
 
     def with_stats(self, df: DataFrame, by, aggs: dict[str, Column]) -> DataFrame:
@@ -130,6 +153,7 @@ class CrossSection:
         if not self.split:
             w = Window.partitionBy(*by)
             return df.withColumns({o: a.over(w) for o, a in aggs.items()})
+        df = cut(df)
         return df.join(df.groupBy(*by).agg(*[a.alias(o) for o, a in aggs.items()]), by, "left")
 
     def with_spread(self, df: DataFrame, by, outs: dict[str, str]) -> DataFrame:

@@ -44,44 +44,52 @@ def smooth(
     order=DATE,
     key=SYMBOL,
     seed: int = 0,
+    size: int | None = None,
 ) -> DataFrame:
     """First-order recurrences y[i] = (1-alpha)*y[i-1] + alpha*x[i].
 
-    ``specs`` maps an output name to (input column, alpha).  y starts with the
-    first non-null x.  With ``seed`` = n > 0 the start value is instead the mean of
-    the first n non-null inputs and earlier rows stay NULL (Wilder seeding).
+    ``specs`` maps an output name to (input column, alpha); the inputs of one call must be NULL on
+    the same rows.  y starts with the first non-null x.  With ``seed`` = n > 0 the start value is
+    instead the mean of the first n non-null inputs and earlier rows stay NULL (Wilder seeding).
 
-    The recurrence has the closed form y[i] = q^i * sum_j w[j]*x[j]*q^-j, one cumulative
-    sum per block of rows.  The block length keeps q^-j below 1e17, so one
-    block of carry is all that is visible in double precision; series of any
-    length therefore need no row-by-row pass.
+    The recurrence has the closed form y[i] = q^i * sum_j w[j]*x[j]*q^-j, one cumulative sum per
+    block of rows.  The block length keeps q^-j below 1e17, and only as many earlier blocks
+    are carried over as double precision can see, so series of any length need no
+    row-by-row pass: three window passes serve all outputs of the call.
     """
     keys = [key] if isinstance(key, str) else list(key)
     base = symbol_window(order, key)
-    for out, (src, alpha) in specs.items():
-        q = 1.0 - alpha
-        size = max(2, int(math.ceil(39.0 / -math.log(q))))
-        x, n = F.col(src), F.col("_n")
-        df = df.withColumn("_n", F.count(x).over(base.rowsBetween(Window.unboundedPreceding, 0)))
-        first = max(seed, 1)
-        if seed:
-            head = F.avg(F.when(F.col("_n") <= seed, x)).over(base.rowsBetween(Window.unboundedPreceding, 0))
-            val = F.when(n == seed, head).when(n > seed, x * alpha)
-        else:
-            val = F.when(n == 1, x).when(n > 1, x * alpha)
-        pos = n - first
-        df = df.withColumn("_x", F.when(x.isNotNull() & (n >= first), val))
-        df = df.withColumn("_b", F.floor(F.when(n >= first, pos) / size).cast("int"))
-        df = df.withColumn("_p", F.when(n >= first, pos - F.col("_b") * size))
-        blk = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        df = df.withColumn("_y", F.sum(F.col("_x") * F.pow(F.lit(q), -F.col("_p"))).over(blk) * F.pow(F.lit(q), F.col("_p")))
-        prev = Window.partitionBy(*keys).orderBy("_b").rangeBetween(-1, -1)
-        end = F.max(F.when((F.col("_p") == size - 1) & F.col("_x").isNotNull(), F.col("_y"))).over(prev)
-        carry = F.coalesce(end, F.lit(0.0)) * F.pow(F.lit(q), F.col("_p") + 1)
-        df = df.withColumn("_c", F.when(F.col("_b") > 0, carry).otherwise(0.0))
-        df = df.withColumn(out, F.when(n >= first, F.col("_y") + F.col("_c")))
-        df = df.drop("_n", "_x", "_b", "_p", "_y", "_c")
-    return df
+    past = base.rowsBetween(Window.unboundedPreceding, 0)
+    decay = {o: 1.0 - a for o, (_, a) in specs.items()}
+    size = size or max(2, min(int(math.ceil(39.0 / -math.log(q))) for q in decay.values()))
+    ref = F.col(next(iter(specs.values()))[0])
+    n, first = F.col("_n"), max(seed, 1)
+    df = df.withColumn("_n", F.count(ref).over(past))
+    if seed:
+        head = {f"_h{o}": F.avg(F.when(n <= seed, F.col(x))).over(past) for o, (x, _) in specs.items()}
+        df = df.withColumns(head)
+    live = n >= first
+    df = df.withColumn("_b", F.floor(F.when(live, n - first) / size).cast("int"))
+    df = df.withColumn("_p", F.when(live, n - first - F.col("_b") * size))
+    p = F.col("_p")
+    blk = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    local = {}
+    for o, (x, a) in specs.items():
+        start = F.col(f"_h{o}") if seed else F.col(x)
+        term = F.when(F.col(x).isNotNull() & live, F.when(n == first, start).otherwise(F.col(x) * a))
+        local[f"_y{o}"] = F.sum(term * F.pow(F.lit(decay[o]), -p)).over(blk) * F.pow(F.lit(decay[o]), p)
+    df = df.withColumns(local)
+    prev = Window.partitionBy(*keys).orderBy("_b")
+    out = {}
+    for o, q in decay.items():
+        y = F.col(f"_y{o}")
+        end = F.max(F.when((p == size - 1) & ref.isNotNull(), y))
+        for k in range(1, int(math.ceil(39.0 / (-math.log(q) * size))) + 1):
+            carry = F.coalesce(end.over(prev.rangeBetween(-k, -k)), F.lit(0.0))
+            y = y + carry * F.pow(F.lit(q), p + 1 + (k - 1) * size)
+        out[o] = F.when(live, y)
+    df = df.withColumns(out)
+    return df.drop("_n", "_b", "_p", *local, *([f"_h{o}" for o in specs] if seed else []))
 
 
 def asof(
