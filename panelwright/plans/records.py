@@ -20,6 +20,11 @@ SCORES = ["technical", "chip", "fundamental", "news", "valuation", "dividend"]
 
 
 def dimension_scores(p):
+    """The stored candidate table: (names x scan dates) rows, a small fraction of the bars."""
+    return p.shared("dimension_scores", lambda: build_dimension_scores(p))
+
+
+def build_dimension_scores(p):
     """One row per (scan date, symbol) with all dimension scores and the regime."""
     d = at_scan(p, ind.atr(sc.flow_inputs(sc.price_inputs(p.wide()))))
     d = sc.chip_base(sc.technical_momentum(d, p.xs), p.xs)

@@ -21,6 +21,11 @@ def market(p):
 
 
 def regimes(p):
+    """Regime of every date: one row per date, shared by all scoring queries."""
+    return p.shared("regimes", lambda: build_regimes(p))
+
+
+def build_regimes(p):
     return rg.detect(market(p), fl.below_mean_share(p.closes()), RULES)
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +44,23 @@ class Panels:
         """Cross-section strategy, from the row count in the supplier file footers."""
         return CrossSection.for_bound(self.table("supplier").count())
 
+    def shared(self, name: str, build) -> DataFrame:
+        """A derived table that several queries of the session read: built once, then persisted.
+
+        Blocks spill to disk and are recomputed from lineage when an executor is lost.  The table
+        is a snapshot of the files under ``root``; ``release`` drops it after they change.
+        """
+        store = self.spark.__dict__.setdefault("_panelwright_shared", {})
+        key = (self.root, name)
+        if key not in store:
+            store[key] = build().persist(StorageLevel.MEMORY_AND_DISK)
+        return store[key]
+
+    def release(self) -> None:
+        store = self.spark.__dict__.get("_panelwright_shared", {})
+        for key in [k for k in store if k[0] == self.root]:
+            store.pop(key).unpersist()
+
     # -- raw lines ---------------------------------------------------------
 
     def lines(self) -> DataFrame:

@@ -74,8 +74,8 @@ def test_business_days(spark):
         ("2024-05-09", "2024-03-31", "2023-12-31"),
         ("2024-05-10", "2024-04-30", "2023-12-31"),
         ("2024-05-15", "2024-04-30", "2024-03-31"),
-        ("2024-03-30", "2024-02-29", "2023-09-30"),
-        ("2024-03-31", "2024-02-29", "2023-12-31"),
+        ("2024-03-29", "2024-02-29", "2023-09-30"),
+        ("2024-03-30", "2024-02-29", "2023-12-31"),
         ("2024-01-09", "2023-11-30", "2023-09-30"),
     ],
 )
