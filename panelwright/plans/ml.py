@@ -27,17 +27,22 @@ def _(p):
     return d.select("symbol", *cols).unpivot(["symbol"], cols, "feature", "value").groupBy("feature").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("value").alias("mean"))
 
 
+def training(p):
+    """Feature rows, persisted because every fit and fold reads them several times."""
+    return p.shared("ml_features", lambda: ml.features(p.bars()))
+
+
 @plan("m03_ml_signals")
 def _(p):
-    return ml.signals(ml.features(p.bars()), "forest")
+    return ml.signals(training(p), "forest")
 
 
 @plan("m04_time_series_cv")
 def _(p):
-    return ml.time_series_cv(ml.features(p.bars()))
+    return ml.time_series_cv(training(p))
 
 
 @plan("m05_select_features")
 def _(p):
-    rows = ml.choose_features(ml.features(p.bars()))
+    rows = ml.choose_features(training(p))
     return p.spark.createDataFrame(rows, "feature string, importance double, kept boolean")
