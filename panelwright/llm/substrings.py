@@ -7,8 +7,8 @@ all windows that only contain such anchors; matches of the others extend to whol
 the earliest occurrence of each window stays.
 
 Hot passages: every batch of texts meets others only through one entry per distinct hash (its earliest occurrence), so
-a passage in a third of all texts costs an entry per batch, not per text. Entries travel packed by hash range; the
-number of ranges follows the bytes of text.
+a passage in a third of all texts costs an entry per batch, not per text. Entries travel packed by hash range, answers
+packed by batch; the number of ranges follows the bytes of text.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,17 +28,17 @@ COVER = (0, 1, 3, 9)
 BATCH_BYTES = 32 << 20
 RANGE_BYTES = 48 << 20
 _NO_ID = -(1 << 63)
-_PACKED = "part int, sure boolean, h binary, doc binary, pos binary, ids binary, keys binary"
+_PACKED = "part int, batch long, sure boolean, h binary, doc binary, pos binary, ids binary, keys binary"
 _ALPHABET = T.Alphabet(T.WHITE, False)
 
 
-def _pack(part: int, sure: bool, h: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> dict:
+def _pack(part: int, batch: int, sure: bool, h: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> dict:
     used, local = np.unique(doc, return_inverse=True)
-    return {"part": part, "sure": sure, "h": h.tobytes(), "doc": local.astype(np.int32).tobytes(), "pos": pos.astype(np.int32).tobytes(), "ids": ids[used].tobytes(), "keys": keys[used].tobytes()}
+    return {"part": part, "batch": batch, "sure": sure, "h": h.tobytes(), "doc": local.astype(np.int32).tobytes(), "pos": pos.astype(np.int32).tobytes(), "ids": ids[used].tobytes(), "keys": keys[used].tobytes()}
 
 
 def _rows(rows: list[dict]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist(rows, pa.schema([("part", pa.int32()), ("sure", pa.bool_()), *((c, pa.binary()) for c in ("h", "doc", "pos", "ids", "keys"))]))
+    return pa.RecordBatch.from_pylist(rows, pa.schema([("part", pa.int32()), ("batch", pa.int64()), ("sure", pa.bool_()), *((c, pa.binary()) for c in ("h", "doc", "pos", "ids", "keys"))]))
 
 
 def _later(h: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,7 +51,7 @@ def _later(h: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray,
     return order, (ids != ids[first]) | (pos != pos[first]), head
 
 
-def _send(found: list[tuple], ids: np.ndarray, keys: np.ndarray, parts: int, ordered: bool) -> Iterator[pa.RecordBatch]:
+def _send(batch: int, found: list[tuple], ids: np.ndarray, keys: np.ndarray, parts: int, ordered: bool) -> Iterator[pa.RecordBatch]:
     """What a batch knows already, and one entry per hash for the others to meet.
 
     ordered: entries after the first of their hash are surely repeats. Otherwise all entries of a hash that occurs
@@ -69,14 +70,14 @@ def _send(found: list[tuple], ids: np.ndarray, keys: np.ndarray, parts: int, ord
     if len(real):
         d, p = (np.concatenate([f[k] for f in found])[real] for k in (1, 2))
         by = np.lexsort((p, d))
-        out.append(_pack(int(ids[d[0]] % parts), True, np.zeros(0, np.uint64), d[by], p[by], ids, keys))
+        out.append(_pack(batch % parts, batch, True, np.zeros(0, np.uint64), d[by], p[by], ids, keys))
     h, doc, pos = h[go], doc[go], pos[go]
     to = (h >> np.uint64(32)) % np.uint64(parts)
     by = np.lexsort((pos, doc, to))
     h, doc, pos, to = h[by], doc[by], pos[by], to[by]
     edges = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else np.zeros(0, int)
     for a, b in zip(edges, np.append(edges[1:], len(to)), strict=True):
-        out.append(_pack(int(to[a]), False, h[a:b], doc[a:b], pos[a:b], ids, keys))
+        out.append(_pack(int(to[a]), batch, False, h[a:b], doc[a:b], pos[a:b], ids, keys))
         if len(out) == 64:
             yield _rows(out)
             out = []
@@ -85,39 +86,54 @@ def _send(found: list[tuple], ids: np.ndarray, keys: np.ndarray, parts: int, ord
 
 
 def _meet(ordered: bool):
-    """Entries of one range of hashes -> (id, key, pos) of those that some other batch shares (or has earlier)."""
+    """Entries of one range of hashes -> by batch, (id, key, pos) of those that some other batch shares (or has earlier)."""
 
     def run(table: pa.Table) -> pa.Table:
         get = lambda c, kind: [np.frombuffer(x, kind) for x in table.column(c).to_pylist()]
         h, doc, pos, ids, keys = get("h", np.uint64), get("doc", np.int32), get("pos", np.int32), get("ids", np.int64), get("keys", np.int64)
-        sure = table.column("sure").to_pylist()
-        out: list[tuple] = [(i[d], k[d], p) for s, d, p, i, k in zip(sure, doc, pos, ids, keys, strict=True) if s]
+        batch, sure = table.column("batch").to_pylist(), table.column("sure").to_pylist()
+        out: list[tuple] = [(b, i[d], k[d], p) for b, s, d, p, i, k in zip(batch, sure, doc, pos, ids, keys, strict=True) if s]
         rest = [n for n, s in enumerate(sure) if not s]
         if rest:
             value = np.concatenate([h[n] for n in rest])
-            own, key, at = (np.concatenate([x[n][doc[n]] if x is not pos else x[n] for n in rest]) for x in (ids, keys, pos))
+            own, key, at = (np.concatenate(x) for x in zip(*((ids[n][doc[n]], keys[n][doc[n]], pos[n]) for n in rest), strict=True))
+            origin = np.repeat(np.arange(len(rest)), [len(pos[n]) for n in rest])
             order, later, head = _later(value, own, at)
             hit = later if ordered else ~(head & np.append(head[1:], True))
             order = order[hit]
             order = order[at[order] >= 0]
-            out.append((own[order], key[order], at[order]))
-        own, key, at = (np.concatenate(x) for x in zip(*out, strict=True))
-        order = np.lexsort((at, key, own))
-        own, key, at = own[order], key[order], at[order].astype(np.int32)
-        edges = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (key[1:] != key[:-1]))) if len(own) else np.zeros(0, int)
-        ends = np.append(edges[1:], len(own)).astype(int)
-        return pa.table({"id": own[edges], "key": key[edges], "at": pa.array([at[a:b].tobytes() for a, b in zip(edges, ends, strict=True)], pa.binary())})
+            order = order[np.argsort(origin[order], kind="stable")]
+            edges = np.searchsorted(origin[order], np.arange(len(rest) + 1))
+            for n, a, b in zip(rest, edges[:-1], edges[1:], strict=True):
+                if b > a:
+                    out.append((batch[n], *(x[order[a:b]] for x in (own, key, at))))
+        return pa.table(
+            {"batch": pa.array([x[0] for x in out], pa.int64())}
+            | {c: pa.array([np.ascontiguousarray(x[k], t).tobytes() for x in out], pa.binary()) for k, (c, t) in enumerate((("ids", np.int64), ("keys", np.int64), ("pos", np.int32)), 1)}
+        )
 
     return run
 
 
+def _gather(table: pa.Table) -> pa.Table:
+    """What all ranges answered to one batch -> id, key, positions."""
+    own, key, at = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in (("ids", np.int64), ("keys", np.int64), ("pos", np.int32)))
+    order = np.lexsort((at, key, own))
+    own, key, at = own[order], key[order], at[order]
+    edges = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (key[1:] != key[:-1]))) if len(own) else np.zeros(0, int)
+    ends = np.append(edges[1:], len(own)).astype(int)
+    return pa.table({"id": own[edges], "key": key[edges], "at": pa.array([at[a:b].tobytes() for a, b in zip(edges, ends, strict=True)], pa.binary())})
+
+
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(ids, keys, data, offsets, batch) of at most about BATCH_BYTES of text, a longer text alone."""
+    """(number, ids, keys, data, offsets, batch) of at most about BATCH_BYTES of text, a longer text alone."""
+    number = TaskContext.get().partitionId() << 32
     for batch in batches:
         data, at = T.buffers(batch.column(2))
         for i, j in T.runs(at, BATCH_BYTES):
             part = batch.slice(i, j - i)
-            yield part.column(0).to_numpy(), part.column(1).to_numpy(), data, at[i : j + 1], part
+            number += 1
+            yield number, part.column(0).to_numpy(), part.column(1).to_numpy(), data, at[i : j + 1], part
 
 
 def _anchors(length: int, parts: int):
@@ -126,7 +142,7 @@ def _anchors(length: int, parts: int):
     at_cover[list(COVER)] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, keys, data, at, _ in _batches(batches):
+        for number, ids, keys, data, at, _ in _batches(batches):
             found = []
             for i, j in T.runs(at, T.BLOCK):
                 words = T.words_of(data, at[i : j + 1], _ALPHABET)
@@ -139,14 +155,14 @@ def _anchors(length: int, parts: int):
                 take = np.flatnonzero(whole & at_cover[pos % PERIOD] & (n >= length))
                 found.append((value[take], (text[take] + i).astype(np.int32), pos[take].astype(np.int32)))
             if found and sum(len(f[0]) for f in found):
-                yield from _send(found, ids, keys, parts, False)
+                yield from _send(number, found, ids, keys, parts, False)
 
     return run
 
 
 def _windows(length: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, keys, data, at, part in _batches(batches):
+        for number, ids, keys, data, at, part in _batches(batches):
             found, hits = [], part.column(3)
             for i, j in T.runs(at, T.BLOCK):
                 words = T.words_of(data, at[i : j + 1], _ALPHABET)
@@ -162,7 +178,7 @@ def _windows(length: int, parts: int):
                 text = words.text[take]
                 found.append((value[take], (text + i).astype(np.int32), (take - words.first[text]).astype(np.int32)))
             if found and sum(len(f[0]) for f in found):
-                yield from _send(found, ids, keys, parts, True)
+                yield from _send(number, found, ids, keys, parts, True)
 
     return run
 
@@ -220,7 +236,8 @@ def remove_repeats(docs: DataFrame, length: int = 20, id_col: str = "doc_id", te
     parts = 1 + (base.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES
 
     def met(packed: DataFrame, ordered: bool) -> DataFrame:
-        hits = packed.groupBy("part").applyInArrow(_meet(ordered), "id long, key long, at binary")
+        hits = packed.groupBy("part").applyInArrow(_meet(ordered), "batch long, ids binary, keys binary, pos binary")
+        hits = hits.groupBy("batch").applyInArrow(_gather, "id long, key long, at binary")
         return hits.groupBy("id", "key").agg(F.collect_list("at").alias("at"))
 
     anchors = met(base.mapInArrow(_anchors(length, parts), _PACKED), False)
