@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import minhash, substrings
+from panelwright.llm import chat, decontaminate, licenses, minhash, quality, sentencepieces, substrings, tokencounts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,6 +36,7 @@ def _words_sql(pattern: str, lowered: bool, source: str = "documents", key: str
   FROM (SELECT {key}, regexp_extract_all({_LOWERED if lowered else "text"}, '{pattern}') AS ws FROM {source})"""
 
 
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WHITE = r"[^\x20\x09-\x0D]+"
 
 
@@ -84,3 +85,124 @@ def op10_substring_dedup(spark: SparkSession, root: str) -> DataFrame:
     out = substrings.remove_repeats(table(spark, root, "documents"), length=20)
     flat = F.trim(F.regexp_replace(F.translate("kept_text", "\t\n\x0b\x0c\r", "     "), " +", " "))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(flat, 256).alias("kept_sha256"))
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+_NORM = "list_filter(string_split(trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')"
+_TEMPLATES = ", ".join("({}, '{}', '{}')".format(k, name, body.replace("'", "''")) for k, (name, body) in enumerate(licenses.TEMPLATES))
+_GRAMS = "list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))"
+
+
+@query(f"""
+WITH known AS (
+  SELECT template, license, {_GRAMS} AS grams
+  FROM (SELECT template, license, {_NORM.format("body")} AS ws FROM (VALUES {_TEMPLATES}) v(template, license, body))),
+units AS (
+  SELECT DISTINCT doc_id, unit FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS unit FROM documents
+    UNION ALL
+    SELECT doc_id, unnest(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n')) FROM documents)),
+sets AS (
+  SELECT doc_id, unit, {_GRAMS} AS grams FROM (SELECT doc_id, unit, {_NORM.format("unit")} AS ws FROM units) WHERE len(ws) >= 2),
+shared AS (
+  SELECT s.doc_id, s.unit, k.template, k.license, len(s.grams) AS n, len(k.grams) AS m, len(list_intersect(s.grams, k.grams)) AS c
+  FROM sets s JOIN known k ON 120 * len(s.grams) >= 80 * len(k.grams) AND 80 * len(s.grams) <= 120 * len(k.grams)),
+best AS (SELECT *, 2.0::DOUBLE * c / (n + m) AS dice FROM shared WHERE 200 * c >= 80 * (n + m))
+SELECT doc_id, arg_min(license, (-dice, license)) AS license, max(dice) AS dice, count(DISTINCT unit)::BIGINT AS n_units
+FROM best GROUP BY doc_id""")
+def op1_license_scans(spark: SparkSession, root: str) -> DataFrame:
+    return licenses.scan(table(spark, root, "documents"), percent=80)
+
+
+def _escaped_length(column: str) -> str:
+    marks = r"[<\[](/?s>|/?INST\]|</?SYS>>|</?ROLE>>)"
+    return f"length({column}) + length({column}) - length(replace({column}, '\\', '')) + len(regexp_extract_all({column}, '{marks}'))"
+
+
+@query(f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized AS (
+  SELECT *, {_escaped_length("text")} + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 4 ELSE 21 + {_escaped_length("role")} END AS n
+  FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (3 + sum(n))::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id""")
+def op2_chat_formatting(spark: SparkSession, root: str) -> DataFrame:
+    rows = table(spark, root, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "</s>[INST] ok [/INST]"
+    extra = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(k).alias("turn"), F.lit(r).alias("role")) for k, r in enumerate(("user", "assistant"))))).alias("t"))
+    extra = extra.select(F.lit(-1).cast("long").alias("conv_id"), F.col("t.turn").cast("long").alias("turn"), F.col("t.role").alias("role"), F.lit(tricky).alias("text"))
+    out = chat.formatted(chat.turns_of_rows(rows.unionByName(extra))).select("conv_id", "text", "loss")
+    out = out.withColumn("back", chat.read_back(F.col("text"))).withColumn("learnt", chat.masked(F.col("text"), F.col("loss")))
+    line = F.lit("\n")
+    told = F.array_join(F.transform("back", lambda t: F.concat(t["role"], line, t["text"], line)), "")
+    return out.select(
+        "conv_id",
+        F.size("back").cast("long").alias("n_turns"),
+        F.sha2(told, 256).alias("turns_sha256"),
+        F.length("learnt").cast("long").alias("loss_chars"),
+        F.sha2("learnt", 256).alias("loss_sha256"),
+        F.length("text").cast("long").alias("formatted_chars"),
+    )
+
+
+@query(f"""
+WITH items AS ({_words_sql(_ALNUM, True, "benchmark", "item_id")}),
+docs AS ({_words_sql(_ALNUM, True)}),
+item_runs AS (
+  SELECT item_id, n, p, list(w) OVER (PARTITION BY item_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS ws FROM items),
+windows AS (
+  SELECT DISTINCT item_id, least(n, 10) AS l, array_to_string(ws[1:least(n, 10)], ' ') AS g FROM item_runs WHERE p <= greatest(n - 9, 1)),
+doc_runs AS (
+  SELECT doc_id, n, p, list(w) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS ws FROM docs),
+places AS (
+  SELECT doc_id, p, l, array_to_string(ws[1:l], ' ') AS g
+  FROM doc_runs CROSS JOIN (SELECT DISTINCT l FROM windows) WHERE p + l - 1 <= n),
+found AS (SELECT doc_id, p, l, item_id FROM places JOIN windows USING (l, g)),
+hits AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + l)) AS q FROM found) GROUP BY doc_id),
+names AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS names
+  FROM found GROUP BY doc_id),
+counts AS (SELECT doc_id, count(*) AS n_words FROM docs GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+  coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM documents LEFT JOIN counts USING (doc_id) LEFT JOIN hits USING (doc_id) LEFT JOIN names USING (doc_id)""")
+def op4_benchmark_decontamination(spark: SparkSession, root: str) -> DataFrame:
+    out = decontaminate.decontaminate(table(spark, root, "documents"), table(spark, root, "benchmark"), window=10)
+    return out.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+@query()
+def op5_quality_rules(spark: SparkSession, root: str) -> DataFrame:
+    return quality.measure(table(spark, root, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+@query()
+def op7_sentencepiece_codec(spark: SparkSession, root: str) -> DataFrame:
+    path = vocabulary("piece_bpe_32k.model")
+    out = sentencepieces.decode(sentencepieces.encode(table(spark, root, "documents"), path, ["doc_id"], audit=8), path)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), "parity", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
+@query()
+def op9_token_counts(spark: SparkSession, root: str) -> DataFrame:
+    out = tokencounts.count_tokens(table(spark, root, "documents"), vocabulary("byte_bpe_50k.json"))
+    return out.withColumn("over_limit", F.col("n_tokens") > 512)
