@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm import tokens as T
-from panelwright.llm.shared import stored
+from panelwright.llm.shared import carried, stored, type_of
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BLOCK_WORDS = 200_000
@@ -140,8 +140,8 @@ def _pass(block):
                     if spans:
                         hits[k] = [*(hits[k] or []), *spans]
                         items[k] = sorted({*(items[k] or []), *(automaton.names[x] for x in names)})
-            out = [batch.column(0), batch.column(1), pa.array(total), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), pa.array(longest, pa.int64())]
-            yield pa.RecordBatch.from_arrays(out, ["doc_id", "text", "n_words", "hits", "items", "longest"])
+            out = [batch.column(0), batch.column(1), pa.array(total), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), pa.array(longest, pa.int64()), batch.column(6)]
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "text", "n_words", "hits", "items", "longest", "row"])
 
     return run
 
@@ -167,12 +167,12 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 np.add.at(cut, until[gone], -1)
                 text = text[np.cumsum(cut[:-1]) == 0]
             kept.append(text.tobytes())
-        out = [batch.column(0), batch.column(2), pa.array(count, pa.int64()), batch.column(4), batch.column(5), pa.array(kept, pa.binary()).cast(pa.string())]
-        yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_words", "n_hit", "items", "longest", "clean_text"])
+        out = [batch.column(0), batch.column(2), pa.array(count, pa.int64()), batch.column(4), batch.column(5), pa.array(kept, pa.binary()).cast(pa.string()), batch.column(6)]
+        yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_words", "n_hit", "items", "longest", "clean_text", "row"])
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per row of `docs`: doc_id, n_words, n_hit, items, longest, clean_text.
+def decontaminate(docs: DataFrame, bench: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of `docs`: doc_id, n_words, n_hit, items, longest, clean_text, and row, a struct of `carry`.
 
     Words are runs of ASCII letters (A-Z lower-cased), digits and non-ASCII characters. An item's windows are its
     `window`-word runs, or all of it if shorter; a document word inside an occurrence of one is hit. items: ids of the
@@ -191,7 +191,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = 10, id_col: s
     n_words = items.agg(F.sum(F.size("words"))).first()[0] or 0
     blocks = max(1, -(-n_words // block_words))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    out = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<bigint>").alias("hits"), F.lit(None).cast("array<string>").alias("items"), F.lit(0).cast("long").alias("longest"))
+    out = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<bigint>").alias("hits"), F.lit(None).cast("array<string>").alias("items"), F.lit(0).cast("long").alias("longest"), carried(carry))
     schema = out.schema
     for k in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("name"), F.lit(blocks)) == k).orderBy("name", "words").collect()
@@ -205,6 +205,6 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = 10, id_col: s
         out = out.mapInArrow(_pass(spark.sparkContext.broadcast((automaton, value[order]))), schema)
         if k + 1 < blocks:
             out = stored(out, "scanned")
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = out.mapInArrow(_finish, f"doc_id {kind}, n_words long, n_hit long, items array<string>, longest long, clean_text string")
-    return out.withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    out = out.mapInArrow(_finish, f"doc_id {type_of(docs, id_col)}, n_words long, n_hit long, items array<string>, longest long, clean_text string, row {type_of(out, 'row')}")
+    out = out.withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    return out if carry else out.drop("row")

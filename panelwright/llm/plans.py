@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import chat, decontaminate, licenses, minhash, quality, sentencepieces, substrings, tokencounts
+from panelwright.llm import chat, decontaminate, licenses, minhash, quality, sentencepieces, substrings, tokencounts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -206,3 +206,15 @@ def op7_sentencepiece_codec(spark: SparkSession, root: str) -> DataFrame:
 def op9_token_counts(spark: SparkSession, root: str) -> DataFrame:
     out = tokencounts.count_tokens(table(spark, root, "documents"), vocabulary("byte_bpe_50k.json"))
     return out.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+@query()
+def op8_toxicity(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    labels = table(spark, root, "labels").filter(~held_out).select("doc_id", "toxic")
+    # the sample is drawn from the narrow table, so that only its texts are looked up
+    drawn = labels.filter("doc_id is not null and toxic is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(toxicity.SAMPLE)
+    model = toxicity.fit(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id"))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from panelwright.llm import tokens as T
 from panelwright.llm import vocabulary as V
+from panelwright.llm.shared import carried, type_of
 
 SYMBOLS = b"#*$%&|<>"
 RUN_BYTES = 1 << 20
@@ -129,14 +130,16 @@ def _measure(data):
                     "letters_per_token": [r[0] for r in rates],
                     "byte_share": [r[1] for r in rates],
                     "bits_share": [r[2] for r in rates],
+                    "row": batch.column(2).slice(i, j - i),
                 }
                 yield pa.RecordBatch.from_arrays([pa.array(v) if not isinstance(v, pa.Array) else v for v in out.values()], list(out))
 
     return run
 
 
-def measure(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: base counts, fertility by the sentencepiece model at `path`, base_failed, kept.
+def measure(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of `docs`: base counts, fertility by the sentencepiece model at `path`, base_failed, kept, and row,
+    a struct of the columns in `carry`.
 
     Words are maximal runs without ASCII white space. n_words, word_chars (code points in words), n_symbols
     (characters of SYMBOLS), n_dup_lines (lines with a word, equal to an earlier one), n_repeat_words (words in 3-word
@@ -149,12 +152,13 @@ def measure(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     """
     data = docs.sparkSession.sparkContext.broadcast(V.contents(path))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).mapInArrow(
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), carried(carry))
+    out = rows.mapInArrow(
         _measure(data),
-        f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, letters_per_token double, byte_share double, bits_share double",
+        f"doc_id {type_of(docs, id_col)}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, letters_per_token double, byte_share double, bits_share double, row {type_of(rows, 'row')}",
     )
     band = lambda k: F.create_map(*(F.lit(x) for s, b in BANDS.items() for x in (s, b[k])))[F.col("script")]
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     odd = (F.col("letters_per_token") < band(0)) | (F.col("letters_per_token") > band(1)) | (F.col("byte_share") > band(2)) | (F.col("bits_share") < band(3))
-    return out.withColumn("base_failed", base).withColumn("fertility_failed", odd).withColumn("kept", ~(base | odd))
+    out = out.withColumn("base_failed", base).withColumn("fertility_failed", odd).withColumn("kept", ~(base | odd))
+    return out if carry else out.drop("row")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -31,3 +32,12 @@ def release(spark: SparkSession) -> None:
     """Delete what `stored` has written in this application, once no result that reads it is needed."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def carried(columns: tuple[str, ...]) -> Column:
+    """The columns that a caller wants beside the results, as one struct that no result can clash with."""
+    return (F.struct(*columns) if columns else F.lit(0)).alias("row")
+
+
+def type_of(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()

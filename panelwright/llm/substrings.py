@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm import tokens as T
+from panelwright.llm.shared import carried, type_of
 
 PERIOD = 13
 COVER = (0, 1, 3, 9)
@@ -212,14 +213,14 @@ def _cut(length: int):
                         stay = np.cumsum(step[:-1]) == 0
                         text = text[stay]
                     kept.append(text.tobytes())
-            out = [batch.column(0).slice(0, len(total)), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays(out, ["id", "n_words", "n_removed", "kept_text"])
+            out = [batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), batch.column(3)]
+            yield pa.RecordBatch.from_arrays(out, ["id", "n_words", "n_removed", "kept_text", "row"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: doc_id, n_words, n_removed, kept_text.
+def remove_repeats(docs: DataFrame, length: int = 20, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of `docs`: doc_id, n_words, n_removed, kept_text, and row, a struct of the columns in `carry`.
 
     Words are maximal runs without ASCII white space. A word goes if a window of `length` words over it also starts
     earlier: in a smaller doc_id, or earlier in the same document. Windows are judged on the input. kept_text is the
@@ -232,7 +233,7 @@ def remove_repeats(docs: DataFrame, length: int = 20, id_col: str = "doc_id", te
     if length < PERIOD:
         raise ValueError(f"length must be at least {PERIOD}")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"), carried(carry))
     parts = 1 + (base.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES
 
     def met(packed: DataFrame, ordered: bool) -> DataFrame:
@@ -242,6 +243,6 @@ def remove_repeats(docs: DataFrame, length: int = 20, id_col: str = "doc_id", te
 
     anchors = met(base.mapInArrow(_anchors(length, parts), _PACKED), False)
     repeats = met(base.join(anchors, ["id", "key"]).select("id", "key", "text", "at").mapInArrow(_windows(length, parts), _PACKED), True)
-    joined = base.join(repeats, ["id", "key"], "left").select("id", "text", "at")
-    out = joined.mapInArrow(_cut(length), "id long, n_words long, n_removed long, kept_text string")
-    return out.select(F.when(F.col("id") != _NO_ID, F.col("id")).alias("doc_id"), "n_words", "n_removed", "kept_text")
+    joined = base.join(repeats, ["id", "key"], "left").select("id", "text", "at", "row")
+    out = joined.mapInArrow(_cut(length), f"id long, n_words long, n_removed long, kept_text string, row {type_of(base, 'row')}")
+    return out.select(F.when(F.col("id") != _NO_ID, F.col("id")).alias("doc_id"), "n_words", "n_removed", "kept_text", *(["row"] if carry else []))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from panelwright.llm import vocabulary as V
 from panelwright.llm.piecemodel import PieceModel
+from panelwright.llm.shared import type_of
 
 RUN_CHARS = 8 << 20
 CALL_CHARS = 1 << 20
@@ -90,5 +91,4 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     data = docs.sparkSession.sparkContext.broadcast(V.contents(path))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(_count(path.rsplit("/", 1)[-1], data), f"doc_id {kind}, n_bytes long, n_tokens long")
+    return rows.mapInArrow(_count(path.rsplit("/", 1)[-1], data), f"doc_id {type_of(docs, id_col)}, n_bytes long, n_tokens long")
