@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import chat, decontaminate, licenses, minhash, quality, sentencepieces, substrings, tokencounts, toxicity
+from panelwright.llm import chat, decontaminate, licenses, minhash, pseudolikelihood, quality, sentencepieces, substrings, tokencounts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -218,3 +218,9 @@ def op8_toxicity(spark: SparkSession, root: str) -> DataFrame:
     model = toxicity.fit(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id"))
     out = toxicity.score(docs, model)
     return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query()
+def op6_masked_pseudo_likelihood(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents")
+    return pseudolikelihood.score(docs, pseudolikelihood.train(docs))
