@@ -25,7 +25,7 @@ VOCABULARY = CLASSES * CLASSES
 WIDTH = 16
 OFFSETS = (-2, -1, 1, 2)
 BATCH = 16384
-RATE = 0.08
+RATE = 0.15
 LIMIT = 4.0
 ROUNDS = 2
 FLOATS = 1024
