@@ -7,27 +7,47 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.llm import tokens as T
 from panelwright.llm import vocabulary as V
-from panelwright.llm.piecemodel import PieceModel
+from panelwright.llm.piecemodel import SPACE, PieceModel
 
-RUN_CHARS = 2 << 20
+RUN_CHARS = 8 << 20
+RUN_IDS = 1 << 20
+CALL = 20_000
 
 
 class Codec:
-    """The rebuilt pipeline, and the library that it must agree with."""
+    """The rebuilt pipeline, and the library that it must agree with.
+
+    Where no piece reaches across a space, a run of texts has its distinct parts encoded and decoded once; a text comes
+    back from its ids if all its parts do.
+    """
 
     def __init__(self, data: bytes) -> None:
         import sentencepiece
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
-        self.tokenizer = PieceModel(data).rebuild()
+        model = PieceModel(data)
+        self.tokenizer = model.rebuild()
         self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.splits = model.splits_at_spaces and not model.user_defined
+
+    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
+        """The ids of each text as packed 32-bit integers, and whether they decode to the text."""
+        parts = V.split(texts, [not self.splits or SPACE in t for t in texts])
+        distinct = list({p for own in parts for p in own})
+        known: dict[str, bytes] = {}
+        odd: set[str] = set()
+        for k in range(0, len(distinct), CALL):
+            call = distinct[k : k + CALL]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(call, add_special_tokens=False)]
+            known.update((p, np.array(x, np.int32).tobytes()) for p, x in zip(call, ids, strict=True))
+            odd.update(p for p, back in zip(call, self.decode(ids), strict=True) if p != back)
+        return [b"".join(map(known.__getitem__, own)) for own in parts], [odd.isdisjoint(own) for own in parts]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
@@ -37,12 +57,6 @@ def _codec(data) -> Codec:
     return V.loaded(("codec", hash(data.value)), lambda: Codec(data.value))
 
 
-def _lists(values: list[list[int]]) -> pa.ListArray:
-    offsets = np.concatenate(([0], np.cumsum([len(v) for v in values], dtype=np.int64))).astype(np.int32)
-    flat = np.concatenate([np.array(v, np.int32) for v in values]) if values else np.zeros(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-
-
 def _encode(data, audit: int, at: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(data)
@@ -51,12 +65,14 @@ def _encode(data, audit: int, at: int, names: list[str]):
             for texts in V.balanced(batch.column(at).to_pylist(), RUN_CHARS):
                 part = batch.slice(done, len(texts))
                 done += len(texts)
-                ids = codec.encode(texts)
+                ids, back = codec.encode(texts)
                 due = [k for k, a in enumerate(part.column(at + 1).to_pylist()) if audit and a % audit == 0]
                 same: list[bool | None] = [None] * len(texts)
-                for k, theirs in zip(due, codec.library.encode([texts[k] for k in due], num_threads=os.cpu_count() or 1) if due else [], strict=True):
-                    same[k] = ids[k] == theirs
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(at)), part.column(at), _lists(ids), pa.array(same, pa.bool_())], names)
+                for k, theirs in zip(due, codec.library.encode([texts[k] for k in due], num_threads=1) if due else [], strict=True):
+                    same[k] = ids[k] == np.array(theirs, np.int32).tobytes()
+                offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(at)), lists, pa.array(same, pa.bool_()), pa.array(back)], names)
 
     return run
 
@@ -65,8 +81,12 @@ def _decode(data, at: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(data)
         for batch in batches:
-            ids = [x or [] for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codec.decode(ids), pa.string())], names)
+            column = batch.column(at)
+            ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)))
+            for i, j in T.runs(ends, RUN_IDS):
+                part = batch.slice(i, j - i)
+                ids = [x or [] for x in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(codec.decode(ids), pa.string())], names)
 
     return run
 
@@ -76,18 +96,19 @@ def _fields(df: DataFrame, columns: list[str]) -> str:
 
 
 def encode(docs: DataFrame, path: str, keep: list[str], text_col: str = "text", audit: int = 1) -> DataFrame:
-    """keep, text, ids, parity: ids by the model at `path`, without begin, end or other added tokens.
+    """keep, ids, parity, round_trip: ids by the model at `path`, without begin, end or other added tokens.
 
-    parity says that sentencepiece gives the same ids; it is checked for the rows whose text hashes to a multiple of
-    `audit` (1: all, 0: none) and null for the others. Null text counts as empty and has no ids. Rows are encoded each
-    alone, so null or repeated ids don't matter. Only the columns in `keep` are carried. No rows give no rows.
+    round_trip: the ids decode to the text. parity: sentencepiece gives the same ids; it is checked for the rows whose
+    text hashes to a multiple of `audit` (1: all, 0: none) and null for the others. Null text counts as empty and has no
+    ids. Rows are encoded each alone, so null or repeated ids don't matter. Only the columns in `keep` are carried. No
+    rows give no rows.
     """
     data = docs.sparkSession.sparkContext.broadcast(V.contents(path))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(*keep, text.alias("text_"), F.abs(F.hash(text).cast("long")).alias("audit_"))
-    names = [*keep, "text", "ids", "parity"]
+    names = [*keep, "ids", "parity", "round_trip"]
     kept = f"{_fields(docs, keep)}, " if keep else ""
-    return rows.mapInArrow(_encode(data, audit, len(keep), names), f"{kept}`text` string, ids array<int>, parity boolean")
+    return rows.mapInArrow(_encode(data, audit, len(keep), names), f"{kept}ids array<int>, parity boolean, round_trip boolean")
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:

@@ -21,7 +21,6 @@ from panelwright.llm.shared import type_of
 
 RUN_CHARS = 8 << 20
 CALL_CHARS = 1 << 20
-_SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 
 class Counter:
@@ -59,10 +58,7 @@ class Counter:
     def count(self, texts: list[str]) -> list[int]:
         """Tokens of each text."""
         whole = [not self.safe or (self.avoid is not None and self.avoid in t) for t in texts]
-        parts = [[t] if w else t.split(" ") for t, w in zip(texts, whole, strict=True)]
-        odd = {p for own in parts for p in own if not p or p[0].isspace() or p[-1].isspace()}
-        if odd:
-            parts = [own if w or odd.isdisjoint(own) else _SAFE.split(t) for t, w, own in zip(texts, whole, parts, strict=True)]
+        parts = V.split(texts, whole)
         first = self._known({own[0] for own in parts}, "")
         rest = self._known({p for own in parts for p in own[1:]}, self.lead)
         return [first[own[0]] + sum(map(rest.__getitem__, own[1:])) for own in parts]

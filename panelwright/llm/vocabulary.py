@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from typing import Any
 
+_SAFE = re.compile(r"(?<=\S) (?=\S)")
 _LOADED: dict[Any, Any] = {}
 
 
@@ -32,3 +34,12 @@ def balanced(texts: list[str], most: int) -> Iterator[list[str]]:
         size += len(t)
     if run:
         yield run
+
+
+def split(texts: list[str], whole: list[bool]) -> list[list[str]]:
+    """Parts of each text: the first, then what follows each single space between characters that aren't white space."""
+    parts = [[t] if w else t.split(" ") for t, w in zip(texts, whole, strict=True)]
+    odd = {p for own in parts for p in own if not p or p[0].isspace() or p[-1].isspace()}
+    if odd:
+        parts = [own if w or odd.isdisjoint(own) else _SAFE.split(t) for t, w, own in zip(texts, whole, parts, strict=True)]
+    return parts

@@ -35,13 +35,16 @@ def test_encoding_and_decoding_agree_with_sentencepiece(frame, prose):
     path = vocabulary(PIECES)
     library = sentencepiece.SentencePieceProcessor(model_file=path)
     rows = [*prose, *((1000 + k, t) for k, t in enumerate(ODD)), (None, None), (5000, "word " * 20_000)]
-    out = sentencepieces.decode(sentencepieces.encode(frame(rows).selectExpr("doc_id", "text", "1 as ids", "2 as decoded"), path, ["doc_id"]), path).collect()
-    assert sorted((r.doc_id or -1, r.text) for r in out) == sorted((i or -1, t or "") for i, t in rows)
+    df = frame(rows).selectExpr("doc_id", "text", "1 as parity", "2 as decoded", "doc_id as id")
+    out = sentencepieces.encode(df, path, ["id", "text"])
+    out = sentencepieces.decode(out, path).collect()
+    assert sorted((r.id or -1, r.text or "") for r in out) == sorted((i or -1, t or "") for i, t in rows)
     for r in out:
-        assert r.ids == library.encode(r.text) and r.parity and r.decoded == library.decode(r.ids)
-        assert r.decoded == r.text or "▁" in r.text
-    some = sentencepieces.encode(frame(rows), path, [], audit=4).collect()
-    assert {r.parity for r in some} == {None, True} and all(r.ids == library.encode(r.text) for r in some)
+        text = r.text or ""
+        assert r.ids == library.encode(text) and r.parity and r.decoded == library.decode(r.ids)
+        assert r.round_trip == (r.decoded == text) and (r.round_trip or "▁" in text)
+    some = sentencepieces.encode(frame(rows), path, ["text"], audit=4).collect()
+    assert {r.parity for r in some} == {None, True} and all(r.ids == library.encode(r.text or "") for r in some)
     assert sentencepieces.encode(frame([]), path, ["doc_id"]).count() == 0
 
 
