@@ -1,12 +1,11 @@
-"""Ranks and quantiles inside a scan date.
-
-A date holds one row per name, so its size grows with the number of names.  While
-that number has a known bound that fits one task, a window by date is the cheapest
-exact plan.  Beyond the bound the same results come from split counting: values
-are pre-aggregated per (date, value), spread over value ranges with exact,
-deterministic edges, counted per range and joined back.
-No group is ever sorted in one task then, and equal values collapse first.  Intermediate tables
-that several branches read are checkpointed, which keeps plans short and survives lost executors.
+"""Ranks and quantiles inside a group of rows.
+
+Two meanings of a group, chosen where a query is written and never by the size of its input:
+
+* a cross-section (``CrossSection()``): the rows of one date, one per name. A window by date is exact.
+* a pool (``CrossSection(pooled=True)``): all rows of a panel, or of a factor or mode over all dates. Values are
+  pre-aggregated per (group, value), dealt out in value order, counted per range and joined back, so no group is ever
+  sorted in one task and equal values collapse first. What several branches read is checkpointed once.
 """
 
 from __future__ import annotations
@@ -14,53 +13,44 @@ from __future__ import annotations
 import tempfile
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: rows of one date that a single task sorts comfortably in memory
-NAMES_PER_TASK = 2_000_000
-RANGES = 1024
 
 
 def _keys(by):
     return [by] if isinstance(by, str) else list(by)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably, so that several readers share one result and lineage stays short.
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; only a session in one process may go without it, and then gets a folder of its own."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="panelwright-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
 
-    Uses the folder named by ``spark.checkpoint.dir``; only a local session may fall back to its own.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` reliably, so that several readers share one result and lineage stays short."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if root is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            root = tempfile.mkdtemp(prefix="panelwright-")
-        sc.setCheckpointDir(root)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
-def count_below(df: DataFrame, by, value: str, *, levels: int = 2, ranges: int = RANGES) -> DataFrame:
+def count_below(df: DataFrame, by, value: str) -> DataFrame:
     """Distinct (by, value) rows with ``n_eq``, ``n_below`` and ``n_all``.
 
-    Range edges are the exact min and max of the group, refined ``levels`` times, so
-    a recomputed task always sees the same edges.
+    Distinct values are range-partitioned by (by, value); the number of the range is stored with them, so that every
+    reader sees the same ranges. A group's offsets are sums over its ranges, as many as there are shuffle partitions.
     """
     by = _keys(by)
     d = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n_eq"))
-    d = cut(d)
-    group = list(by)
-    for lv in range(levels):
-        edge = d.groupBy(*group).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-        width = F.col("_hi").cast("double") - F.col("_lo").cast("double")
-        at = (F.col(value).cast("double") - F.col("_lo").cast("double")) / F.when(width > 0, width)
-        d = d.join(edge, group).withColumn(f"_r{lv}", F.coalesce(F.floor(at * ranges).cast("int"), F.lit(0)))
-        d = cut(d.drop("_lo", "_hi"))
-        group.append(f"_r{lv}")
-    # at most ranges ** levels counts per group
+    d = cut(d.repartitionByRange(*by, value).withColumn("_r", F.spark_partition_id()))
+    group = [*by, "_r"]
     tot = d.groupBy(*group).agg(F.sum("n_eq").alias("_n"))
     w = Window.partitionBy(*by)
     before = w.orderBy(*group[len(by) :]).rowsBetween(Window.unboundedPreceding, -1)
@@ -72,13 +62,9 @@ def count_below(df: DataFrame, by, value: str, *, levels: int = 2, ranges: int =
 
 @dataclass(frozen=True)
 class CrossSection:
-    """Exact cross-section operators; ``split`` selects the plan, never the result."""
-
-    split: bool = False
+    """Exact operators on groups; ``pooled`` says what a group is, and never changes a result."""
 
-    @classmethod
-    def for_bound(cls, names: int | None) -> "CrossSection":
-        return cls(split=names is None or names > NAMES_PER_TASK)
+    pooled: bool = False
 
     def pct_rank(self, df: DataFrame, by, specs: dict[str, tuple[str, bool]]) -> DataFrame:
         """Average rank divided by the non-null count; NULL stays NULL.
@@ -86,7 +72,7 @@ class CrossSection:
         ``specs``: output -> (column, ascending).
         """
         by = _keys(by)
-        if not self.split:
+        if not self.pooled:
             return df.withColumns({o: pr(c, by, asc) for o, (c, asc) in specs.items()})
         base = df = cut(df)
         for o, (c, asc) in specs.items():
@@ -104,7 +90,7 @@ class CrossSection:
     def row_rank(self, df: DataFrame, by, score: str, out: str, *, tie: str = "symbol", desc: bool = True) -> DataFrame:
         """1..n by score, NULL scores last, ties by ``tie`` ascending."""
         by = _keys(by)
-        if not self.split:
+        if not self.pooled:
             s = F.col(score).desc_nulls_last() if desc else F.col(score).asc_nulls_last()
             w = Window.partitionBy(*by).orderBy(s, F.col(tie))
             return df.withColumn(out, F.row_number().over(w).cast("long"))
@@ -126,7 +112,7 @@ class CrossSection:
     def quantiles(self, df: DataFrame, by, specs: dict[str, tuple[str, float]]) -> DataFrame:
         """One row per group with linear-interpolation quantiles: output -> (column, q)."""
         by = _keys(by)
-        if not self.split:
+        if not self.pooled:
             return df.groupBy(*by).agg(*[F.percentile(c, F.lit(q)).alias(o) for o, (c, q) in specs.items()])
         df = cut(df)
         res = df.select(*by).distinct()
@@ -141,7 +127,7 @@ class CrossSection:
 
     def with_quantiles(self, df: DataFrame, by, specs) -> DataFrame:
         by = _keys(by)
-        if not self.split:
+        if not self.pooled:
             w = Window.partitionBy(*by)
             return df.withColumns({o: F.percentile(c, F.lit(q)).over(w) for o, (c, q) in specs.items()})
         df = cut(df)
@@ -150,7 +136,7 @@ class CrossSection:
     def with_stats(self, df: DataFrame, by, aggs: dict[str, Column]) -> DataFrame:
         """Attach plain group aggregates (count, avg, min, ...) to every row."""
         by = _keys(by)
-        if not self.split:
+        if not self.pooled:
             w = Window.partitionBy(*by)
             return df.withColumns({o: a.over(w) for o, a in aggs.items()})
         df = cut(df)
@@ -164,7 +150,7 @@ class CrossSection:
 
     def top(self, df: DataFrame, by, order: list[Column], n, out: str = "rank") -> DataFrame:
         """Best n rows per group.  Spark limits every map-side partition to n rows before
-        the exchange, so this needs no split form."""
+        the exchange, so this needs no pooled form."""
         w = Window.partitionBy(*_keys(by)).orderBy(*order)
         return df.withColumn(out, F.row_number().over(w).cast("long")).where(F.col(out) <= n)
 

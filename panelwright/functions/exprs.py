@@ -78,11 +78,12 @@ def trailing(n: int, order=DATE, key=SYMBOL):
 def rnd(x, d: int) -> Column:
     """Round half away from zero in plain double arithmetic (no decimal detour).
 
-    A value within 1e-4 of a half unit counts as a half, so summation order never shows.
+    A value within 1e-4 of a half unit counts as a half, so summation order never shows. From 2**53 units on a double
+    has no such digits, and the value passes through.
     """
     x, m = col(x).cast("double"), float(10**d)
     up = lambda v: F.floor(v * m + 0.5001)
-    return F.when(x < 0, -up(-x)).otherwise(up(x)) / m
+    return F.when(~(F.abs(x) * m < 2.0**53), x).when(x < 0, -up(-x) / m).otherwise(up(x) / m)
 
 
 def corr(x, y, over=None) -> Column:

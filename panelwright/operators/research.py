@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.crosssection import CrossSection
+from ..functions.crosssection import CrossSection, cut
 from ..functions.exprs import DATE, SYMBOL, corr, symbol_window
 from ..functions.timeseries import asof
 
@@ -80,10 +80,13 @@ def direction(ic: Column) -> Column:
 def factor_ic(df: DataFrame, xs: CrossSection, factors: list[str], ret: str, since: Column, min_dates: int = 3) -> DataFrame:
     """Mean per-date IC since a date; pooled IC when too few dates qualify."""
     d = df.where(C(DATE) >= since)
-    per = date_ic(d, xs, factors, ret).groupBy("factor").agg(F.avg("ic").alias("_m"), F.count(F.lit(1)).alias("_k"), F.sum("n").alias("_n"))
-    pool = spearman_by(long_factors(d, factors, [SYMBOL, ret]), xs, ["factor"], "value", ret)
-    j = pool.join(per, "factor", "left")
-    use = F.coalesce(C("_k") >= min_dates, F.lit(False))
+    per = cut(date_ic(d, xs, factors, ret).groupBy("factor").agg(F.avg("ic").alias("_m"), F.count(F.lit(1)).alias("_k"), F.sum("n").alias("_n")))
+    # one row per factor; only those with too few dates are pooled
+    rich = per.where(C("_k") >= min_dates)
+    rest = long_factors(d, factors, [SYMBOL, ret]).join(rich.select("factor"), "factor", "left_anti")
+    pool = spearman_by(rest, CrossSection(pooled=True), ["factor"], "value", ret)
+    j = pool.join(rich, "factor", "full")
+    use = C("_k").isNotNull()
     ic = F.when(use, C("_m")).otherwise(C("ic"))
     return j.select("factor", ic.alias("ic"), F.when(use, C("_n")).otherwise(C("n")).alias("evaluable_count"), direction(ic).alias("direction"))
 

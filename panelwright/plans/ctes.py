@@ -20,7 +20,7 @@ def _collect(sql: str, seen: dict[str, None], busy: frozenset = frozenset()) ->
 
 def rnd_sql(c: str, d: int = 6) -> str:
     x, m = f"({c})::DOUBLE", f"1e{d}"
-    return f"CASE WHEN {x} < 0 THEN -floor(-{x} * {m} + 0.5001) / {m} + 0.0 ELSE floor({x} * {m} + 0.5001) / {m} END"
+    return f"CASE WHEN NOT (abs({x}) * {m} < 9007199254740992) THEN {x} WHEN {x} < 0 THEN -floor(-{x} * {m} + 0.5001) / {m} + 0.0 ELSE floor({x} * {m} + 0.5001) / {m} END"
 
 
 def oracle(body: str, digits: dict[str, int] | None = None) -> str:

@@ -254,8 +254,8 @@ def news_scores(p):
         F.col("abnormal_z") < -1, F.greatest(1 + F.col("abnormal_z") * 0.1, F.lit(0.7))
     ).otherwise(1.0)
     g = g.withColumns({k: F.when(F.col(k) > 0, F.round(F.col(k) * m, 9)) for k in ("c", "r")})
-    g = p.xs.pct_rank(g, "_g", {"pc": ("c", True), "pk": ("r", True)})
-    g = p.xs.with_stats(g, "_g", {"nc": F.count("c"), "nr": F.count("r")})
+    g = p.pool.pct_rank(g, "_g", {"pc": ("c", True), "pk": ("r", True)})
+    g = p.pool.with_stats(g, "_g", {"nc": F.count("c"), "nr": F.count("r")})
     pick = lambda x, n: F.when(F.col(x).isNull(), 0.5).when(F.col(n) >= 2, F.col(x)).otherwise(0.7)
     g = g.withColumns({"news_catalyst_score": pick("pc", "nc"), "news_risk_score": pick("pk", "nr")})
     return g.select("symbol", "news_catalyst_score", "news_risk_score", (0.7 * F.col("news_catalyst_score") + 0.3 * (1 - F.col("news_risk_score"))).alias("news_score"))

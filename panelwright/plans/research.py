@@ -126,7 +126,7 @@ def sub_eval(p):
 
 
 def sub_ic(p):
-    return rs.spearman_by(rs.long_factors(sub_eval(p), T5, ["symbol", "fwd_10"]), p.xs, ["factor"], "value", "fwd_10")
+    return rs.spearman_by(rs.long_factors(sub_eval(p), T5, ["symbol", "fwd_10"]), p.pool, ["factor"], "value", "fwd_10")
 
 
 @plan("j04_sub_factor_ic", "SELECT * FROM subic_p", "ic")
@@ -139,7 +139,7 @@ PAIRS = [(a, b) for i, a in enumerate(T5) for b in T5[i + 1 :]]
 
 @plan("j05_factor_correlation_matrix", " UNION ALL ".join(f"SELECT '{a}' AS factor_a, '{b}' AS factor_b, corr({a}, {b}) AS rho FROM subr_p" for a, b in PAIRS), "rho")
 def _(p):
-    d = p.xs.pct_rank(sub_factors(p).withColumn("_g", F.lit(1)), "_g", {f"r_{t}": (t, True) for t in T5})
+    d = p.pool.pct_rank(sub_factors(p).withColumn("_g", F.lit(1)), "_g", {f"r_{t}": (t, True) for t in T5})
     g = d.agg(*[corr(f"r_{a}", f"r_{b}").alias(f"{a}|{b}") for a, b in PAIRS])
     rows = F.array(*[F.struct(F.lit(a).alias("factor_a"), F.lit(b).alias("factor_b"), C(f"`{a}|{b}`").alias("rho")) for a, b in PAIRS])
     return g.select(F.explode(rows).alias("_r")).select("_r.*")
@@ -491,7 +491,7 @@ cte("qst_p", "SELECT s.*, 1 + (flow_ratio > quantile_cont(flow_ratio, 0.2) OVER
 
 def study(p):
     d = ind.study_features(p.bars(), p.flows()).where(C("fwd_10").isNotNull()).withColumn("_g", F.lit(1))
-    return rs.buckets(d, p.xs, ["_g"], "flow_ratio", 5, "quintile")
+    return rs.buckets(d, p.pool, ["_g"], "flow_ratio", 5, "quintile")
 
 
 @plan("j32_quintile_study", "SELECT q::BIGINT AS quintile, count(*) AS n, avg(fwd_5) AS fwd_5, avg(fwd_10) AS fwd_10, avg(fwd_20) AS fwd_20, avg(fwd_10) / stddev_samp(fwd_10) * sqrt(count(fwd_10)) AS t_10 FROM qst_p GROUP BY 1", "fwd_5 fwd_10 fwd_20 t_10")

@@ -328,8 +328,7 @@ def _(p):
     d = rk.trade_summary(rk.pair_trades(signals(p), ["symbol", "strategy"]), ["symbol", "strategy"])
     d = d.withColumn("id", F.concat(C("symbol").cast("string"), "strategy"))
     d = d.where(C("n_trades") >= 3).withColumns({"_g": F.lit(1), "_m": F.round("sharpe", 9)})
-    w = Window.partitionBy("_g").orderBy(F.desc_nulls_last("_m"), "id")
-    return d.withColumn("rank", F.row_number().over(w)).select("symbol", "strategy", "n_trades", "sharpe", "rank")
+    return p.pool.row_rank(d, "_g", "_m", "rank", tie="id").select("symbol", "strategy", "n_trades", "sharpe", "rank")
 
 
 @plan("k21_walk_forward", """SELECT symbol, fold, part, count(*) AS n_trades, avg(return_pct) AS avg_return, avg((return_pct > 0)::INT) AS win_rate FROM (SELECT symbol, k, f AS fold, CASE WHEN k - f * 40 < 120 THEN 'train' ELSE 'test' END AS part, date FROM (SELECT symbol, date, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS k FROM bars_p) b JOIN range(20) t(f) ON k - f * 40 BETWEEN 0 AND 159) b

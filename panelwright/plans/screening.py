@@ -65,7 +65,7 @@ SCORE = " + ".join(f"f_{k}::INT * {w}" for k, w in WTS.items())
 @plan("b09_scan", f"SELECT symbol, date, close, ({SCORE})::DOUBLE AS factor_score, row_number() OVER (ORDER BY {SCORE} DESC, symbol) AS rank FROM (SELECT * FROM flags_p {LAST})", "close factor_score")
 def _(p):
     d = fl.last_rows(sn.factor_score(sn.factor_flags(snapshot(p), WANT), WTS)).withColumn("_g", F.lit(1))
-    return p.xs.row_rank(d, "_g", "factor_score", "rank").select("symbol", "date", "close", "factor_score", "rank")
+    return p.pool.row_rank(d, "_g", "factor_score", "rank").select("symbol", "date", "close", "factor_score", "rank")
 
 
 @plan("b10_scan_with_conditions", "SELECT symbol, date, f_price_above_sma AND f_foreign_net_buy AND f_revenue_yoy_growth AS all_hit, f_rsi_oversold OR f_macd_golden_cross AS any_hit FROM flags_p")
@@ -245,7 +245,7 @@ def _(p):
     from .flows import news_scores
 
     d = news_scores(p).withColumns({"_g": F.lit(1), "composite_score": C("news_score")})
-    return sn.news_gate(d, p.xs, "_g").select("symbol", "composite_score", "neg_news_gate")
+    return sn.news_gate(d, p.pool, "_g").select("symbol", "composite_score", "neg_news_gate")
 
 
 cte("rs_p", """SELECT b.symbol, b.date, coalesce(b.close / lag(b.close, 20) OVER (PARTITION BY b.symbol ORDER BY b.date) - 1 - ir, 0) AS excess_20 FROM bars_p b JOIN (SELECT date, close / lag(close, 20) OVER (ORDER BY date) - 1 AS ir FROM index_p) i ON i.date = b.date""")

@@ -377,4 +377,4 @@ def _(p):
 @plan("i56_report_run", "SELECT symbol, date, technical_score, chip_score, fundamental_score, composite, row_number() OVER (ORDER BY composite DESC, symbol) AS rank FROM (SELECT *, round(technical_score * 0.3 + chip_score * 0.3 + fundamental_score * 0.25 + 0.5 * 0.15, 9) AS composite FROM rep_p)", "technical_score chip_score fundamental_score composite")
 def _(p):
     d = report(p).withColumns({"composite": F.round(sum((C(k) * w for k, w in BLEND.items()), F.lit(0.0)) + 0.5 * 0.15, 9), "_g": F.lit(1)})
-    return p.xs.row_rank(d, "_g", "composite", "rank").drop("_g")
+    return p.pool.row_rank(d, "_g", "composite", "rank").drop("_g")

@@ -7,13 +7,13 @@ still shrinks to at most one row per date before any exchange by symbol.
 
 from __future__ import annotations
 
-from functools import cached_property
+import hashlib
+import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.crosssection import CrossSection
+from ..functions.crosssection import CrossSection, shared_folder
 from ..functions.exprs import div, lookup, symbol_window
 
 PRIORITY_TO_INVESTOR = {"1-URGENT": "foreign", "2-HIGH": "trust", "3-MEDIUM": "dealer"}
@@ -39,27 +39,32 @@ class Panels:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")
 
-    @cached_property
-    def xs(self) -> CrossSection:
-        """Cross-section strategy, from the row count in the supplier file footers."""
-        return CrossSection.for_bound(self.table("supplier").count())
+    #: rows of one date, one per name
+    xs = CrossSection()
+    #: all rows of a panel, or of a factor or mode over all dates
+    pool = CrossSection(pooled=True)
+
+    def version(self) -> str:
+        """Changes when a file under ``root`` does: hash of the tables' names, sizes and times of change."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = path.getFileSystem(conf)
+        seen = []
+        for f in fs.listStatus(path):
+            inside = fs.getContentSummary(f.getPath())
+            seen.append((f.getPath().getName(), inside.getLength(), inside.getFileCount(), f.getModificationTime()))
+        return hashlib.sha256(repr(sorted(seen)).encode()).hexdigest()[:16]
 
     def shared(self, name: str, build) -> DataFrame:
-        """A derived table that several queries of the session read: built once, then persisted.
-
-        Blocks spill to disk and are recomputed from lineage when an executor is lost.  The table
-        is a snapshot of the files under ``root``; ``release`` drops it after they change.
-        """
-        store = self.spark.__dict__.setdefault("_panelwright_shared", {})
-        key = (self.root, name)
-        if key not in store:
-            store[key] = build().persist(StorageLevel.MEMORY_AND_DISK)
-        return store[key]
-
-    def release(self) -> None:
-        store = self.spark.__dict__.get("_panelwright_shared", {})
-        for key in [k for k in store if k[0] == self.root]:
-            store.pop(key).unpersist()
+        """A derived table that several queries read: written once for each version of the tables, in the folder that
+        all executors share.  A lost executor costs a read; changed files give another version."""
+        key = (self.root, name, self.version())
+        made = self.spark.__dict__.setdefault("_panelwright_shared", {})
+        if key not in made:
+            path = f"{shared_folder(self.spark)}/derived/{name}-{key[2]}-{uuid.uuid4().hex}"
+            build().write.parquet(path)
+            made[key] = path
+        return self.spark.read.parquet(made[key])
 
     # -- raw lines ---------------------------------------------------------
 

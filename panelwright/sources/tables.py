@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,15 +50,15 @@ def read_import(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
     return raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields if f.name in raw.columns])
 
 
-def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """A4: keep every old row, add the new rows with unknown keys."""
-    fresh = first_per_key(new, keys).join(old.select(*keys), keys, "left_anti")
+def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """A4: keep every old row, add the new rows with unknown keys; of new rows with one key the first by ``order``."""
+    fresh = one_per_key(nan_to_null(new), keys, order, last=False).join(old.select(*keys), keys, "left_anti")
     return old.unionByName(fresh.select(*old.columns))
 
 
-def insert_update(old: DataFrame, new: DataFrame, keys: list[str], update: list[str]) -> DataFrame:
-    """A4: new keys are added; on known keys only the ``update`` columns change."""
-    n = first_per_key(new, keys)
+def insert_update(old: DataFrame, new: DataFrame, keys: list[str], update: list[str], order: str | None = None) -> DataFrame:
+    """A4: new keys are added; on known keys only the ``update`` columns change, to the last new row by ``order``."""
+    n = one_per_key(nan_to_null(new), keys, order, last=True)
     n = n.select(*keys, F.struct(*[c for c in n.columns if c not in keys]).alias("_new"))
     o = old.select(*keys, F.struct(*[c for c in old.columns if c not in keys]).alias("_old"))
     j = o.join(n, keys, "full")
@@ -66,10 +66,21 @@ def insert_update(old: DataFrame, new: DataFrame, keys: list[str], update: list[
     return j.select(*keys, *[pick(c).alias(c) for c in old.columns if c not in keys])
 
 
-def first_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per key (the smallest by the remaining columns), as map-side aggregation."""
-    rest = [c for c in df.columns if c not in keys]
-    g = df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r"))
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN is no value in a stored table."""
+    bad = {f.name: F.when(~F.isnan(f.name), F.col(f.name)) for f in df.schema.fields if f.dataType.typeName() in ("double", "float")}
+    return df.withColumns(bad) if bad else df
+
+
+def one_per_key(df: DataFrame, keys: list[str], order: str | None, *, last: bool) -> DataFrame:
+    """One row per key, the first or last by the version column ``order``, as map-side aggregation.
+
+    Rows without a version come before all others; ties, and tables without such a column, go by the other columns.
+    """
+    rest = [c for c in df.columns if c not in keys and c != order]
+    rank = [order, *rest] if order else rest
+    pick = F.max if last else F.min
+    g = df.groupBy(*keys).agg(pick(F.struct(*rank)).alias("_r"))
     return g.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
@@ -83,11 +94,12 @@ def last_dates(df: DataFrame, wanted: DataFrame, date: str = DATE) -> DataFrame:
     return wanted.select(SYMBOL).join(df.groupBy(SYMBOL).agg(F.max(date).alias("last_date")), SYMBOL, "left")
 
 
-def pivot_names(df: DataFrame, type_map: dict[str, str], keys=(DATE, SYMBOL)) -> DataFrame:
-    """(type, value) rows -> columns; values that do not parse become NULL."""
+def pivot_names(df: DataFrame, type_map: dict[str, str], keys=(DATE, SYMBOL), order: str | None = None) -> DataFrame:
+    """(type, value) rows -> columns, the first by ``order``; values that do not parse become NULL."""
     types = list(type_map)
     v = F.col("value").try_cast("double")
-    cols = [F.min(F.when(F.col("type") == t, v)).alias(type_map[t]) for t in types]
+    first = lambda x: F.min_by(x, F.when(x.isNotNull(), F.struct(order, x))) if order else F.min(x)
+    cols = [first(F.when(F.col("type") == t, v)).alias(type_map[t]) for t in types]
     return df.where(F.col("type").isin(types)).groupBy(*keys).agg(*cols)
 
 
@@ -109,5 +121,3 @@ def map_diff(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     j = a.select(key, F.col(value).alias("a")).join(b.select(key, F.col(value).alias("b")), key, "full")
     return j.withColumn("delta", F.col("b") - F.col("a"))
 
-
-_ = (Column, Window)

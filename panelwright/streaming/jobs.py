@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.regime import FLAGS, step
-from ..sources.tables import write_partitions
+from ..sources.tables import insert_update, write_partitions
 
 C = F.col
 
@@ -76,11 +76,48 @@ def spikes(daily: DataFrame, factor: float = 2.0, rows: int = 10) -> DataFrame:
     return d.where((C("avg_n") > 0) & (C("n") >= C("avg_n") * factor))
 
 
-def upsert_sink(path: str, by: str = "date") -> Callable[[DataFrame, int], None]:
-    """foreachBatch writer that replaces whole date partitions, so replays are harmless."""
+def alert_sink(history: str, alerts: str, factor: float = 2.0, rows: int = 10) -> Callable[[DataFrame, int], None]:
+    """N4 as a stream: each batch of closed days is added to the stored ones, whose spikes on the batch's days are written.
 
-    def write(batch: DataFrame, _epoch: int) -> None:
-        write_partitions(batch, path, by)
+    Both tables are keyed, so a replayed batch changes nothing.
+    """
+    keys = ["date", "symbol", "event_type"]
+    store, emit = upsert_sink(history, keys), upsert_sink(alerts, keys)
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        if batch.isEmpty():
+            return
+        store(batch, epoch)
+        names = batch.select("symbol", "event_type").distinct()
+        known = batch.sparkSession.read.parquet(history).select(*batch.columns).join(names, ["symbol", "event_type"], "left_semi")
+        emit(spikes(known, factor, rows).join(batch.select("date").distinct(), "date", "left_semi"), epoch)
+
+    return write
+
+
+def upsert_sink(path: str, keys: list[str], by: str = "date", order: str | None = None) -> Callable[[DataFrame, int], None]:
+    """foreachBatch writer that upserts by key.
+
+    The partitions that a batch touches are read, merged with it (its last row by ``order`` wins) and written to a
+    folder of the epoch; then they replace the old ones.  A batch that is replayed gives the same table, and rows of
+    the same date from other batches stay.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        if batch.isEmpty():
+            return
+        columns = [c for c in batch.columns if c != order]
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(target):
+            kind = batch.schema[by].dataType
+            old = spark.read.parquet(path).withColumn(by, C(by).cast(kind)).join(batch.select(by).distinct(), by, "left_semi").select(*columns)
+        else:
+            old = batch.select(*columns).limit(0)
+        staged = f"{path.rstrip('/')}_epochs/{epoch}"
+        insert_update(old, batch, keys, columns, order).write.mode("overwrite").parquet(staged)
+        write_partitions(spark.read.parquet(staged), path, by)
 
     return write
 

@@ -2,9 +2,9 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from panelwright.functions.crosssection import NAMES_PER_TASK, CrossSection
+from panelwright.functions.crosssection import CrossSection
 
-WIN, SPLIT = CrossSection(False), CrossSection(True)
+WIN, SPLIT = CrossSection(), CrossSection(pooled=True)
 
 
 @pytest.fixture
@@ -61,10 +61,24 @@ def test_stats_and_spread(frame):
         np.testing.assert_allclose(got["s"], pdf.groupby("date")["x"].agg(lambda v: v.max() - v.min()))
 
 
-def test_strategy_follows_the_proven_bound():
-    assert not CrossSection.for_bound(10).split
-    assert CrossSection.for_bound(NAMES_PER_TASK + 1).split
-    assert CrossSection.for_bound(None).split
+def test_pool_with_a_hot_group_and_heavy_ties(spark):
+    """Nine rows in ten belong to one group, a third of them to one value."""
+    rng = np.random.default_rng(3)
+    n = 4000
+    v = rng.normal(0, 1, n).round(3)
+    v[: n // 3] = 0.25
+    pdf = pd.DataFrame({"g": np.where(rng.random(n) < 0.9, 1, 2), "symbol": np.arange(n), "x": v})
+    df = spark.createDataFrame(pdf)
+    got = SPLIT.pct_rank(df, "g", {"r": ("x", True)})
+    np.testing.assert_allclose(by_symbol(got, "r"), pdf.groupby("g")["x"].rank(pct=True).to_numpy(), rtol=1e-12)
+    order = pdf.sort_values(["x", "symbol"], ascending=[False, True]).groupby("g").cumcount() + 1
+    np.testing.assert_array_equal(by_symbol(SPLIT.row_rank(df, "g", "x", "r"), "r"), order.sort_index().to_numpy())
+
+
+def test_plans_do_not_depend_on_the_input_size():
+    from panelwright.sources.panels import Panels
+
+    assert not Panels.xs.pooled and Panels.pool.pooled
 
 
 def test_split_form_runs_a_whole_query(spark, monkeypatch):
@@ -76,6 +90,6 @@ def test_split_form_runs_a_whole_query(spark, monkeypatch):
 
     p = load_plans()["f03_coarse_filter"]
     a = p.run(spark, SF).toPandas().sort_values(["symbol", "date"]).reset_index(drop=True)
-    monkeypatch.setattr(Panels, "xs", CrossSection(True))
+    monkeypatch.setattr(Panels, "xs", CrossSection(pooled=True))
     b = p.run(spark, SF).toPandas().sort_values(["symbol", "date"]).reset_index(drop=True)
     pd.testing.assert_frame_equal(a, b[a.columns])

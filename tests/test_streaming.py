@@ -50,13 +50,31 @@ def test_daily_activity_stream_equals_batch_for_closed_days(spark, tmp_path):
     assert want.where(closed).exceptAll(got).count() == 0
 
 
-def test_snapshot_sink_replays_are_harmless(spark, tmp_path):
+def test_snapshot_sink_keeps_other_batches_of_a_date(spark, tmp_path):
     path = str(tmp_path / "snap")
-    df = spark.createDataFrame([(1, dt.date(2024, 1, 1), 5.0)], "portfolio int, date date, capital double")
-    write = jobs.upsert_sink(path)
-    write(df, 0)
-    write(df, 0)
-    assert spark.read.parquet(path).count() == 1
+    schema = "portfolio int, date date, capital double, version int"
+    day = dt.date(2024, 1, 1)
+    first = spark.createDataFrame([(1, day, 5.0, 1), (1, day, 6.0, 2), (1, dt.date(2024, 1, 2), 7.0, 1)], schema)
+    second = spark.createDataFrame([(2, day, 8.0, 1), (3, day, float("nan"), 1)], schema)
+    write = jobs.upsert_sink(path, ["portfolio", "date"], order="version")
+    for epoch, batch in ((0, first), (1, second), (1, second), (2, first.limit(0))):
+        write(batch, epoch)
+    got = {(r.portfolio, r.date.day): r.capital for r in spark.read.parquet(path).collect()}
+    assert got == {(1, 1): 6.0, (1, 2): 7.0, (2, 1): 8.0, (3, 1): None}
+    write(first, 0)
+    assert spark.read.parquet(path).count() == 4
+
+
+def test_alerts_on_a_stream_of_days(spark, tmp_path):
+    rows = [(dt.date(2024, 1, d), 7, "view", 30 if d == 9 else 10, 1.0) for d in range(1, 12)]
+    schema = "date date, symbol long, event_type string, n long, value double"
+    write = jobs.alert_sink(str(tmp_path / "days"), str(tmp_path / "alerts"))
+    for epoch, (a, b) in enumerate(((0, 4), (4, 8), (8, 11), (8, 11))):
+        write(spark.createDataFrame(rows[a:b], schema), epoch)
+    got = spark.read.parquet(str(tmp_path / "alerts")).collect()
+    assert [(r.date.day, r.n, r.avg_n) for r in got] == [(9, 30, 10.0)]
+    want = jobs.spikes(spark.createDataFrame(rows, schema)).collect()
+    assert [(r.date.day, r.n) for r in want] == [(9, 30)]
 
 
 def test_freshness_sink_alerts(spark):

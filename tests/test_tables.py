@@ -38,6 +38,23 @@ def test_upserts(spark):
     assert {r.symbol: r.close for r in tb.insert_update(old, new, ks, []).collect()} == {1: 1.0, 2: 2.0, 3: 30.0}
 
 
+def test_repeated_keys_in_a_batch_follow_the_version(spark):
+    old = prices(spark, [(2, D(2024, 1, 1), 2.0)])
+    rows = [(s, D(2024, 1, 1), c, v) for s, c, v in ((2, 30.0, 1), (2, 20.0, 2), (3, 1.0, 2), (3, 9.0, 1), (4, float("nan"), 1))]
+    new = spark.createDataFrame(rows, "symbol long, date date, close double, version int")
+    ks = ["symbol", "date"]
+    assert {r.symbol: r.close for r in tb.insert_update(old, new, ks, ["close"], "version").collect()} == {2: 20.0, 3: 1.0, 4: None}
+    assert {r.symbol: r.close for r in tb.insert_ignore(old, new, ks, "version").collect()} == {2: 2.0, 3: 9.0, 4: None}
+
+
+def test_rounding_passes_large_values(spark):
+    from panelwright.functions.exprs import rnd
+
+    df = spark.createDataFrame([(1e15,), (-1e20,), (2.5,), (-0.0000005,), (float("nan"),), (None,)], "x double")
+    got = [r[0] for r in df.select(rnd("x", 6)).collect()]
+    assert got[:2] == [1e15, -1e20] and got[2] == 2.5 and got[3] == -1e-6 and got[4] != got[4] and got[5] is None
+
+
 def test_partition_overwrite_is_idempotent(spark, tmp_path):
     path = str(tmp_path / "t")
     tb.write_partitions(prices(spark, [(1, D(2024, 1, 1), 1.0), (1, D(2024, 1, 2), 2.0)]), path)
