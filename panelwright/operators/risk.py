@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -365,24 +367,42 @@ def buy_hold(bars: DataFrame, events: DataFrame, commission: float = 0.001425, t
     return g.select(SYMBOL, "n", "dividends", (got / paid - 1).alias("buy_hold_return"))
 
 
-def bootstrap(trades: DataFrame, key, sims: int, initial: float = 1.0, seed: int = 42) -> DataFrame:
-    """K3: bootstrap of trade returns, P5 / P50 / P95 of the compounded return.
+RING = 2**31 - 1
+
+
+def poisson_steps() -> list[float]:
+    """P(count <= k) of Poisson(1) for k = 0, 1, ... up to the last one that a draw out of RING can reach."""
+    out, term, total = [], math.exp(-1), 0.0
+    for k in range(1, 40):
+        total += term
+        if total >= 1 - 1 / RING:
+            break
+        out.append(total)
+        term /= k
+    return out
+
+
+def draw(key: str, sim: str, seed: int) -> str:
+    """Uniform in [0, 1) for a (key, simulation), in integer arithmetic that every SQL engine has."""
+    a = f"((({key} % {RING}) * 1103515245 + {sim} * 40503 + {seed}) % {RING})"
+    b = f"(({a} * 48271) % {RING})"
+    return f"(((({b} + {sim} * 7919 + ({b} & 65535) * 31) * 69621) % {RING}) / CAST({RING} AS DOUBLE))"
+
+
+def bootstrap(trades: DataFrame, key, sims: int, initial: float = 1.0, seed: int = 42, log: bool = False) -> DataFrame:
+    """K3: bootstrap of trade returns, P5 / P50 / P95 of the compounded return, or of its logarithm.
 
-    Poisson resampling: every trade draws its own count in every simulation from a hash, so one
-    map-side aggregation of (key, simulation) log growth replaces index joins.  Counts follow
-    Poisson(1), the limit of drawing n of n with replacement.
+    Poisson resampling: every trade draws its own count in every simulation, so one map-side
+    aggregation of (key, simulation) log growth replaces index joins.  Counts follow
+    Poisson(1), the limit of drawing n of n with replacement; no count that a draw can reach is cut off.
     """
     ks = _keys(key)
-    # Poisson(1) cumulative probabilities, up to 8 draws
-    cum = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975]
     d = trades.select(*ks, "trade_id", F.log1p(F.greatest(C("return_pct"), F.lit(-0.999))).alias("g"))
-    d = d.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))))
-    u = F.pmod(F.xxhash64("trade_id", "sim", F.lit(seed)), F.lit(1_000_000)) / 1_000_000
-    k = F.lit(0)
-    for c in cum:
-        k = k + F.when(u >= c, 1).otherwise(0)
+    d = d.withColumn("sim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sims - 1).cast("long"))))
+    d = d.withColumn("u", F.expr(draw("trade_id", "sim", seed)))
+    k = sum((F.when(C("u") >= c, 1).otherwise(0) for c in poisson_steps()), F.lit(0))
     s = d.groupBy(*ks, "sim").agg(F.sum(C("g") * k).alias("g"))
-    s = s.withColumn("ret", (F.exp("g") - 1) * initial)
+    s = s.withColumn("ret", C("g") if log else (F.exp("g") - 1) * initial)
     q = lambda p: F.percentile("ret", F.lit(p))  # one value per simulation
     return s.groupBy(*ks).agg(q(0.05).alias("p5"), q(0.5).alias("p50"), q(0.95).alias("p95"), F.count(F.lit(1)).alias("n_sims"))
 

@@ -111,7 +111,8 @@ cte("ann_p", """SELECT user_id AS symbol, ts::DATE AS date, event_id AS seq,
     CASE event_type WHEN 'purchase' THEN 'buyback' WHEN 'signup' THEN 'investor_day' WHEN 'click' THEN 'revenue'
       WHEN 'view' THEN 'general' WHEN 'error' THEN 'governance_change' ELSE 'general' END AS event_type,
     (CASE event_type WHEN 'error' THEN -1 WHEN 'purchase' THEN 1 ELSE 0 END)::BIGINT AS sentiment FROM events""")
-cte("concepts_p", """SELECT p_type AS concept, symbol FROM lines_p JOIN part ON l_partkey = p_partkey GROUP BY 1, 2 HAVING count(*) >= 100""")
+cte("concepts_p", """SELECT concept, symbol FROM (
+  SELECT p_type AS concept, symbol, count(*) AS n, sum(count(*)) OVER (PARTITION BY symbol) AS t FROM lines_p JOIN part ON l_partkey = p_partkey GROUP BY 1, 2) WHERE n * 6 >= t""")
 cte("trades_p", f"""SELECT o_orderkey AS trade_id, c_nationkey::BIGINT AS portfolio, symbol, least(o_orderdate::DATE, x.exit_date) AS entry_date, x.exit_date,
       entry_price, exit_price * (1 - disc * 3) AS exit_price, shares,
       CASE o_orderpriority WHEN '1-URGENT' THEN 'stop_loss' WHEN '2-HIGH' THEN 'take_profit' ELSE 'expired' END AS exit_reason

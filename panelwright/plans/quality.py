@@ -178,18 +178,19 @@ def _(p):
 def old_new(p):
     r = p.revenue().select("symbol", "date", "revenue", "yoy_growth")
     old = r.where(F.col("date") < F.lit("2000-01-01").cast("date"))
-    new = r.where(F.col("date") >= F.lit("1999-07-01").cast("date")).withColumns({"revenue": F.col("revenue") * 1.1, "yoy_growth": F.lit(0.0)})
-    return old, new
+    new = r.where(F.col("date") >= F.lit("1999-07-01").cast("date")).withColumns({"revenue": F.col("revenue") * 1.1, "yoy_growth": F.lit(0.0), "version": F.lit(1)})
+    again = new.where(F.month("date") == 9).withColumns({"revenue": F.col("revenue") - 1, "version": F.lit(2)})
+    return old, new.unionByName(again)
 
 
 @plan("a04_upsert_ignore", "SELECT symbol, date, CASE WHEN date < DATE '2000-01-01' THEN revenue ELSE revenue * 1.1 END AS revenue, CASE WHEN date < DATE '2000-01-01' THEN yoy_growth ELSE 0 END AS yoy_growth FROM revenue_p", "revenue:3 yoy_growth")
 def _(p):
-    return tb.insert_ignore(*old_new(p), ["symbol", "date"])
+    return tb.insert_ignore(*old_new(p), ["symbol", "date"], "version")
 
 
-@plan("a04_upsert_update", "SELECT symbol, date, CASE WHEN date < DATE '1999-07-01' THEN revenue ELSE revenue * 1.1 END AS revenue, CASE WHEN date < DATE '2000-01-01' THEN yoy_growth ELSE 0 END AS yoy_growth FROM revenue_p", "revenue:3 yoy_growth")
+@plan("a04_upsert_update", "SELECT symbol, date, CASE WHEN date < DATE '1999-07-01' THEN revenue ELSE revenue * 1.1 - (month(date) = 9)::INT END AS revenue, CASE WHEN date < DATE '2000-01-01' THEN yoy_growth ELSE 0 END AS yoy_growth FROM revenue_p", "revenue:3 yoy_growth")
 def _(p):
-    return tb.insert_update(*old_new(p), ["symbol", "date"], ["revenue"])
+    return tb.insert_update(*old_new(p), ["symbol", "date"], ["revenue"], "version")
 
 
 @plan("a05_last_dates", "SELECT s_suppkey AS symbol, last_date FROM supplier LEFT JOIN (SELECT symbol, max(date) AS last_date FROM bars_d WHERE day(date) < 3 AND month(date) = 2 GROUP BY 1) ON symbol = s_suppkey")

@@ -58,10 +58,17 @@ def _(p):
     return rk.exit_reasons(p.trades(), "portfolio")
 
 
-@plan("k03_bootstrap_returns")
+STEPS = " + ".join(f"(u >= {c!r})::INT" for c in rk.poisson_steps())
+
+
+@plan("k03_bootstrap_returns", f"""SELECT portfolio, quantile_cont(r, 0.05) AS p5, quantile_cont(r, 0.5) AS p50, quantile_cont(r, 0.95) AS p95, count(*) AS n_sims
+FROM (SELECT portfolio, sim, sum(g * ({STEPS})) AS r
+  FROM (SELECT *, {rk.draw('trade_id', 'sim', 42)} AS u
+    FROM (SELECT portfolio, trade_id::BIGINT AS trade_id, ln(1 + greatest(exit_price / entry_price - 1, -0.999)) AS g FROM trades_p), range(200) t(sim))
+  GROUP BY 1, 2) GROUP BY 1""", "p5 p50 p95")
 def _(p):
     t = p.trades().withColumn("return_pct", C("exit_price") / C("entry_price") - 1)
-    return rk.bootstrap(t, "portfolio", 200)
+    return rk.bootstrap(t, "portfolio", 200, log=True)
 
 
 cte("dd_p", "SELECT portfolio, max(capital) AS peak, arg_max(capital, date) AS last FROM snapshots_p GROUP BY 1")

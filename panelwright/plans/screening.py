@@ -482,10 +482,10 @@ def _(p):
     return rk.cross_comparison(rec.picks(p), ["date"], sc.MODES)
 
 
-@plan("f20_prewarm_top_turnover", "SELECT symbol, sum(turnover) AS turnover FROM (SELECT * FROM bars_p QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) <= 5) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50", "turnover:2")
+@plan("f20_prewarm_top_turnover", "SELECT symbol, sum(turnover) AS turnover FROM (SELECT * FROM bars_p QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) <= 5) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 200", "turnover:2")
 def _(p):
     d = fl.last_rows(p.bars().select("symbol", "date", "turnover"), 5).groupBy("symbol").agg(F.sum("turnover").alias("turnover"))
-    return d.orderBy(F.desc("turnover"), "symbol").limit(50)
+    return d.orderBy(F.desc("turnover"), "symbol").limit(200)
 
 
 # -- G --------------------------------------------------------------------------------

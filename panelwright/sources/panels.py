@@ -346,15 +346,16 @@ class Panels:
             F.when(t == "error", -1).when(t == "purchase", 1).otherwise(0).cast("long").alias("sentiment"),
         )
 
-    def concepts(self, min_lines: int = 100) -> DataFrame:
-        """(concept, symbol) membership: part types a symbol ships often."""
+    def concepts(self, parts: int = 6) -> DataFrame:
+        """(concept, symbol) membership: part types with at least one in ``parts`` of a symbol's lines."""
         p = self.table("part").select("p_partkey", F.col("p_type").alias("concept"))
         return (
             self.lines()
             .join(p, F.col("l_partkey") == F.col("p_partkey"))
             .groupBy("concept", "symbol")
             .agg(F.count(F.lit(1)).alias("n_lines"))
-            .where(F.col("n_lines") >= min_lines)
+            .withColumn("_all", F.sum("n_lines").over(Window.partitionBy("symbol")))  # one row per part type
+            .where(F.col("n_lines") * parts >= F.col("_all"))
             .select("concept", "symbol")
         )
 
