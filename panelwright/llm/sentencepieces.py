@@ -15,8 +15,9 @@ from panelwright.llm import tokens as T
 from panelwright.llm import vocabulary as V
 from panelwright.llm.piecemodel import SPACE, PieceModel
 
-RUN_CHARS = 8 << 20
-RUN_IDS = 1 << 20
+RUN_BYTES = 3 << 20
+THREADS = 2
+RUN_IDS = 1 << 19
 CALL = 20_000
 
 
@@ -31,6 +32,7 @@ class Codec:
         import sentencepiece
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
         model = PieceModel(data)
         self.tokenizer = model.rebuild()
         self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
@@ -61,10 +63,9 @@ def _encode(data, audit: int, at: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(data)
         for batch in batches:
-            done = 0
-            for texts in V.balanced(batch.column(at).to_pylist(), RUN_CHARS):
-                part = batch.slice(done, len(texts))
-                done += len(texts)
+            for i, j in T.runs(T.buffers(batch.column(at))[1], RUN_BYTES):
+                part = batch.slice(i, j - i)
+                texts = part.column(at).to_pylist()
                 ids, back = codec.encode(texts)
                 due = [k for k, a in enumerate(part.column(at + 1).to_pylist()) if audit and a % audit == 0]
                 same: list[bool | None] = [None] * len(texts)

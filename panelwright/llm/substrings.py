@@ -26,8 +26,8 @@ from panelwright.llm.shared import carried, type_of
 
 PERIOD = 13
 COVER = (0, 1, 3, 9)
-BATCH_BYTES = 32 << 20
-RANGE_BYTES = 48 << 20
+BATCH_BYTES = 16 << 20
+RANGE_BYTES = 24 << 20
 _NO_ID = -(1 << 63)
 _PACKED = "part int, batch long, sure boolean, h binary, doc binary, pos binary, ids binary, keys binary"
 _ALPHABET = T.Alphabet(T.WHITE, False)

@@ -15,11 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.llm import tokens as T
 from panelwright.llm import vocabulary as V
 from panelwright.llm.piecemodel import PieceModel
 from panelwright.llm.shared import type_of
 
-RUN_CHARS = 8 << 20
+RUN_BYTES = 8 << 20
 CALL_CHARS = 1 << 20
 
 
@@ -68,10 +69,9 @@ def _count(name: str, data):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = V.loaded(("count", name), lambda: Counter(name, data.value))
         for batch in batches:
-            texts = batch.column(1).to_pylist()
             counts: list[int] = []
-            for run in V.balanced(texts, RUN_CHARS):
-                counts += counter.count(run)
+            for i, j in T.runs(T.buffers(batch.column(1))[1], RUN_BYTES):
+                counts += counter.count(batch.column(1).slice(i, j - i).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     return run

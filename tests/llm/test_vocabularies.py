@@ -17,7 +17,7 @@ PIECES = "piece_bpe_32k.model"
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json", PIECES])
 def test_counts_are_the_library_s(spark, frame, prose, monkeypatch, name):
-    monkeypatch.setattr(tokencounts, "RUN_CHARS", 5000)
+    monkeypatch.setattr(tokencounts, "RUN_BYTES", 5000)
     path = vocabulary(name)
     rows = [*prose, *((1000 + k, t) for k, t in enumerate(ODD)), (None, "no id"), (5000, "word " * 60_000), (5000, "word " * 60_000)]
     got = sorted((r.doc_id or -1, r.n_bytes, r.n_tokens) for r in tokencounts.count_tokens(frame(rows).selectExpr("*", "1 as n_bytes", "2 as n_tokens"), path).collect())
