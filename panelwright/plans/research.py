@@ -473,18 +473,27 @@ def _(p):
     return d.groupBy("portfolio").agg(F.count(F.lit(1)).alias("n"), (F.avg((C("r") > 0).cast("int")) * 100).alias("win_rate"), F.avg("r").alias("avg_return"), F.sum((C("exit_price") - C("entry_price")) * C("shares")).alias("pnl"), (F.avg((C("exit_reason") == "stop_loss").cast("int")) * 100).alias("stop_loss_pct"))
 
 
-@plan("j31_concept_correlation_candidates", """SELECT concept, symbol, avg(rho) AS mean_rho FROM (SELECT s.concept, b.symbol, s.symbol AS seed, corr(a.r1, b.r1) AS rho, count(*) AS n FROM seeds_p s JOIN bars_r a ON a.symbol = s.symbol AND a.r1 IS NOT NULL JOIN bars_r b ON b.date = a.date AND b.symbol <> a.symbol AND b.r1 IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) > 10) GROUP BY 1, 2 HAVING avg(rho) >= 0.05""", "mean_rho")
-def _(p):
+@plan("j31_concept_correlation_candidates", """SELECT concept, symbol, avg(rho) AS mean_rho
+FROM (
+  SELECT s.concept, b.symbol, s.symbol AS seed, corr(a.r1, b.r1) AS rho, count(*) AS n
+  FROM seeds_p s
+  JOIN candidates_p c ON c.concept = s.concept AND c.symbol <> s.symbol
+  JOIN bars_r a ON a.symbol = s.symbol AND a.r1 IS NOT NULL
+  JOIN bars_r b ON b.symbol = c.symbol AND b.date = a.date AND b.r1 IS NOT NULL
+  GROUP BY 1, 2, 3 HAVING count(*) > 10)
+GROUP BY 1, 2 HAVING avg(rho) >= 0.05""", "mean_rho")
+def _(p):
+    """Seeds: a concept's first and last member; candidates: the names of the seeds' industries."""
     seeds = p.concepts().groupBy("concept").agg(F.min("symbol").alias("a"), F.max("symbol").alias("b"))
     seeds = seeds.select(C("concept").alias("group"), F.explode(F.array("a", "b")).alias("symbol")).distinct()
+    names = p.info().select("symbol", "industry")
+    right = seeds.join(names, "symbol").select("group", "industry").distinct().join(names, "industry").select("group", "symbol")
     r = p.closes().select("symbol", "date", ind.ret("close", 1).alias("r")).where(C("r").isNotNull())
-    a = r.join(seeds, "symbol").select("group", "date", C("symbol").alias("a"), C("r").alias("ra"))
-    # two seeds per concept: every bar meets at most that many rows per concept
-    g = a.join(r.select("date", C("symbol").alias("b"), C("r").alias("rb")), "date").where(C("a") != C("b")).groupBy("group", "a", "b")
-    rho = g.agg(corr("ra", "rb").alias("rho"), F.count(F.lit(1)).alias("n")).where(C("n") > 10)
+    rho = rs.pair_corr(r, seeds, right)
     return rho.groupBy(C("group").alias("concept"), C("b").alias("symbol")).agg(F.avg("rho").alias("mean_rho")).where(C("mean_rho") >= 0.05)
 
 
+cte("candidates_p", "SELECT DISTINCT concept, j.symbol FROM seeds_p s JOIN info_p i ON i.symbol = s.symbol JOIN info_p j ON j.industry = i.industry")
 cte("seeds_p", "SELECT concept, min(symbol) AS symbol FROM concepts_p GROUP BY 1 UNION SELECT concept, max(symbol) FROM concepts_p GROUP BY 1")
 cte("qst_p", "SELECT s.*, 1 + (flow_ratio > quantile_cont(flow_ratio, 0.2) OVER ())::INT + (flow_ratio > quantile_cont(flow_ratio, 0.4) OVER ())::INT + (flow_ratio > quantile_cont(flow_ratio, 0.6) OVER ())::INT + (flow_ratio > quantile_cont(flow_ratio, 0.8) OVER ())::INT AS q FROM study_p s WHERE fwd_10 IS NOT NULL")
 
