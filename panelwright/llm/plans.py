@@ -211,10 +211,7 @@ def op9_token_counts(spark: SparkSession, root: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    labels = table(spark, root, "labels").filter(~held_out).select("doc_id", "toxic")
-    # the sample is drawn from the narrow table, so that only its texts are looked up
-    drawn = labels.filter("doc_id is not null and toxic is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(toxicity.SAMPLE)
-    model = toxicity.fit(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id"))
+    model = toxicity.fit(docs, table(spark, root, "labels").filter(~held_out))
     out = toxicity.score(docs, model)
     return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 

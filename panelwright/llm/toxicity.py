@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.llm.shared import stored
+
 #: Letters that look like Latin ones, and digits and signs that stand for letters.
 LOOKALIKES = "аa вb еe кk мm нh оo рp сc тt уy хx іi јj ѕs ԁd ԛq ԝw αa εe ιi κk οo ρp τt υu χx νv ıi ɡg"
 STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
@@ -144,17 +146,24 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     return w[:-1], float(w[-1])
 
 
-def fit(texts: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from (doc_id, text, toxic), rows with a null in any of them left out, on `sample` rows at most.
+def drawn(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The bounded sample: the (doc_id, toxic) with the smallest hash of doc_id, rows with a null left out."""
+    known = labels.filter("doc_id is not null and toxic is not null").select("doc_id", "toxic").distinct()
+    return known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """A model from the texts of the documents in a sample of the labels, `sample` of them at most (see `drawn`).
 
-    The sample has the rows with the smallest hash of doc_id. Terms: those whose rate per word in toxic rows is at least
+    Null texts are left out. Terms: those whose rate per word in toxic rows is at least
     six times that in others and beyond chance (z of 8 and more by words, 5 by rows), in 5 toxic rows at least; of terms that begin alike,
     the one furthest beyond chance. With no toxic or no other rows, or no terms, all scores are the share of toxic rows.
     """
-    ids = texts.filter("doc_id is not null and text is not null and toxic is not null")
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample).select("text", (F.col("toxic") == 1).alias("toxic"))
-    rows = ids.repartition(max(1, sample // 250))
+    # the sample is bounded, so it can be broadcast; its texts stay distributed
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text is not null").join(F.broadcast(drawn(labels, sample)), "doc_id")
+    rows = stored(rows.select("text", (F.col("toxic") == 1).alias("toxic")), "labelled")
     sums = rows.mapInArrow(_counts, "term string, toxic_docs long, other_docs long, toxic_n long, other_n long").groupBy("term").agg(*(F.sum(c).alias(c) for c in ("toxic_docs", "other_docs", "toxic_n", "other_n")))
+    sums = stored(sums.filter("toxic_docs >= 5 or other_docs >= 3 or term = ''"), "terms")
     whole = sums.filter("term = ''").first()
     if whole is None:
         return Model({}, (), (0.0,) * 3, (1.0,) * 3, (0.0,) * 3, -3.0)

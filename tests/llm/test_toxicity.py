@@ -21,7 +21,7 @@ def rows(seed, n=600):
 
 def test_held_out_rows_are_told_apart(spark):
     train = spark.createDataFrame(rows(1), "doc_id long, text string, toxic int")
-    model = toxicity.fit(train)
+    model = toxicity.fit(train.drop("toxic"), train)
     assert " vlumid " in model.terms and any(" grimpf".startswith(t) for t in model.terms)
     test = rows(2, 400)
     df = spark.createDataFrame([(i, t) for i, t, _ in test], "doc_id long, text string")
@@ -29,7 +29,7 @@ def test_held_out_rows_are_told_apart(spark):
     caught = sum(got[i].predicted for i, _, y in test if y)
     false = sum(got[i].predicted for i, _, y in test if not y)
     assert caught >= 0.9 * sum(y for *_, y in test) and false <= 4
-    assert toxicity.fit(train).slope == model.slope
+    assert toxicity.fit(train.drop("toxic"), train).slope == model.slope
 
 
 def test_exception_phrases_spare_hits():
@@ -41,15 +41,19 @@ def test_exception_phrases_spare_hits():
 
 
 def test_edges(spark, frame):
-    model = toxicity.fit(spark.createDataFrame(rows(1), "doc_id long, text string, toxic int"))
+    train = spark.createDataFrame(rows(1), "doc_id long, text string, toxic int")
+    model = toxicity.fit(train.drop("toxic"), train)
     out = toxicity.score(frame([(None, None), (1, ""), (1, ""), (2, "vlumid " * 50_000), (3, "...")]).selectExpr("doc_id", "text", "1 as score", "0 as predicted"), model).collect()
     assert sorted((r.doc_id or 0, r.predicted) for r in out) == [(0, 0), (1, 0), (1, 0), (2, 1), (3, 0)] and all(0 <= r.score <= 1 for r in out)
     assert toxicity.score(frame([]), model).count() == 0
     for few in ([], [(1, "a b", 1)], [(None, "x", 1), (2, None, 0), (3, "y", None)], [(k, "fine text", 0) for k in range(9)]):
-        flat = toxicity.fit(spark.createDataFrame(few, "doc_id long, text string, toxic int"))
+        few = spark.createDataFrame(few, "doc_id long, text string, toxic int")
+        flat = toxicity.fit(few.drop("toxic"), few)
         assert not flat.terms and [r.predicted for r in toxicity.score(frame([(1, "a")]), flat).collect()] in ([0], [1])
 
 
 def test_sample_is_a_bound_and_stable(spark):
     df = spark.createDataFrame(rows(1), "doc_id long, text string, toxic int")
-    assert toxicity.fit(df, sample=300) == toxicity.fit(df.orderBy("text"), sample=300)
+    docs = df.drop("toxic")
+    assert toxicity.drawn(df, 300).count() == 300
+    assert toxicity.fit(docs, df, sample=300) == toxicity.fit(docs.orderBy("text"), df.repartition(3), sample=300)
