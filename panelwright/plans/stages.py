@@ -287,14 +287,25 @@ def _(p):
 # -- the whole scan ---------------------------------------------------------------------------------------
 
 
-def scan(p, top_n=20):
+def within_risk(p, d):
+    """The hard risk rule of every mode at once, on thresholds over all names of a scan date."""
+    names = with_vol(p, rec.dimension_scores(p)).withColumn("atr", C("atr14") / C("close")).select("symbol", "date", *CAPS)
+    q = {f"_q_{m}": (RISK[m][0], RISK[m][1]) for m in RISK}
+    d = d.drop(*CAPS).join(names, ["symbol", "date"]).join(p.xs.quantiles(names, "date", q), "date")
+    keep = F.lit(False)
+    for m, (col, _, _) in RISK.items():
+        keep = F.when(C("mode") == m, C(col) <= F.least(C(f"_q_{m}"), F.lit(CAPS[col]))).otherwise(keep)
+    return d.where(keep).drop(*q)
+
+
+def scan(p, top_n=20, risk=True):
     """Soft stages, hard filters, rank, sector cap and trim for every scan date and mode, one plan.
 
-    Stage order: post score, weekly trend, momentum decay, flow acceleration, timeframe alignment, flow
+    Stage order: risk rule of the mode, post score, weekly trend, momentum decay, flow acceleration, timeframe alignment, flow
     MACD, divergence, then crisis, overheating, score floor and the regime block.
     """
     fast = C("mode").isin("momentum", "growth")
-    d = scored(p)
+    d = within_risk(p, scored(p)) if risk else scored(p)
     post = C("composite_score") + F.when(C("mode") == "swing", F.greatest("vcp_bonus", "breakout_bonus")).otherwise(0.0)
     d = d.withColumn("composite_score", post * (1 + C("weekly_bonus")) * (1 + F.when(fast, C("momentum_decay")).otherwise(0.0)) * (1 + C("inst_accel_bonus")))
     d = d.where(~(fast & (C("mtf_alignment") == -0.03)))
@@ -309,8 +320,12 @@ def scan(p, top_n=20):
     return rk.diversify(d, KEY, top_n)
 
 
-cte("scan0_p", f"""SELECT c.symbol, c.date, c.mode, c.regime, c.r5, c.r10, (c.composite_score + CASE WHEN mode = 'swing' THEN greatest(vcp_bonus, breakout_bonus) ELSE 0 END) * (1 + weekly_bonus) * (1 + CASE WHEN {FAST} THEN momentum_decay ELSE 0 END) * (1 + inst_accel_bonus) * (1 + mtf_alignment) * (1 + (chip_macd_score - 0.5) * 0.06) * (1 + vp_divergence) AS s
-   FROM softc_p c JOIN rs_p r ON r.symbol = c.symbol AND r.date = c.date WHERE NOT ({FAST} AND mtf_alignment = -0.03) AND NOT (regime = 'crisis' AND (excess_20 < -0.10 OR (n >= 60 AND close < sma60)))""")
+FAST_C = "c.mode IN ('momentum', 'growth')"
+WITHIN = "CASE c.mode " + " ".join(f"WHEN '{m}' THEN k.{c} <= least(q.q_{m}, {CAPS[c]})" for m, (c, _, _) in RISK.items()) + " END"
+cte("riskq_p", "SELECT date, " + ", ".join(f"quantile_cont({c}, {v}) AS q_{m}" for m, (c, v, _) in RISK.items()) + " FROM riskin_p WHERE mode = 'momentum' GROUP BY 1")
+cte("scan0_p", f"""SELECT c.symbol, c.date, c.mode, c.regime, c.r5, c.r10, (c.composite_score + CASE WHEN c.mode = 'swing' THEN greatest(vcp_bonus, breakout_bonus) ELSE 0 END) * (1 + weekly_bonus) * (1 + CASE WHEN {FAST_C} THEN momentum_decay ELSE 0 END) * (1 + inst_accel_bonus) * (1 + mtf_alignment) * (1 + (chip_macd_score - 0.5) * 0.06) * (1 + vp_divergence) AS s
+   FROM softc_p c JOIN rs_p r ON r.symbol = c.symbol AND r.date = c.date JOIN (SELECT * FROM riskin_p WHERE mode = 'momentum') k ON k.symbol = c.symbol AND k.date = c.date JOIN riskq_p q ON q.date = c.date
+   WHERE {WITHIN} AND NOT ({FAST_C} AND mtf_alignment = -0.03) AND NOT (c.regime = 'crisis' AND (excess_20 < -0.10 OR (c.n >= 60 AND c.close < c.sma60)))""")
 cte("scan1_p", """SELECT *, row_number() OVER (PARTITION BY date, mode ORDER BY composite_score DESC, symbol) AS pool_rank FROM (SELECT symbol, date, mode, regime, round(s2, 9) AS composite_score FROM (SELECT *, CASE WHEN r5 > 1.0 OR r10 > 2.0 THEN s * 0.85 ELSE s END AS s2 FROM scan0_p WHERE NOT (coalesce(r5, 0) > 3.0 OR coalesce(r10, 0) > 5.0))
    WHERE s2 >= CASE regime WHEN 'bull' THEN 0.45 WHEN 'bear' THEN 0.55 WHEN 'crisis' THEN 0.60 ELSE 0.50 END AND NOT ((regime = 'sideways' AND mode IN ('momentum', 'growth')) OR (regime = 'crisis' AND mode = 'growth')))""")
 cte("scanres_p", """SELECT symbol, date, mode, industry, composite_score, pool_rank, row_number() OVER (PARTITION BY date, mode ORDER BY pool_rank) AS rank FROM (SELECT s.*, i.industry, row_number() OVER (PARTITION BY date, mode, i.industry ORDER BY pool_rank) AS k FROM scan1_p s JOIN info_p i ON i.symbol = s.symbol WHERE pool_rank <= 40) WHERE k <= 5 QUALIFY rank <= 20""")
