@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.crosssection import CrossSection
 from ..functions.exprs import DATE, SYMBOL, clip, div, symbol_window, trailing
 from ..functions.timeseries import asof, ret, streak
-from .indicators import adx, decayed_flow, rsi
+from .indicators import decayed_flow
 
 W = symbol_window
 C = F.col
@@ -499,6 +499,3 @@ def clip_budget(bonus: Column, used: Column, budget: float = 0.08) -> Column:
     """Keep the sum of related bonuses within the budget."""
     room = F.greatest(budget - F.abs(used), F.lit(0.0))
     return F.greatest(F.least(bonus, room), -room)
-
-
-_ = rsi, adx

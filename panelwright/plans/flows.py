@@ -4,7 +4,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import ordinals
-from ..functions.exprs import lookup
 from ..functions.text import CATALYST_TYPES, RISK_TYPES, news_decay_weight
 from ..operators import flows as op
 from ..operators import indicators as ind
@@ -471,4 +470,3 @@ def _(p):
 from .ctes import ewm_sql  # noqa: E402
 
 ewm_sql("sme_p", "flows_p", {"e": ("total_net", 0.5)})
-_ = lookup

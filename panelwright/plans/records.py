@@ -11,7 +11,7 @@ from ..operators import ranking as rk
 from ..operators import scoring as sc
 from .ctes import cte
 from .regime import regimes
-from .scoring import at_scan, fundamental_panel
+from .scoring import at_scan
 
 C = F.col
 TOP = 20
@@ -75,4 +75,3 @@ cte("dims_p", """SELECT t.symbol, t.date, x.close, x.volume, a.atr14, x.r5, x.r1
 cte("comp_p", "SELECT *, round(" + " + ".join(f"coalesce({k}_score, 0.5) * ({weight_sql(k)})" for k in SCORES) + ", 9) AS composite_score, close - 1.5 * atr14 AS stop_loss FROM dims_p, (SELECT unnest(['momentum', 'swing', 'value', 'dividend', 'growth']) AS mode)")
 cte("pool_p", f"SELECT *, row_number() OVER (PARTITION BY date, mode ORDER BY composite_score DESC, symbol) AS pool_rank, row_number() OVER (PARTITION BY date, mode ORDER BY composite_score DESC, symbol) <= {TOP} AS selected FROM comp_p")
 cte("picks_p", "SELECT *, pool_rank AS rank FROM pool_p WHERE selected")
-_ = fundamental_panel

@@ -5,14 +5,12 @@ from pyspark.sql import functions as F
 
 from ..functions import trading as tr
 from ..functions.exprs import corr, lookup
-from ..operators import flows as fl
 from ..operators import indicators as ind
 from ..operators import ranking as rk
 from ..operators import research as rs
 from ..operators import scoring as sc
 from . import records as rec
 from .ctes import cte, pr_sql
-from .indicators import OUT  # noqa: F401
 from .regime import regimes
 from .registry import plan
 from .scoring import T5, at_scan, price_panel
@@ -596,6 +594,3 @@ def _(p):
 @plan("d43_calendar_returns", "SELECT mode, date, avg(fwd_10) AS avg_return, count(fwd_10) AS n FROM evalk_p GROUP BY 1, 2", "avg_return")
 def _(p):
     return evaluated_picks(p).groupBy("mode", "date").agg(F.avg("fwd_10").alias("avg_return"), F.count("fwd_10").alias("n"))
-
-
-_ = fl

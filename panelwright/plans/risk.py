@@ -3,19 +3,16 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import trading as tr
 from ..functions.calendar import ordinals
-from ..functions.exprs import corr
 from ..functions.timeseries import asof
 from ..operators import flows as fl
 from ..operators import indicators as ind
 from ..operators import risk as rk
-from ..operators import scoring as sc
 from . import records as rec
-from .ctes import cte, ewm_sql
-from .indicators import dividend_events, vote_panel
+from .ctes import cte
+from .indicators import dividend_events
 from .registry import plan
-from .research import evaluated_picks, verdicts
+from .research import verdicts
 from .regime import regimes
 
 C = F.col
@@ -549,4 +546,3 @@ def ranged(name, frame, days, cols, key="symbol, date"):
 ranged("c22_broker_data_window", ("brokers_p", lambda p: p.brokers()), 7, "buy sell", "symbol, date, broker")
 ranged("c23_sbl_data_window", ("lending_p", lambda p: p.lending()), 14, "sbl_balance sbl_change")
 ranged("c24_holding_data_window", ("holding_p", lambda p: p.holding()), 60, "percent", "symbol, date, level")
-_ = (corr, sc, evaluated_picks, vote_panel, ewm_sql, tr)
