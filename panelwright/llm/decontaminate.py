@@ -146,29 +146,38 @@ def _pass(block):
     return run
 
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, at = T.buffers(batch.column(1))
-        count, kept = [], []
-        for k, hits in enumerate(batch.column(3).to_pylist()):
-            text = data[at[k] : at[k + 1]]
-            count.append(0)
-            if hits:
-                words = T.words_of(data, at[k : k + 2], _ALPHABET)
-                step = np.zeros(len(words.hash) + 1, np.int64)
-                np.add.at(step, np.array(hits[::2]), 1)
-                np.add.at(step, np.array(hits[1::2]), -1)
-                gone = np.cumsum(step[:-1]) > 0
-                count[-1] = int(gone.sum())
-                begin = words.begin - at[k]
-                until = np.append(begin[1:], len(text))
-                cut = np.zeros(len(text) + 1, np.int64)
-                np.add.at(cut, begin[gone], 1)
-                np.add.at(cut, until[gone], -1)
-                text = text[np.cumsum(cut[:-1]) == 0]
-            kept.append(text.tobytes())
-        out = [batch.column(0), batch.column(2), pa.array(count, pa.int64()), batch.column(4), batch.column(5), pa.array(kept, pa.binary()).cast(pa.string()), batch.column(6)]
-        yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_words", "n_hit", "items", "longest", "clean_text", "row"])
+def _finish(scan):
+    """The last block's scan and what follows from all hits, in one worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in scan(batches):
+            yield _judged(batch)
+
+    return run
+
+
+def _judged(batch: pa.RecordBatch) -> pa.RecordBatch:
+    data, at = T.buffers(batch.column(1))
+    count, kept = [], []
+    for k, hits in enumerate(batch.column(3).to_pylist()):
+        text = data[at[k] : at[k + 1]]
+        count.append(0)
+        if hits:
+            words = T.words_of(data, at[k : k + 2], _ALPHABET)
+            step = np.zeros(len(words.hash) + 1, np.int64)
+            np.add.at(step, np.array(hits[::2]), 1)
+            np.add.at(step, np.array(hits[1::2]), -1)
+            gone = np.cumsum(step[:-1]) > 0
+            count[-1] = int(gone.sum())
+            begin = words.begin - at[k]
+            until = np.append(begin[1:], len(text))
+            cut = np.zeros(len(text) + 1, np.int64)
+            np.add.at(cut, begin[gone], 1)
+            np.add.at(cut, until[gone], -1)
+            text = text[np.cumsum(cut[:-1]) == 0]
+        kept.append(text.tobytes())
+    out = [batch.column(0), batch.column(2), pa.array(count, pa.int64()), batch.column(4), batch.column(5), pa.array(kept, pa.binary()).cast(pa.string()), batch.column(6)]
+    return pa.RecordBatch.from_arrays(out, ["doc_id", "n_words", "n_hit", "items", "longest", "clean_text", "row"])
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -202,9 +211,9 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = 10, id_col: s
         order = np.argsort(value)
         rank = {known[o]: n for n, o in enumerate(order)}
         automaton = Automaton([(r["name"], [rank[w] for w in r["words"]]) for r in own], window)
-        out = out.mapInArrow(_pass(spark.sparkContext.broadcast((automaton, value[order]))), schema)
+        scan = _pass(spark.sparkContext.broadcast((automaton, value[order])))
         if k + 1 < blocks:
-            out = stored(out, "scanned")
-    out = out.mapInArrow(_finish, f"doc_id {type_of(docs, id_col)}, n_words long, n_hit long, items array<string>, longest long, clean_text string, row {type_of(out, 'row')}")
+            out = stored(out.mapInArrow(T.tidied(scan), schema), "scanned")
+    out = out.mapInArrow(T.tidied(_finish(scan)), f"doc_id {type_of(docs, id_col)}, n_words long, n_hit long, items array<string>, longest long, clean_text string, row {type_of(out, 'row')}")
     out = out.withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     return out if carry else out.drop("row")

@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     """
     rows, bands = plan(percent / 100)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    seen = stored(base.mapInArrow(_fingerprints(words, rows, bands), "doc_id long, n_shingles long, n_bytes long, c1 long, c2 long, keys array<long>"), "fingerprints")
+    seen = stored(base.mapInArrow(T.tidied(_fingerprints(words, rows, bands)), "doc_id long, n_shingles long, n_bytes long, c1 long, c2 long, keys array<long>"), "fingerprints")
     full = seen.filter("n_shingles > 0 and doc_id is not null")
     classes = stored(full.groupBy("c1", "c2").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies")), "classes")
     lead = full.join(classes.select("c1", "c2", F.col("doc").alias("doc_id")), ["c1", "c2", "doc_id"], "left_semi").groupBy("doc_id", "c1", "c2", "n_bytes").agg(F.first("keys").alias("keys"))
@@ -209,7 +209,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     def solve(cells: DataFrame, keys: list[str]) -> DataFrame:
         """cells: keys, doc, known -> links."""
         with_text = cells.join(texts, F.col("doc") == F.col("doc_id")).select(*keys, "doc", "known", "text")
-        return with_text.groupBy(*keys).applyInArrow(_resolve(words, percent), "a long, b long")
+        return with_text.groupBy(*keys).applyInArrow(T.tidied_group(_resolve(words, percent)), "a long, b long")
 
     hub_rows = size.filter("blocks > 1").select("hub", F.col("hub").alias("doc"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     cells = placed.select("hub", "doc", "block").unionAll(hub_rows.select("hub", "doc", "block")).distinct().withColumn("known", F.col("doc"))

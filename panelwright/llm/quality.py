@@ -154,7 +154,7 @@ def measure(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), carried(carry))
     out = rows.mapInArrow(
-        _measure(data),
+        T.tidied(_measure(data)),
         f"doc_id {type_of(docs, id_col)}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, letters_per_token double, byte_share double, bits_share double, row {type_of(rows, 'row')}",
     )
     band = lambda k: F.create_map(*(F.lit(x) for s, b in BANDS.items() for x in (s, b[k])))[F.col("script")]

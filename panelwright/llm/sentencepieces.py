@@ -109,11 +109,11 @@ def encode(docs: DataFrame, path: str, keep: list[str], text_col: str = "text",
     rows = docs.select(*keep, text.alias("text_"), F.abs(F.hash(text).cast("long")).alias("audit_"))
     names = [*keep, "ids", "parity", "round_trip"]
     kept = f"{_fields(docs, keep)}, " if keep else ""
-    return rows.mapInArrow(_encode(data, audit, len(keep), names), f"{kept}ids array<int>, parity boolean, round_trip boolean")
+    return rows.mapInArrow(T.tidied(_encode(data, audit, len(keep), names)), f"{kept}ids array<int>, parity boolean, round_trip boolean")
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """Adds decoded, the text of the ids; null or no ids give an empty text."""
     data = rows.sparkSession.sparkContext.broadcast(V.contents(path))
     names = [*rows.columns, "decoded"]
-    return rows.mapInArrow(_decode(data, rows.columns.index(ids_col), names), f"{_fields(rows, rows.columns)}, decoded string")
+    return rows.mapInArrow(T.tidied(_decode(data, rows.columns.index(ids_col), names)), f"{_fields(rows, rows.columns)}, decoded string")

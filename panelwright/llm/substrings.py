@@ -237,12 +237,12 @@ def remove_repeats(docs: DataFrame, length: int = 20, id_col: str = "doc_id", te
     parts = 1 + (base.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES
 
     def met(packed: DataFrame, ordered: bool) -> DataFrame:
-        hits = packed.groupBy("part").applyInArrow(_meet(ordered), "batch long, ids binary, keys binary, pos binary")
-        hits = hits.groupBy("batch").applyInArrow(_gather, "id long, key long, at binary")
+        hits = packed.groupBy("part").applyInArrow(T.tidied_group(_meet(ordered)), "batch long, ids binary, keys binary, pos binary")
+        hits = hits.groupBy("batch").applyInArrow(T.tidied_group(_gather), "id long, key long, at binary")
         return hits.groupBy("id", "key").agg(F.collect_list("at").alias("at"))
 
-    anchors = met(base.mapInArrow(_anchors(length, parts), _PACKED), False)
-    repeats = met(base.join(anchors, ["id", "key"]).select("id", "key", "text", "at").mapInArrow(_windows(length, parts), _PACKED), True)
+    anchors = met(base.mapInArrow(T.tidied(_anchors(length, parts)), _PACKED), False)
+    repeats = met(base.join(anchors, ["id", "key"]).select("id", "key", "text", "at").mapInArrow(T.tidied(_windows(length, parts)), _PACKED), True)
     joined = base.join(repeats, ["id", "key"], "left").select("id", "text", "at", "row")
-    out = joined.mapInArrow(_cut(length), f"id long, n_words long, n_removed long, kept_text string, row {type_of(base, 'row')}")
+    out = joined.mapInArrow(T.tidied(_cut(length)), f"id long, n_words long, n_removed long, kept_text string, row {type_of(base, 'row')}")
     return out.select(F.when(F.col("id") != _NO_ID, F.col("id")).alias("doc_id"), "n_words", "n_removed", "kept_text", *(["row"] if carry else []))

@@ -87,4 +87,4 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     data = docs.sparkSession.sparkContext.broadcast(V.contents(path))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
-    return rows.mapInArrow(_count(path.rsplit("/", 1)[-1], data), f"doc_id {type_of(docs, id_col)}, n_bytes long, n_tokens long")
+    return rows.mapInArrow(T.tidied(_count(path.rsplit("/", 1)[-1], data)), f"doc_id {type_of(docs, id_col)}, n_bytes long, n_tokens long")

@@ -7,7 +7,8 @@ run of consecutive words of one text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +24,44 @@ _STEP_INV = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
 _LETTERS = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers live on between tasks, and what they keep adds up."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run`, one batch held at a time, with its memory released after every batch that it takes and at the end."""
+
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch
+            del batch
+            release()
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(taken(batches))
+        release()
+
+    return out
+
+
+def tidied_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """`run`, with memory released after every large group."""
+
+    def out(table: pa.Table) -> pa.Table:
+        large = table.nbytes > 4 * BLOCK
+        result = run(table)
+        del table
+        if large:
+            release()
+        return result
+
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every input bit."""
     x = x ^ (x >> np.uint64(33))
