@@ -219,4 +219,4 @@ def op8_toxicity(spark: SparkSession, root: str) -> DataFrame:
 @query()
 def op6_masked_pseudo_likelihood(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents")
-    return pseudolikelihood.score(docs, pseudolikelihood.train(docs))
+    return pseudolikelihood.score(docs, pseudolikelihood.train(docs), words=pseudolikelihood.vocabulary(docs))

@@ -1,10 +1,14 @@
 """Masked pseudo-likelihood of texts by a small bidirectional window network, trained in numpy over the whole corpus.
 
-A word is one of VOCABULARY buckets of its hash. The network sees two words on either side, weighs their embeddings by
-position, and predicts the word in two softmax steps: its class, then its place in the class. Training is data-parallel:
-in each round every task starts from the same weights, takes one pass of mini-batches over its documents of that round
-and sends its weights in blocks; their means, weighted by words and formed in two steps of grouping, start the next
-round. Every document is trained on once. A text's score is the sum over its words of log P(word | both sides).
+A word falls into one of VOCABULARY buckets of its hash. The network sees the buckets of two words on either side, weighs
+their embeddings by position, and predicts the bucket in two softmax steps: its class, then its place in the class.
+Training is data-parallel: in each round every task starts from the same weights, takes one pass of mini-batches over its
+documents of that round and sends its weights in blocks; their means, weighted by words and formed in two steps of
+grouping, start the next round. Every document is trained on once.
+
+Which word of its bucket it is comes from a table of the corpus's words and counts, which grows with the corpus and is
+joined by word; only the words that are at least one in HOT of all, never more than HOT, are broadcast. A text's score is
+the sum over its words of log P(bucket | both sides) + log P(word | bucket).
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm import tokens as T
-from panelwright.llm.shared import type_of
+from panelwright.llm.shared import stored, type_of
 
 CLASSES = 48
 VOCABULARY = CLASSES * CLASSES
@@ -30,6 +34,10 @@ LIMIT = 4.0
 ROUNDS = 2
 FLOATS = 1024
 SALTS = 64
+HOT = 1 << 16
+ENTRIES = 1 << 20
+#: Added to each count; a bucket counts as having as many unseen words as seen ones, and one more.
+ADDED = 0.1
 _ALPHABET = T.Alphabet(T.WHITE, True)
 #: name -> shape; buckets have one more embedding, for what lies outside a text.
 SHAPES = {
@@ -122,8 +130,11 @@ def forward(w: dict[str, np.ndarray], context: np.ndarray, word: np.ndarray, gra
 
 
 def examples(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, word, text) of every word of a run of texts."""
-    words = T.words_of(data, at, _ALPHABET)
+    """(context, bucket, text) of every word of a run of texts."""
+    return _examples(T.words_of(data, at, _ALPHABET))
+
+
+def _examples(words: T.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     bucket, text = ((words.hash >> np.uint64(32)) % np.uint64(VOCABULARY)).astype(np.int32), words.text
     context = np.full((len(bucket), len(OFFSETS)), VOCABULARY, np.int32)
     for p, o in enumerate(OFFSETS):
@@ -194,30 +205,98 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> np.n
     return values
 
 
-def _score(shared):
+def _summed(words: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words, sorted, and the sums of their counts."""
+    word, of = np.unique(np.concatenate(words), return_inverse=True)
+    return word, np.bincount(of, np.concatenate(counts), len(word)).astype(np.int64)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    send = lambda word, n: pa.RecordBatch.from_arrays([pa.array(word), pa.array(n)], ["word", "n"])
+    words, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for batch in batches:
+        data, at = T.buffers(batch.column(0))
+        for i, j in T.runs(at, T.BLOCK):
+            word, n = np.unique(T.words_of(data, at[i : j + 1], _ALPHABET).hash.view(np.int64), return_counts=True)
+            words.append(word)
+            counts.append(n)
+            if sum(map(len, words)) > ENTRIES:
+                word, n = _summed(words, counts)
+                words, counts = [word], [n]
+                if len(word) > ENTRIES // 2:
+                    yield send(word, n)
+                    words, counts = [word[:0]], [n[:0]]
+    yield send(*_summed(words, counts))
+
+
+def vocabulary(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """word, n: how often each word occurs in all texts, written to the shared folder. A word is its 64-bit hash."""
+    rows = docs.select(F.col(text_col).cast("string").alias("text")).filter("text is not null")
+    counts = rows.mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return stored(counts, "words")
+
+
+def _inside(words: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By bucket, log of what the counts of its words are divided by; the hot words, sorted, and log of their counts."""
+    bucket = F.pmod(F.shiftrightunsigned("word", 32), F.lit(VOCABULARY)).alias("bucket")
+    total, seen = np.zeros(VOCABULARY), np.zeros(VOCABULARY)
+    for r in words.groupBy(bucket).agg(F.sum("n").alias("n"), F.count("*").alias("seen")).collect():
+        total[r["bucket"]], seen[r["bucket"]] = r["n"], r["seen"]
+    hot = words.filter(F.col("n") * HOT >= int(total.sum())).toArrow()
+    word, n = hot.column("word").to_numpy(), hot.column("n").to_numpy()
+    order = np.argsort(word)
+    return np.log(total + ADDED * (2 * seen + 1)), word[order], np.log(n[order] + ADDED)
+
+
+def _score(shared, inside):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shaped(shared.value)
+        below, hot, above = inside.value
+        key = TaskContext.get().partitionId() << 40
         for batch in batches:
             data, at = T.buffers(batch.column(1))
             n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            rare, ends = [np.zeros(0, np.int64)], np.zeros(batch.num_rows, np.int64)
             for i, j in T.runs(at, T.BLOCK):
-                context, word, text = examples(data, at[i : j + 1])
-                for k in range(0, len(word), BATCH):
+                words = T.words_of(data, at[i : j + 1], _ALPHABET)
+                context, bucket, text = _examples(words)
+                for k in range(0, len(bucket), BATCH):
                     own = slice(k, k + BATCH)
-                    total[i:j] += np.bincount(text[own], forward(weights, context[own], word[own]), j - i)
+                    total[i:j] += np.bincount(text[own], forward(weights, context[own], bucket[own]) - below[bucket[own]], j - i)
                 n[i:j] += np.bincount(text, minlength=j - i)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total)], ["doc_id", "n_words", "log_likelihood"])
+                word = words.hash.view(np.int64)
+                place = np.searchsorted(hot, word)
+                known = place < len(hot)
+                known[known] = hot[place[known]] == word[known]
+                total[i:j] += np.bincount(text[known], above[place[known]], j - i)
+                rare.append(word[~known])
+                ends[i:j] = np.bincount(text[~known], minlength=j - i)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(ends))).astype(np.int32)), pa.array(np.concatenate(rare)))
+            keys = pa.array(np.arange(key, key + batch.num_rows))
+            key += batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total), keys, lists], ["doc_id", "n_words", "inner", "key", "rare"])
 
     return run
 
 
-def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", words: DataFrame | None = None) -> DataFrame:
     """One row per row of `docs`: doc_id, n_words, log_likelihood (sum over words, natural log), perplexity.
 
-    Words are maximal runs without ASCII white space, A-Z lower-cased. Null, empty and wordless texts: 0 words, sum 0,
-    perplexity null. Rows are scored each alone, null or repeated ids included. Other columns are not read.
+    Words are maximal runs without ASCII white space, A-Z lower-cased. `words` is the vocabulary of the training corpus;
+    by default that of `docs`. With n occurrences of a word, N of all words of its bucket and S distinct ones,
+    P(word | bucket) = (n + ADDED) / (N + ADDED * (2 S + 1)); n is 0 for an unseen word. Null, empty and wordless texts: 0
+    words, sum 0, perplexity null. Rows are scored each alone, null or repeated ids included. Other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    context = docs.sparkSession.sparkContext
+    words = vocabulary(docs, text_col) if words is None else words
+    run = _score(context.broadcast(weights), context.broadcast(_inside(words)))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInArrow(_score(shared), f"doc_id {type_of(docs, id_col)}, n_words long, log_likelihood double")
+    kind = f"doc_id {type_of(docs, id_col)}, n_words long, inner double, key long, rare array<long>"
+    # keys differ between runs of a task, so both sides of the last join read one stored copy
+    rows = stored(rows.mapInArrow(run, kind), "scored")
+    # in the corpus no word outside the hot ones is more than one in HOT, so none makes a large group
+    rare = rows.select("key", F.explode("rare").alias("word")).join(words, "word", "left")
+    rare = rare.groupBy("key").agg(F.sum(F.log(F.coalesce("n", F.lit(0)) + ADDED)).alias("more"))
+    out = rows.drop("rare").join(rare, "key", "left")
+    out = out.select("doc_id", "n_words", (F.col("inner") + F.coalesce("more", F.lit(0.0))).alias("log_likelihood"))
     return out.withColumn("perplexity", F.when(F.col("n_words") > 0, F.exp(-F.col("log_likelihood") / F.col("n_words"))))

@@ -56,3 +56,50 @@ def test_training_tells_likely_texts_from_shuffled_ones(spark, frame, monkeypatc
     assert got[1].n_words == got[2].n_words == 360 and got[1].perplexity < 0.7 * got[2].perplexity < M.VOCABULARY
     assert (got[None].n_words, got[None].log_likelihood, got[None].perplexity) == (0, 0.0, None) and got[3].perplexity is None and got[4].n_words == 60_000
     assert (M.train(frame([])) == uniform).all() and M.score(frame([]), weights).count() == 0
+
+
+def test_trained_weights_tell_words_of_the_corpus_from_shuffled_and_unseen_ones(spark, frame):
+    rng = random.Random(7)
+    nouns, verbs = ["river", "stone", "cloud", "meadow"], ["sees", "meets", "leaves"]
+    line = lambda: f"the {rng.choice(nouns)} {rng.choice(verbs)} a {rng.choice(nouns)} ."
+    texts = [" ".join(line() for _ in range(60)) for _ in range(4000)]
+    corpus = frame(list(enumerate(texts))).repartition(2)
+    weights, words = M.train(corpus), M.vocabulary(corpus)
+    assert words.count() == 10 and {r.n for r in words.collect()} >= {240_000}
+    good = texts[0].split()
+    # a word never seen for each word of the corpus, in the same bucket
+    bucket = lambda w: int(M.examples(*T.buffers(pa.array([w])))[1][0])
+    other, k = {}, 0
+    wanted = {bucket(w): w for w in set(good)}
+    while len(other) < len(wanted):
+        k += 1
+        if (w := wanted.get(bucket(f"q{k}"))) is not None:
+            other.setdefault(w, f"q{k}")
+    half = [w if i % 2 else other[w] for i, w in enumerate(good)]
+    rows = [(1, " ".join(good)), (2, " ".join(rng.sample(good, len(good)))), (3, " ".join(other[w] for w in good)), (4, " ".join(half)), (5, None)]
+    got = {r.doc_id: r for r in M.score(frame(rows), weights, words=words).collect()}
+    assert got[1].perplexity < 0.7 * got[2].perplexity and got[1].perplexity < 0.1 * got[4].perplexity < 0.01 * got[3].perplexity
+    assert got[3].n_words == 360 and got[5].log_likelihood == 0
+
+
+def test_word_probabilities_are_those_of_the_counts(frame, monkeypatch):
+    texts = ["a b a c", "a d", "B e f a"]
+    weights = M.flat(M.start())
+    words = M.vocabulary(frame(list(enumerate(texts))))
+    of = lambda t: T.words_of(*T.buffers(pa.array(t)), M._ALPHABET).hash.view(np.int64).tolist()
+    every = of([" ".join(texts)])
+    counts = {w: every.count(w) for w in every}
+    assert {r.word: r.n for r in words.collect()} == counts
+    probe = [(1, "a c zz"), (1, "zz"), (None, "b b")]
+    for hot in (1 << 16, 5, 0):
+        monkeypatch.setattr(M, "HOT", hot)
+        got = sorted((r.n_words, r.log_likelihood) for r in M.score(frame(probe), weights, words=words).collect())
+        expect = []
+        for _, t in probe:
+            context, bucket, _ = M.examples(*T.buffers(pa.array([t])))
+            total = M.forward(M.shaped(weights), context, bucket).sum()
+            for w, b in zip(of([t]), bucket, strict=True):
+                own = [counts[x] for x in counts if (x >> 32) % (1 << 32) % M.VOCABULARY == b]
+                total += np.log((counts.get(w, 0) + M.ADDED) / (sum(own) + M.ADDED * (2 * len(own) + 1)))
+            expect.append((len(t.split()), total))
+        assert np.allclose(got, sorted(expect), rtol=1e-5), hot
