@@ -51,8 +51,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def sentencepiece_codec(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, whether they decode to the text, and parity with sentencepiece for one text in eight."""
-    out = encode(docs, vocabulary("piece_bpe_32k.model"), ["doc_id", "lang", "source"], audit=8)
+    """Token ids, whether they decode to the text, and parity with sentencepiece."""
+    out = encode(docs, vocabulary("piece_bpe_32k.model"), ["doc_id", "lang", "source"])
     return out.withColumn("n_tokens", F.size("ids").cast("long"))
 
 

@@ -197,7 +197,7 @@ def op5_quality_rules(spark: SparkSession, root: str) -> DataFrame:
 
 @query()
 def op7_sentencepiece_codec(spark: SparkSession, root: str) -> DataFrame:
-    out = sentencepieces.encode(table(spark, root, "documents"), vocabulary("piece_bpe_32k.model"), ["doc_id"], audit=8)
+    out = sentencepieces.encode(table(spark, root, "documents"), vocabulary("piece_bpe_32k.model"), ["doc_id"])
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), "parity", "round_trip")
 
 
