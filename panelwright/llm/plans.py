@@ -55,12 +55,12 @@ links AS (
   WHERE 100 * c >= 85 * (s.n + t.n - c)),
 both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (
-  SELECT doc_id, doc_id AS at FROM documents
+  SELECT doc_id, doc_id AS reached FROM documents
   UNION
-  SELECT r.doc_id, e.b FROM reach r JOIN both_ways e ON r.at = e.a)
+  SELECT r.doc_id, e.b FROM reach r JOIN both_ways e ON r.reached = e.a)
 SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, r.component_id, d.doc_id = r.component_id AS kept
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id
-JOIN (SELECT doc_id, min(at) AS component_id FROM reach GROUP BY doc_id) r ON r.doc_id = d.doc_id""")
+JOIN (SELECT doc_id, min(reached) AS component_id FROM reach GROUP BY doc_id) r ON r.doc_id = d.doc_id""")
 def op3_minhash_near_dedup(spark: SparkSession, root: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, root, "documents"), words=3, percent=85)
 
