@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import chat, decontaminate, licenses, minhash, pseudolikelihood, quality, sentencepieces, substrings, tokencounts, toxicity
+from panelwright.llm import chat, decontaminate, licenses, minhash, pseudolikelihood, quality, sentencepieces, substrings, tokencounts, toxicity, trie
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -220,3 +220,39 @@ def op8_toxicity(spark: SparkSession, root: str) -> DataFrame:
 def op6_masked_pseudo_likelihood(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents")
     return pseudolikelihood.score(docs, pseudolikelihood.train(docs), words=pseudolikelihood.vocabulary(docs))
+
+
+_CRC = """xor(4294967295, list_reduce([ascii(c)::BIGINT FOR c IN string_split(conv_id::VARCHAR, '')], lambda crc, byte:
+    list_reduce(range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(crc, byte)), 4294967295))"""
+
+
+@query(f"""
+WITH turns AS (
+  SELECT conv_id, role, turn, text, substr(sha256(length(role) || ':' || role || text), 1, 32) AS key
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations)
+  WHERE conv_id IS NOT NULL),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, key) AS p FROM turns),
+heads AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {_CRC} % 4 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
+joined AS (
+  SELECT c.conv_id, 0 AS part, n.p, n.key, n.text FROM heads c JOIN numbered n ON n.conv_id = c.base AND n.p <= c.h
+  UNION ALL
+  SELECT c.conv_id, 1, n.p, n.key, n.text FROM heads c JOIN numbered n ON n.conv_id = c.conv_id AND n.p > c.h),
+members AS (
+  SELECT conv_id, row_number() OVER w AS depth, string_agg(key, '') OVER w AS path,
+    len(regexp_extract_all(text, '{_WHITE}')) AS words
+  FROM joined WINDOW w AS (PARTITION BY conv_id ORDER BY part, p)
+  UNION ALL SELECT conv_id, 0, '', 0 FROM heads),
+nodes AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words FROM members GROUP BY path, depth),
+lasts AS (SELECT conv_id, arg_max(path, depth) AS path FROM members GROUP BY conv_id),
+ends AS (SELECT path, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM lasts GROUP BY path),
+born AS (SELECT path[1:32 * (depth - 1)] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+own AS (SELECT n.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * words AS saved FROM nodes n LEFT JOIN born USING (path)),
+sums AS (
+  SELECT m.path, count_if(o.n_children = 0) AS n_leaves, sum(o.saved) AS saved_tokens
+  FROM own o JOIN members m ON m.conv_id = o.conv_id AND m.depth <= o.depth GROUP BY m.path)
+SELECT o.conv_id, o.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, o.n_convs::BIGINT AS n_convs, o.n_children::BIGINT AS n_children,
+  s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM own o JOIN sums s USING (path) LEFT JOIN ends e USING (path)
+LEFT JOIN nodes u ON o.depth > 0 AND u.path = o.path[1:32 * (o.depth - 1)]""")
+def op11_conversation_prefix_trie(spark: SparkSession, root: str) -> DataFrame:
+    return trie.prefix_trie(trie.rebuilt(table(spark, root, "conversations")))
