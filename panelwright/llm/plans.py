@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import chat, decontaminate, licenses, minhash, pseudolikelihood, quality, sentencepieces, substrings, tokencounts, toxicity, trie
+from panelwright.llm import chat, decontaminate, licenses, minhash, pseudolikelihood, quality, sentencepieces, substrings, tokencounts, toxicity, trie, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -256,3 +256,24 @@ FROM own o JOIN sums s USING (path) LEFT JOIN ends e USING (path)
 LEFT JOIN nodes u ON o.depth > 0 AND u.path = o.path[1:32 * (o.depth - 1)]""")
 def op11_conversation_prefix_trie(spark: SparkSession, root: str) -> DataFrame:
     return trie.prefix_trie(trie.rebuilt(table(spark, root, "conversations")))
+
+
+#: Rules of the query, as (host, path, verdict).
+URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+_RULES = f"(VALUES {', '.join(map(str, URL_RULES))}) rules(host, path, verdict)"
+
+
+@query(f"""
+WITH rests AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+cut AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM rests),
+numbered AS (SELECT *, row_number() OVER () AS k FROM cut),
+fits AS (
+  SELECT k, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.verdict, length(r.host || r.path)) AS verdict
+  FROM numbered n JOIN {_RULES} ON (n.host = r.host OR ends_with(n.host, '.' || r.host)) AND starts_with(n.path, r.path)
+  GROUP BY k)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM numbered LEFT JOIN fits USING (k)""".replace(" rules(", " r("))
+def op12_url_filters(spark: SparkSession, root: str) -> DataFrame:
+    return urls.judge(table(spark, root, "pages"), spark.sql(f"SELECT * FROM {_RULES}"), carry=("page_id",))
