@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import chat, decontaminate, licenses, minhash, pseudolikelihood, quality, sentencepieces, substrings, tokencounts, toxicity, trie, urls
+from panelwright.llm import chat, clusters, decontaminate, licenses, minhash, pseudolikelihood, quality, sentencepieces, substrings, tokencounts, toxicity, trie, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -277,3 +277,37 @@ fits AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM numbered LEFT JOIN fits USING (k)""".replace(" rules(", " r("))
 def op12_url_filters(spark: SparkSession, root: str) -> DataFrame:
     return urls.judge(table(spark, root, "pages"), spark.sql(f"SELECT * FROM {_RULES}"), carry=("page_id",))
+
+
+def _clusters_sql(k: int = 8, rounds: int = 10) -> str:
+    """The same rounds, one after the other, with exact integers."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT id, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS d
+  FROM (SELECT x.id, c.cluster, list_sum(list_transform(range(1, 65), lambda i: (x.v[i] - c.v[i]) * (x.v[i] - c.v[i])))::BIGINT AS d FROM vectors x CROSS JOIN c{r} c)
+  GROUP BY id)""")
+        if r < rounds:
+            steps.append(f"""
+s{r} AS (
+  SELECT cluster, i, sum(z)::BIGINT AS s, count(*) AS n
+  FROM (SELECT cluster, unnest(v) AS z, generate_subscripts(v, 1) AS i FROM a{r} JOIN vectors USING (id)) GROUP BY cluster, i),
+c{r + 1} AS MATERIALIZED (
+  SELECT c.cluster, coalesce(m.v, c.v) AS v FROM c{r} c
+  LEFT JOIN (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM s{r} GROUP BY cluster) m USING (cluster))""")
+    return f"""
+WITH vectors AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id IS NULL, sha256('3:' || vec_id), v) - 1 AS cluster, v FROM vectors
+  QUALIFY cluster < {k}),{",".join(steps)}
+SELECT vec_id, a.cluster::INTEGER AS cluster, a.d AS distance, sum(a.d) OVER (PARTITION BY a.cluster)::BIGINT AS cluster_inertia,
+  sum(a.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN vectors USING (id) JOIN c{rounds} c ON c.cluster = a.cluster"""
+
+
+@query(_clusters_sql())
+def op13_centroid_clustering(spark: SparkSession, root: str) -> DataFrame:
+    return clusters.cluster(table(spark, root, "embeddings"))
