@@ -407,12 +407,17 @@ def sector_flow_acceleration(flows: DataFrame, info: DataFrame, recent: int = 5,
 
 def sector_relative_strength(bars: DataFrame, info: DataFrame, xs: CrossSection, rows: int = 20, bonus: float = 0.03) -> DataFrame:
     """Return beyond the industry median by max(1.5 sigma, 5 %)."""
-    r = window_return(bars, rows).join(info.select(SYMBOL, "industry"), SYMBOL)
-    r = xs.with_quantiles(r, "industry", {"_med": ("ret", 0.5)})
-    r = xs.with_stats(r, "industry", {"_sd": F.stddev_samp("ret"), "_n": F.count("ret")})
+    return relative_strength_in(window_return(bars, rows).join(info.select(SYMBOL, "industry"), SYMBOL), xs, ["industry"], bonus)
+
+
+def relative_strength_in(r: DataFrame, xs: CrossSection, by: list[str], bonus: float = 0.03) -> DataFrame:
+    """D22 inside every group `by` of returns `ret`."""
+    r = xs.with_quantiles(r, by, {"_med": ("ret", 0.5)})
+    r = xs.with_stats(r, by, {"_sd": F.stddev_samp("ret"), "_n": F.count("ret")})
     thr = F.when(F.col("_n") >= 3, F.greatest(1.5 * F.col("_sd"), F.lit(0.05))).otherwise(0.08)
     d = F.col("ret") - F.col("_med")
-    return r.select(SYMBOL, "industry", "ret", F.when(d > thr, bonus).when(d < -thr, -bonus).otherwise(0.0).alias("relative_strength_bonus"))
+    more = [c for c in by if c != "industry"]
+    return r.select(SYMBOL, *more, "industry", "ret", F.when(d > thr, bonus).when(d < -thr, -bonus).otherwise(0.0).alias("relative_strength_bonus"))
 
 
 def concept_mean(values: DataFrame, members: DataFrame, value: str, out: str) -> DataFrame:

@@ -101,42 +101,47 @@ def flat_half(xs: CrossSection, df: DataFrame, by, specs: dict[str, str]) -> Dat
     return df.withColumns({o: F.when(C(f"_d{o}") > 0, C(o)).otherwise(0.5) for o in specs}).drop(*[f"_d{o}" for o in specs])
 
 
-def rank_sectors(flow: DataFrame, momentum: DataFrame, accel: DataFrame, xs: CrossSection, accel_weight: float = 0.7) -> DataFrame:
-    """half flow (level and acceleration), half price momentum, by industry."""
-    d = flow.select("industry", "total_net", "stock_count").join(momentum.select("industry", "avg_return_pct"), "industry", "full")
-    d = d.join(accel, "industry", "left").na.fill(0).withColumn("_g", F.lit(1))
-    d = flat_half(xs, d, "_g", {"_l": "total_net", "_a": "flow_acceleration", "momentum_score": "avg_return_pct"})
+def rank_sectors(flow: DataFrame, momentum: DataFrame, accel: DataFrame, xs: CrossSection, accel_weight: float = 0.7, by: str | None = None) -> DataFrame:
+    """half flow (level and acceleration), half price momentum, by industry; at every `by` where there is one."""
+    keys, g = ["industry", *([by] if by else [])], by or "_g"
+    d = flow.select(*keys, "total_net", "stock_count").join(momentum.select(*keys, "avg_return_pct"), keys, "full")
+    d = d.join(accel, keys, "left").na.fill(0).withColumn("_g", F.lit(1))
+    d = flat_half(xs, d, g, {"_l": "total_net", "_a": "flow_acceleration", "momentum_score": "avg_return_pct"})
     inst = (1 - accel_weight) * C("_l") + accel_weight * C("_a")
     d = d.withColumn("institutional_score", inst)
     d = d.withColumn("sector_score", F.round(0.5 * C("institutional_score") + 0.5 * C("momentum_score"), 9))
-    w = Window.partitionBy("_g").orderBy(F.desc("sector_score"), "industry")  # one row per industry
+    w = Window.partitionBy(g).orderBy(F.desc("sector_score"), "industry")  # one row per industry
     return d.withColumn("rank", F.row_number().over(w).cast("long")).drop("_l", "_a", "_g")
 
 
-def sector_bonus(sectors: DataFrame, info: DataFrame, span: float = 0.05) -> DataFrame:
-    """linear bonus by sector rank."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))  # one row per industry
+def sector_bonus(sectors: DataFrame, info: DataFrame, span: float = 0.05, by: str | None = None) -> DataFrame:
+    """linear bonus by sector rank; names of sectors without a rank get none, or no row where there is a `by`."""
+    keys = ["industry", *([by] if by else [])]
+    n = F.count(F.lit(1)).over(Window.partitionBy(by or F.lit(0)))  # one row per industry
     b = F.when(C("_n") == 1, 0.0).otherwise(span * (1 - 2 * (C("rank") - 1) / F.when(C("_n") > 1, C("_n") - 1)))
-    s = sectors.withColumn("_n", n).select("industry", b.alias("sector_bonus"))
-    return info.select(SYMBOL, "industry").join(s, "industry", "left").withColumn("sector_bonus", F.coalesce("sector_bonus", F.lit(0.0)))
+    s = sectors.withColumn("_n", n).select(*keys, b.alias("sector_bonus"))
+    out = info.select(SYMBOL, "industry").join(s, "industry", "inner" if by else "left")
+    return out.withColumn("sector_bonus", F.coalesce("sector_bonus", F.lit(0.0)))
 
 
-def rank_concepts(flow: DataFrame, momentum: DataFrame, xs: CrossSection) -> DataFrame:
-    """percent-rank blend of flow and momentum per concept."""
-    d = momentum.join(flow.select("concept", "concept_flow"), "concept", "left").na.fill(0).withColumn("_g", F.lit(1))
-    d = flat_half(xs, d, "_g", {"institutional_score": "concept_flow", "momentum_score": "concept_momentum"})
+def rank_concepts(flow: DataFrame, momentum: DataFrame, xs: CrossSection, by: str | None = None) -> DataFrame:
+    """percent-rank blend of flow and momentum per concept; at every `by` where there is one."""
+    keys, g = ["concept", *([by] if by else [])], by or "_g"
+    d = momentum.join(flow.select(*keys, "concept_flow"), keys, "left").na.fill(0).withColumn("_g", F.lit(1))
+    d = flat_half(xs, d, g, {"institutional_score": "concept_flow", "momentum_score": "concept_momentum"})
     d = d.withColumn("concept_score", F.round(0.5 * C("institutional_score") + 0.5 * C("momentum_score"), 9))
-    w = Window.partitionBy("_g").orderBy(F.desc("concept_score"), "concept")  # one row per concept
+    w = Window.partitionBy(g).orderBy(F.desc("concept_score"), "concept")  # one row per concept
     return d.withColumn("rank", F.row_number().over(w).cast("long")).drop("_g")
 
 
-def concept_bonus(ranked: DataFrame, members: DataFrame, span: float = 0.05) -> DataFrame:
-    """min-max scaled concept score, best concept per symbol."""
-    w = Window.partitionBy(F.lit(0))  # one row per concept
+def concept_bonus(ranked: DataFrame, members: DataFrame, span: float = 0.05, by: str | None = None) -> DataFrame:
+    """min-max scaled concept score, best concept per symbol; at every `by` where there is one."""
+    more = [by] if by else []
+    w = Window.partitionBy(by or F.lit(0))  # one row per concept
     r = ranked.withColumns({"_lo": F.min("concept_score").over(w), "_hi": F.max("concept_score").over(w)})
     rng = F.when(C("_hi") > C("_lo"), C("_hi") - C("_lo")).otherwise(1.0)
-    r = r.select("concept", (((C("concept_score") - C("_lo")) / rng * 2 - 1) * span).alias("b"))
-    return members.join(r, "concept").groupBy(SYMBOL).agg(F.max("b").alias("concept_bonus"))
+    r = r.select("concept", *more, (((C("concept_score") - C("_lo")) / rng * 2 - 1) * span).alias("b"))
+    return members.join(r, "concept").groupBy(SYMBOL, *more).agg(F.max("b").alias("concept_bonus"))
 
 
 def composite_rankings(records: DataFrame, by: list[str], top_n: int, per_mode: int | None) -> DataFrame:

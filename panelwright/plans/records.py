@@ -9,6 +9,7 @@ from ..operators import flows as fl
 from ..operators import indicators as ind
 from ..operators import ranking as rk
 from ..operators import scoring as sc
+from . import pointintime as pt
 from .ctes import cte
 from .regime import regimes
 from .scoring import at_scan
@@ -42,7 +43,7 @@ def build_dimension_scores(p):
     f = sc.valuation_ranks(f, p.xs)
     f = f.select("symbol", "date", "fundamental_score", "valuation_score", "dividend_score", "pe", "dividend_yield", "yoy_growth", "eps")
     d = d.join(f, ["symbol", "date"]).join(regimes(p).select("date", "regime"), "date")
-    return d.withColumn("news_score", F.lit(None).cast("double"))
+    return d.join(pt.news(p), ["symbol", "date"], "left")
 
 
 def composites(p):
@@ -68,10 +69,10 @@ def weight_sql(dim):
     return f"CASE {' '.join(rows)} ELSE 0 END"
 
 
-cte("dims_p", """SELECT t.symbol, t.date, x.close, x.volume, a.atr14, x.r5, x.r10, x.hv20, x.n, x.sma60, t.technical_score, c.chip_score, f.f_y * 0.7 + f.f_m * 0.3 AS fundamental_score, NULL::DOUBLE AS news_score,
+cte("dims_p", """SELECT t.symbol, t.date, x.close, x.volume, a.atr14, x.r5, x.r10, x.hv20, x.n, x.sma60, t.technical_score, c.chip_score, f.f_y * 0.7 + f.f_m * 0.3 AS fundamental_score, o.news_score,
     v.valuation_score, v.dividend_score, w.pe, w.dividend_yield, u.yoy_growth, g.regime
   FROM tech5_p t JOIN pxs_p x ON x.symbol = t.symbol AND x.date = t.date JOIN chip7_p c ON c.symbol = t.symbol AND c.date = t.date JOIN fundr_p f ON f.symbol = t.symbol AND f.date = t.date JOIN valr_p v ON v.symbol = t.symbol AND v.date = t.date
-  JOIN val_p w ON w.symbol = t.symbol AND w.date = t.date JOIN fund_p u ON u.symbol = t.symbol AND u.date = t.date JOIN atr_p a ON a.symbol = t.symbol AND a.date = t.date JOIN regime_p g ON g.date = t.date""")
+  JOIN val_p w ON w.symbol = t.symbol AND w.date = t.date JOIN fund_p u ON u.symbol = t.symbol AND u.date = t.date JOIN atr_p a ON a.symbol = t.symbol AND a.date = t.date JOIN regime_p g ON g.date = t.date LEFT JOIN newsd_p o ON o.symbol = t.symbol AND o.date = t.date""")
 cte("comp_p", "SELECT *, round(" + " + ".join(f"coalesce({k}_score, 0.5) * ({weight_sql(k)})" for k in SCORES) + ", 9) AS composite_score, close - 1.5 * atr14 AS stop_loss FROM dims_p, (SELECT unnest(['momentum', 'swing', 'value', 'dividend', 'growth']) AS mode)")
 cte("pool_p", f"SELECT *, row_number() OVER (PARTITION BY date, mode ORDER BY composite_score DESC, symbol) AS pool_rank, row_number() OVER (PARTITION BY date, mode ORDER BY composite_score DESC, symbol) <= {TOP} AS selected FROM comp_p")
 cte("picks_p", "SELECT *, pool_rank AS rank FROM pool_p WHERE selected")

@@ -10,11 +10,12 @@ from ..operators import indicators as ind
 from ..operators import ranking as rk
 from ..operators import scoring as sc
 from ..operators import screen as sn
+from . import pointintime as pt
 from . import records as rec
 from .ctes import cte, pr_sql
 from .records import KEY
 from .registry import plan
-from .screening import concept_ranks, sectors, snapshot
+from .screening import snapshot
 from .scoring import T5, at_scan, fundamental_panel, price_panel, valuation_panel
 
 C = F.col
@@ -108,49 +109,21 @@ def _(p):
     )
 
 
-def last_scan(p, df):
-    return df.where(C("date") == p.scan_dates().agg(F.max("date")).scalar())
+# -- bonuses of sectors, concepts, peers and key players, as they stood at every scan date ------------------
 
+cte("compb_p", "SELECT c.*, b.* EXCLUDE (symbol, date) FROM comp_p c JOIN bond_p b ON b.symbol = c.symbol AND b.date = c.date")
 
-cte("lastc_p", "SELECT * FROM comp_p WHERE date = (SELECT max(date) FROM scan_p)")
-SB = "coalesce(sector_bonus, 0)"
 
+def with_bonuses(p):
+    return rec.composites(p).join(pt.bonuses(p), ["symbol", "date"])
 
-@plan("i31_sector_bonus", f"SELECT c.symbol, mode, {SB} AS sector_bonus, composite_score * (1 + {SB}) AS composite_score FROM lastc_p c LEFT JOIN secbonus_p s ON s.symbol = c.symbol", "sector_bonus composite_score")
-def _(p):
-    b = rk.sector_bonus(sectors(p), p.info()).select("symbol", "sector_bonus")
-    d = last_scan(p, rec.composites(p)).join(b, "symbol", "left").withColumn("sector_bonus", F.coalesce("sector_bonus", F.lit(0.0)))
-    return d.select("symbol", "mode", "sector_bonus", (C("composite_score") * (1 + C("sector_bonus"))).alias("composite_score"))
-
-
-CB = f"greatest(least(coalesce(concept_bonus, 0), greatest(0.08 - abs({SB}), 0)), -greatest(0.08 - abs({SB}), 0))"
-
-
-def bonuses(p):
-    """Sector bonus and the concept bonus clipped to the shared budget."""
-    s = rk.sector_bonus(sectors(p), p.info()).select("symbol", "sector_bonus")
-    c = rk.concept_bonus(*concept_ranks(p))
-    d = s.join(c, "symbol", "left").withColumns({k: F.coalesce(k, F.lit(0.0)) for k in ("sector_bonus", "concept_bonus")})
-    return d.withColumn("concept_bonus", sc.clip_budget(C("concept_bonus"), C("sector_bonus")))
-
-
-cte("bon_p", f"SELECT s.symbol, {SB} AS sector_bonus, {CB} AS concept_bonus FROM secbonus_p s LEFT JOIN conbonus_p c ON c.symbol = s.symbol")
-
-
-@plan("i32_concept_bonus", "SELECT c.symbol, mode, concept_bonus, composite_score * (1 + concept_bonus) AS composite_score FROM lastc_p c JOIN bon_p b ON b.symbol = c.symbol", "concept_bonus composite_score")
-def _(p):
-    d = last_scan(p, rec.composites(p)).join(bonuses(p), "symbol")
-    return d.select("symbol", "mode", "concept_bonus", (C("composite_score") * (1 + C("concept_bonus"))).alias("composite_score"))
 
+BONUS = {"i31_sector_bonus": "sector_bonus", "i32_concept_bonus": "concept_bonus", "i33_peer_fundamental_ranking": "peer_rank_bonus", "i49_sector_relative_strength_stage": "relative_strength_bonus"}
+for _name, _col in BONUS.items():
 
-@plan("i33_peer_fundamental_ranking", """SELECT symbol, mode, pb AS peer_rank_bonus, composite_score * (1 + pb) AS composite_score FROM (SELECT c.*, greatest(least(coalesce(r.peer_rank_bonus, 0), room), -room) AS pb FROM (SELECT c.*, greatest(0.08 - abs(sector_bonus + concept_bonus), 0) AS room FROM lastc_p c JOIN bon_p b ON b.symbol = c.symbol) c
-   LEFT JOIN (SELECT symbol, last(peer_rank_bonus ORDER BY date) AS peer_rank_bonus FROM peer_p GROUP BY 1) r ON r.symbol = c.symbol)""", "peer_rank_bonus composite_score")
-def _(p):
-    r = fl.last_rows(fl.peer_ranking(fl.ratios(p.statements()), p.info(), p.xs)).select("symbol", "peer_rank_bonus")
-    d = last_scan(p, rec.composites(p)).join(bonuses(p), "symbol").join(r, "symbol", "left")
-    b = sc.clip_budget(F.coalesce(C("peer_rank_bonus"), F.lit(0.0)), C("sector_bonus") + C("concept_bonus"))
-    d = d.withColumn("peer_rank_bonus", b)
-    return d.select("symbol", "mode", "peer_rank_bonus", (C("composite_score") * (1 + C("peer_rank_bonus"))).alias("composite_score"))
+    @plan(_name, f"SELECT symbol, date, mode, {_col}, composite_score * (1 + {_col}) AS composite_score FROM compb_p", f"{_col} composite_score")
+    def _(p, col=_col):
+        return with_bonuses(p).select("symbol", "date", "mode", col, (C("composite_score") * (1 + C(col))).alias("composite_score"))
 
 
 # -- soft stages, joined once per (symbol, date) -----------------------------------------------------
@@ -203,12 +176,16 @@ for _name, (_sql, _fn, _wsql, _wfn) in SOFT.items():
         return d.select("symbol", "date", "mode", (C("composite_score") * fn()).alias("composite_score"))
 
 
-@plan("i36_key_player_cost_stage", "SELECT c.symbol, mode, composite_score * (1 + (coalesce(key_player_score, 0.5) - 0.5) * 0.067) AS composite_score FROM lastc_p c LEFT JOIN kps_p k ON k.symbol = c.symbol", "composite_score")
+def key_player_factor(weight=0.067):
+    return 1 + (sc.half(fl.key_player_score(C("key_player_cost"), C("close"))) - 0.5) * weight
+
+
+KP = "(1 + (CASE WHEN close / key_player_cost < 0.95 THEN 0.8 WHEN close / key_player_cost > 1.10 THEN 0.2 ELSE 0.5 END - 0.5) * 0.067)"
+
+
+@plan("i36_key_player_cost_stage", f"SELECT symbol, date, mode, key_player_cost, composite_score * {KP} AS composite_score FROM compb_p", "key_player_cost composite_score")
 def _(p):
-    k = fl.key_player_cost(p.brokers()).join(fl.last_rows(p.closes()).select("symbol", C("close").alias("px")), "symbol")
-    k = k.select("symbol", fl.key_player_score(C("key_player_cost"), C("px")).alias("k"))
-    d = last_scan(p, rec.composites(p)).join(k, "symbol", "left")
-    return d.select("symbol", "mode", (C("composite_score") * (1 + (sc.half("k") - 0.5) * 0.067)).alias("composite_score"))
+    return with_bonuses(p).select("symbol", "date", "mode", "key_player_cost", (C("composite_score") * key_player_factor()).alias("composite_score"))
 
 
 @plan("i37_swing_post_score", "SELECT symbol, date, composite_score + greatest(vcp_bonus, breakout_bonus) AS composite_score FROM softc_p WHERE mode = 'swing'", "composite_score")
@@ -217,13 +194,6 @@ def _(p):
     return d.select("symbol", "date", (C("composite_score") + F.greatest("vcp_bonus", "breakout_bonus")).alias("composite_score"))
 
 
-@plan("i49_sector_relative_strength_stage", "SELECT c.symbol, mode, composite_score * (1 + coalesce(relative_strength_bonus, 0)) AS composite_score FROM lastc_p c LEFT JOIN srs_p s ON s.symbol = c.symbol", "composite_score")
-def _(p):
-    s = fl.sector_relative_strength(p.closes(), p.info(), p.xs).select("symbol", "relative_strength_bonus")
-    d = last_scan(p, rec.composites(p)).join(s, "symbol", "left")
-    return d.select("symbol", "mode", (C("composite_score") * (1 + F.coalesce("relative_strength_bonus", F.lit(0.0)))).alias("composite_score"))
-
-
 # -- risk filters by mode ------------------------------------------------------------------------------
 
 RISK = {"momentum": ("atr", 0.80, True), "swing": ("vol60", 0.85, True), "value": ("vol20", 0.90, False), "dividend": ("vol20", 0.75, False), "growth": ("atr", 0.80, False)}

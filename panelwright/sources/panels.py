@@ -346,6 +346,17 @@ class Panels:
             F.when(t == "error", -1).when(t == "purchase", 1).otherwise(0).cast("long").alias("sentiment"),
         )
 
+    def news(self) -> DataFrame:
+        """Announcements laid out over the market's dates: the time of an event, as a share of the events' time span, is
+        the same share of the days from the first to the last market week."""
+        at = F.unix_micros(F.col("ts").cast("timestamp"))
+        e = self.table("events").select(F.col("event_id").alias("seq"), at.alias("_at"))
+        span = e.agg(F.struct(F.min("_at").alias("lo"), F.max("_at").alias("hi")).alias("s")).scalar()
+        weeks = self.lines().agg(F.struct(F.min("week").alias("first"), (F.datediff(F.max("week"), F.min("week")) + 7).cast("long").alias("days")).alias("w")).scalar()
+        d = self.announcements().drop("date").join(e, "seq").withColumns({"_s": span, "_w": weeks})
+        day = F.expr("(_at - _s.lo) * _w.days div (_s.hi - _s.lo + 1)").cast("int")
+        return d.select("symbol", F.date_add("_w.first", day).alias("date"), "seq", "event_type", "sentiment")
+
     def concepts(self, parts: int = 6) -> DataFrame:
         """(concept, symbol) membership: part types with at least one in ``parts`` of a symbol's lines."""
         p = self.table("part").select("p_partkey", F.col("p_type").alias("concept"))
