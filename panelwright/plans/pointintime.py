@@ -86,8 +86,10 @@ def concept_ranks(p, flow, ret):
 
 
 def peers(p):
+    """Peer bonus of the newest public statement, and the share of the last four public ones with a profit."""
     st = fl.peer_ranking(fl.ratios(p.statements()), p.info(), p.xs)
-    return sc.statements_asof(names(p), st, ["peer_rank_bonus"]).select("symbol", "date", "peer_rank_bonus")
+    st = st.withColumn("eps_pos", F.avg((C("eps") > 0).cast("int")).over(trailing(4)))
+    return sc.statements_asof(names(p), st, ["peer_rank_bonus", "eps_pos"]).select("symbol", "date", "peer_rank_bonus", "eps_pos")
 
 
 def names(p):

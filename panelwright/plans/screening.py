@@ -178,6 +178,11 @@ def _(p):
 
 
 def universe(p):
+    """B18, stored: several queries and the scan read it."""
+    return p.shared("universe", lambda: build_universe(p))
+
+
+def build_universe(p):
     """Stage flags at scan dates, stage-2 fallback, decayed re-entry of remembered picks."""
     d = at_scan(p, funnel(p))
     d = d.withColumns({"s1": C("ok_stage1"), "s2": C("ok_stage1") & C("ok_liquid")})
@@ -187,7 +192,7 @@ def universe(p):
     decay = lookup(C("age"), sn.MEMORY_DECAY)
     m = lookup(C("regime"), sn.TURNOVER_MULTIPLIER, 1.0)
     again = (C("s2") & (C("turnover_5_avg") >= CFG.avg_turnover_5d_min * m * decay)) | ((C("age") <= 1) & ~C("s2"))
-    return d.withColumn("from_memory", C("s1") & ~C("s3") & sn.yes(again))
+    return d.select("symbol", "date", "regime", "ok_trend", "age", "s1", "s2", "s3", (C("s1") & ~C("s3") & sn.yes(again)).alias("from_memory"))
 
 
 cte("uni_p", """SELECT u.*, age, s1 AND NOT s3 AND coalesce((s2 AND t5 >= 60000 * m * CASE age WHEN 1 THEN 0.8 WHEN 2 THEN 0.9 WHEN 3 THEN 1.0 END) OR (age <= 1 AND NOT s2), false) AS from_memory FROM (

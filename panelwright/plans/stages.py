@@ -15,6 +15,7 @@ from . import records as rec
 from .ctes import cte, pr_sql
 from .records import KEY
 from .registry import plan
+from .scan import CAPS, RISK, key_player_factor, soft_inputs
 from .screening import snapshot
 from .scoring import T5, at_scan, fundamental_panel, price_panel, valuation_panel
 
@@ -129,21 +130,6 @@ for _name, _col in BONUS.items():
 # -- soft stages, joined once per (symbol, date) -----------------------------------------------------
 
 
-def soft_inputs(p):
-    """All per-name bonuses at scan dates, from one pass over the wide panel plus the weekly trend."""
-    d = p.wide()
-    d = ind.volume_price_divergence(d)
-    d = ind.momentum_decay(d)
-    d = ind.flow_acceleration(d)
-    d = ind.contraction(d, max_range=0.5)
-    d = ind.breakout_bonus(d)
-    d = ind.flow_macd(d)
-    cols = ["vp_divergence", "momentum_decay", "inst_accel_bonus", "vcp_bonus", "breakout_bonus", "chip_macd_score"]
-    d = at_scan(p, d).select("symbol", "date", *cols)
-    w = ind.weekly_trend_bonus(ind.weekly(p.bars_daily())).select("symbol", F.date_sub("date", 4).alias("date"), "weekly_bonus")
-    return d.join(w, ["symbol", "date"], "left").withColumn("weekly_bonus", F.coalesce("weekly_bonus", F.lit(0.0)))
-
-
 cte("soft_p", """SELECT c.symbol, c.date, vp_divergence, momentum_decay, inst_accel_bonus, vcp_bonus, breakout_bonus, chip_macd_score, coalesce(weekly_bonus, 0) AS weekly_bonus FROM names_p c JOIN vp_p v ON v.symbol = c.symbol AND v.date = c.date JOIN decay_p d ON d.symbol = c.symbol AND d.date = c.date
    JOIN accel_p a ON a.symbol = c.symbol AND a.date = c.date JOIN vcp_p x ON x.symbol = c.symbol AND x.date = c.date JOIN brk_p b ON b.symbol = c.symbol AND b.date = c.date JOIN chip_macd_p m ON m.symbol = c.symbol AND m.date = c.date
    LEFT JOIN (SELECT symbol AS ws, (date - 4)::DATE AS wd, weekly_bonus FROM trendbonus_p) w ON ws = c.symbol AND wd = c.date""")
@@ -176,10 +162,6 @@ for _name, (_sql, _fn, _wsql, _wfn) in SOFT.items():
         return d.select("symbol", "date", "mode", (C("composite_score") * fn()).alias("composite_score"))
 
 
-def key_player_factor(weight=0.067):
-    return 1 + (sc.half(fl.key_player_score(C("key_player_cost"), C("close"))) - 0.5) * weight
-
-
 KP = "(1 + (CASE WHEN close / key_player_cost < 0.95 THEN 0.8 WHEN close / key_player_cost > 1.10 THEN 0.2 ELSE 0.5 END - 0.5) * 0.067)"
 
 
@@ -196,8 +178,6 @@ def _(p):
 
 # -- risk filters by mode ------------------------------------------------------------------------------
 
-RISK = {"momentum": ("atr", 0.80, True), "swing": ("vol60", 0.85, True), "value": ("vol20", 0.90, False), "dividend": ("vol20", 0.75, False), "growth": ("atr", 0.80, False)}
-CAPS = {"atr": 10.0, "vol20": 20.0, "vol60": 300.0}
 cte("riskin_p", """SELECT c.*, c.atr14 / c.close AS atr, CASE WHEN c.n >= 10 THEN c.hv20 END AS vol20, CASE WHEN c.n >= 10 THEN h.hv60 * sqrt(252.0) END AS vol60 FROM comp_p c JOIN (SELECT symbol, date, stddev_samp(r1) OVER (PARTITION BY symbol ORDER BY date ROWS 59 PRECEDING) AS hv60 FROM bars_r) h ON h.symbol = c.symbol AND h.date = c.date""")
 
 
@@ -254,58 +234,6 @@ def _(p):
     return j.select("symbol", "date", "tech_ret5d", "tech_vol_ratio", C("k_bvr").alias("chip_bvr"), C("k_consec").alias("chip_consec"))
 
 
-# -- the whole scan ---------------------------------------------------------------------------------------
-
-
-def within_risk(p, d):
-    """The hard risk rule of every mode at once, on thresholds over all names of a scan date."""
-    names = with_vol(p, rec.dimension_scores(p)).withColumn("atr", C("atr14") / C("close")).select("symbol", "date", *CAPS)
-    q = {f"_q_{m}": (RISK[m][0], RISK[m][1]) for m in RISK}
-    d = d.drop(*CAPS).join(names, ["symbol", "date"]).join(p.xs.quantiles(names, "date", q), "date")
-    keep = F.lit(False)
-    for m, (col, _, _) in RISK.items():
-        keep = F.when(C("mode") == m, C(col) <= F.least(C(f"_q_{m}"), F.lit(CAPS[col]))).otherwise(keep)
-    return d.where(keep).drop(*q)
-
-
-def scan(p, top_n=20, risk=True):
-    """Soft stages, hard filters, rank, sector cap and trim for every scan date and mode, one plan.
-
-    Stage order: risk rule of the mode, post score, weekly trend, momentum decay, flow acceleration, timeframe alignment, flow
-    MACD, divergence, then crisis, overheating, score floor and the regime block.
-    """
-    fast = C("mode").isin("momentum", "growth")
-    d = within_risk(p, scored(p)) if risk else scored(p)
-    post = C("composite_score") + F.when(C("mode") == "swing", F.greatest("vcp_bonus", "breakout_bonus")).otherwise(0.0)
-    d = d.withColumn("composite_score", post * (1 + C("weekly_bonus")) * (1 + F.when(fast, C("momentum_decay")).otherwise(0.0)) * (1 + C("inst_accel_bonus")))
-    d = d.where(~(fast & (C("mtf_alignment") == -0.03)))
-    d = d.withColumn("composite_score", C("composite_score") * (1 + C("mtf_alignment")) * (1 + (C("chip_macd_score") - 0.5) * 0.06) * (1 + C("vp_divergence")))
-    x = sn.relative_strength(p.closes(), p.index()).select("symbol", "date", "excess_20")
-    d = sn.crisis_filter(d.join(x, ["symbol", "date"]))
-    d = sn.overheating(d, ex5=3.0, ex10=5.0, da5=1.0, da10=2.0)
-    d = d.where(C("composite_score") >= sn.score_floor(C("regime")))
-    d = d.where(sc.mode_allowed(C("mode"), C("regime"))).withColumn("composite_score", F.round("composite_score", 9))
-    d = p.xs.top(d, KEY, [F.desc("composite_score"), C("symbol")], 2 * top_n, "pool_rank")
-    d = d.join(p.info().select("symbol", "industry"), "symbol")
-    return rk.diversify(d, KEY, top_n)
-
-
-FAST_C = "c.mode IN ('momentum', 'growth')"
-WITHIN = "CASE c.mode " + " ".join(f"WHEN '{m}' THEN k.{c} <= least(q.q_{m}, {CAPS[c]})" for m, (c, _, _) in RISK.items()) + " END"
-cte("riskq_p", "SELECT date, " + ", ".join(f"quantile_cont({c}, {v}) AS q_{m}" for m, (c, v, _) in RISK.items()) + " FROM riskin_p WHERE mode = 'momentum' GROUP BY 1")
-cte("scan0_p", f"""SELECT c.symbol, c.date, c.mode, c.regime, c.r5, c.r10, (c.composite_score + CASE WHEN c.mode = 'swing' THEN greatest(vcp_bonus, breakout_bonus) ELSE 0 END) * (1 + weekly_bonus) * (1 + CASE WHEN {FAST_C} THEN momentum_decay ELSE 0 END) * (1 + inst_accel_bonus) * (1 + mtf_alignment) * (1 + (chip_macd_score - 0.5) * 0.06) * (1 + vp_divergence) AS s
-   FROM softc_p c JOIN rs_p r ON r.symbol = c.symbol AND r.date = c.date JOIN (SELECT * FROM riskin_p WHERE mode = 'momentum') k ON k.symbol = c.symbol AND k.date = c.date JOIN riskq_p q ON q.date = c.date
-   WHERE {WITHIN} AND NOT ({FAST_C} AND mtf_alignment = -0.03) AND NOT (c.regime = 'crisis' AND (excess_20 < -0.10 OR (c.n >= 60 AND c.close < c.sma60)))""")
-cte("scan1_p", """SELECT *, row_number() OVER (PARTITION BY date, mode ORDER BY composite_score DESC, symbol) AS pool_rank FROM (SELECT symbol, date, mode, regime, round(s2, 9) AS composite_score FROM (SELECT *, CASE WHEN r5 > 1.0 OR r10 > 2.0 THEN s * 0.85 ELSE s END AS s2 FROM scan0_p WHERE NOT (coalesce(r5, 0) > 3.0 OR coalesce(r10, 0) > 5.0))
-   WHERE s2 >= CASE regime WHEN 'bull' THEN 0.45 WHEN 'bear' THEN 0.55 WHEN 'crisis' THEN 0.60 ELSE 0.50 END AND NOT ((regime = 'sideways' AND mode IN ('momentum', 'growth')) OR (regime = 'crisis' AND mode = 'growth')))""")
-cte("scanres_p", """SELECT symbol, date, mode, industry, composite_score, pool_rank, row_number() OVER (PARTITION BY date, mode ORDER BY pool_rank) AS rank FROM (SELECT s.*, i.industry, row_number() OVER (PARTITION BY date, mode, i.industry ORDER BY pool_rank) AS k FROM scan1_p s JOIN info_p i ON i.symbol = s.symbol WHERE pool_rank <= 40) WHERE k <= 5 QUALIFY rank <= 20""")
-
-
-@plan("i38_run_scan", "SELECT * FROM scanres_p", "composite_score")
-def _(p):
-    return scan(p).select("symbol", "date", "mode", "industry", "composite_score", "pool_rank", "rank")
-
-
 # -- report ---------------------------------------------------------------------------------------------------
 
 
