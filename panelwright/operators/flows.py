@@ -128,39 +128,66 @@ def quick_turn_penalty(
     """
     flagged = quick_turn_brokers(brokers, min_events=min_events).select(SYMBOL, "broker", F.lit(True).alias("_dt"))
     d = brokers.withColumn("net", F.col("buy") - F.col("sell"))
-    d = d.join(d.groupBy(SYMBOL).agg(F.max(DATE).alias(DATE)), [SYMBOL, DATE])
+    d = d.join(d.groupBy(SYMBOL).agg(F.max(DATE).alias(DATE)), [SYMBOL, DATE]).join(flagged, [SYMBOL, "broker"], "left")
+    return _flagged_buying(d, [SYMBOL], volume, known, min_volume_ratio, instant_ratio)
+
+
+def quick_turn_penalties(brokers: DataFrame, volume: DataFrame, known: list[int], *, min_events: int = 3, min_volume_ratio: float = 0.05, instant_ratio: float = 0.1) -> DataFrame:
+    """D8 at every date: a broker counts as flagged from the day of its ``min_events``-th quick sale on.
+
+    ``volume`` holds (symbol, date, avg_volume_20d).
+    """
+    w = symbol_window(key=[SYMBOL, "broker"])
+    d = brokers.withColumn("net", F.col("buy") - F.col("sell"))
+    sold, known_on = d, None
+    for i in (1, 2, 3):
+        sold = sold.withColumns({f"_s{i}": F.lead("net", i).over(w), f"_d{i}": F.lead(DATE, i).over(w)})
+        hit = (F.col(f"_s{i}") < 0) & (-F.col(f"_s{i}") >= F.col("net") * 0.7)
+        known_on = F.when(hit, F.col(f"_d{i}")) if known_on is None else known_on.when(hit, F.col(f"_d{i}"))
+    sold = sold.where(F.col("net") > 0).withColumn("_since", known_on).where(F.col("_since").isNotNull())
+    nth = F.row_number().over(Window.partitionBy(SYMBOL, "broker").orderBy("_since", DATE))
+    since = sold.withColumn("_k", nth).where(F.col("_k") == min_events).select(SYMBOL, "broker", "_since")
+    d = d.join(since, [SYMBOL, "broker"], "left").withColumn("_dt", F.col("_since") <= F.col(DATE)).drop("_since")
+    return _flagged_buying(d, [SYMBOL, DATE], volume, known, min_volume_ratio, instant_ratio)
+
+
+def _flagged_buying(d: DataFrame, by: list[str], volume: DataFrame, known: list[int], min_volume_ratio: float, instant_ratio: float) -> DataFrame:
     is_known = F.col("broker").isin(known)
-    d = d.join(flagged, [SYMBOL, "broker"], "left").withColumn("_dt", F.coalesce("_dt", F.lit(False)) | is_known)
+    d = d.withColumn("_dt", F.coalesce("_dt", F.lit(False)) | is_known)
     top = F.array_sort(F.collect_list(F.when(F.col("_dt"), F.struct((-F.col("net")).alias("n"), F.col("broker")))))
-    g = d.groupBy(SYMBOL).agg(
+    g = d.groupBy(*by).agg(
         F.greatest(F.coalesce(F.sum(F.when(F.col("_dt"), F.col("net"))), F.lit(0.0)), F.lit(0.0)).alias("_x"),
         F.sum(F.greatest("net", F.lit(0.0))).alias("_p"),
         F.max(F.when(is_known, F.col("buy"))).alias("_kb"),
         F.sum("buy").alias("_b"),
         top.alias("_top"),  # at most one entry per broker
     )
-    g = g.join(volume, SYMBOL, "left")
+    g = g.join(volume, by, "left")
     p = F.when((F.col("_p") <= 0) | (F.col("_x") <= 0), 0.0).otherwise(F.least(F.lit(1.0), F.col("_x") / F.when(F.col("_p") > 0, F.col("_p"))))
     p = F.when((F.col("_b") > 0) & (F.col("_kb") / F.when(F.col("_b") > 0, F.col("_b")) >= instant_ratio), F.greatest(p, F.lit(0.5))).otherwise(p)
     small = (F.col("avg_volume_20d") > 0) & (F.col("_x") < F.col("avg_volume_20d") * min_volume_ratio)
     p = F.when(small, p * 0.5).otherwise(p)
     names = F.array_join(F.transform(F.slice("_top", 1, 3), lambda s: s["broker"].cast("string")), ",")
-    return g.select(SYMBOL, p.alias("daytrade_penalty"), (p > 0).alias("has_daytrade_risk"), names.alias("top_dt_brokers"))
+    return g.select(*by, p.alias("daytrade_penalty"), (p > 0).alias("has_daytrade_risk"), names.alias("top_dt_brokers"))
 
 
 def broker_ledger(brokers: DataFrame, recent: int = 3) -> DataFrame:
-    """Moving-average-cost ledger per (symbol, broker): a fold over its dated rows.
+    """The ledger of `ledger_states` after the last row of each (symbol, broker)."""
+    return ledger_states(brokers, recent, only_last=True).drop(DATE)
 
-    A series has one row per date, so the folded array is bounded by the calendar.
+
+def ledger_states(brokers: DataFrame, recent: int = 3, only_last: bool = False) -> DataFrame:
+    """Moving-average-cost ledger per (symbol, broker) after each of its dated rows: one scan that keeps every state.
+
+    A series has one row per date, so the scanned array is bounded by the calendar.
     """
     num = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
     row = F.struct(DATE, num("buy"), num("sell"), num("buy_price"), num("sell_price"))
     g = brokers.groupBy(SYMBOL, "broker").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
     zero = F.lit(0.0)
-    init = F.struct(
-        zero.alias("cost"), zero.alias("pos"), zero.alias("gain"), zero.alias("loss"),
-        F.lit(0).cast("long").alias("wins"), F.lit(0).cast("long").alias("sells"), zero.alias("bought"),
-    )
+    none = F.lit(0).cast("long")
+    sums = ("cost", "pos", "gain", "loss", "bought", "buys_all", "sells_all")
+    init = F.struct(*[zero.alias(c) for c in sums], none.alias("wins"), none.alias("sells"))
 
     def step(s, r):
         buys = (r["buy"] > 0) & (r["buy_price"] > 0)
@@ -173,31 +200,41 @@ def broker_ledger(brokers: DataFrame, recent: int = 3) -> DataFrame:
             F.when(sells, F.greatest(zero, pos - r["sell"])).otherwise(pos).alias("pos"),
             (s["gain"] + F.when(pnl > 0, pnl).otherwise(0.0)).alias("gain"),
             (s["loss"] + F.when(pnl < 0, -pnl).otherwise(0.0)).alias("loss"),
+            (s["bought"] + F.when(buys, r["buy"] * r["buy_price"]).otherwise(0.0)).alias("bought"),
+            (s["buys_all"] + r["buy"]).alias("buys_all"),
+            (s["sells_all"] + r["sell"]).alias("sells_all"),
             (s["wins"] + F.when(pnl > 0, 1).otherwise(0)).alias("wins"),
             (s["sells"] + F.when(sells, 1).otherwise(0)).alias("sells"),
-            (s["bought"] + F.when(buys, r["buy"] * r["buy_price"]).otherwise(0.0)).alias("bought"),
         )
 
-    net = lambda a: F.aggregate(a, F.lit(0.0), lambda s, r: s + r["buy"] - r["sell"])
-    n = F.size("_rows")
-    mid = F.floor(n / 2).cast("int")
-    g = g.withColumn("_s", F.aggregate("_rows", init, step))
-    s = F.col("_s")
-    bought = F.aggregate("_rows", F.lit(0.0), lambda a, r: a + r["buy"])
-    sold = F.aggregate("_rows", F.lit(0.0), lambda a, r: a + r["sell"])
+    start = F.struct(init.alias("now"), F.slice(F.array(init), 1, 0).alias("all"))
+
+    def keep(s, r):
+        now = step(s["now"], r)
+        return F.struct(now.alias("now"), F.concat(s["all"], F.array(now)).alias("all"))
+
+    g = g.withColumn("_all", F.aggregate("_rows", start, keep, lambda s: s["all"]))
+    at = lambda k: F.coalesce(F.get("_all", k)["buys_all"] - F.get("_all", k)["sells_all"], zero)
+    if only_last:
+        g = g.withColumns({"_k": F.size("_rows") - 1, "_s": F.element_at("_all", -1)})
+    else:
+        g = g.select(SYMBOL, "broker", "_rows", "_all", F.posexplode("_all").alias("_k", "_s"))
+    s, net = F.col("_s"), at(F.col("_k"))
+    half = at(F.floor((F.col("_k") + 1) / 2).cast("int") - 1)
     return g.select(
         SYMBOL,
         "broker",
+        F.get("_rows", F.col("_k"))[DATE].alias(DATE),
         F.coalesce(s["wins"] / F.when(s["sells"] > 0, s["sells"]), zero).alias("win_rate"),
         F.when(s["loss"] > 0, s["gain"] / F.when(s["loss"] > 0, s["loss"])).when(s["gain"] > 0, 999.0).otherwise(0.0).alias("profit_factor"),
         s["sells"].alias("sell_events"),
         s["bought"].alias("total_buy_value"),
         (s["gain"] - s["loss"]).alias("hist_pnl"),
-        net(F.slice("_rows", F.greatest(F.lit(1), n - recent + 1), recent)).alias("recent_net"),
+        (net - at(F.col("_k") - recent)).alias("recent_net"),
         s["pos"].alias("net_position"),
         s["cost"].alias("avg_cost"),
-        (net(F.slice("_rows", mid + 1, n)) > net(F.slice("_rows", 1, mid))).alias("trend_up"),
-        F.coalesce(sold / F.when(bought > 0, bought), zero).alias("sell_ratio"),
+        (net - half > half).alias("trend_up"),
+        F.coalesce(s["sells_all"] / F.when(s["buys_all"] > 0, s["buys_all"]), zero).alias("sell_ratio"),
     )
 
 
@@ -210,8 +247,13 @@ def smart_broker_score(
     min_profit_factor: float = 1.5,
     min_sell_events: int = 3,
     min_buy_value: float = 5_000_000.0,
+    by: str | None = None,
 ) -> DataFrame:
-    """Percent-rank blend of profitable and of accumulating brokers; prices (symbol, close)."""
+    """Percent-rank blend of profitable and of accumulating brokers; prices (symbol, close).
+
+    With ``by`` (a date) the ledger and the prices have that column, and ranks are taken inside it.
+    """
+    more = [by] if by else []
     c = F.col
     smart = (
         (c("win_rate") >= min_win_rate)
@@ -220,10 +262,11 @@ def smart_broker_score(
         & (c("total_buy_value") >= min_buy_value)
     )
     accum = (c("sell_ratio") <= 0.1) & (c("net_position") > 0) & (c("total_buy_value") >= min_buy_value) & c("trend_up")
-    d = ledger.join(prices, SYMBOL, "left")
+    d = ledger.join(prices, [SYMBOL, *more], "inner" if by else "left")
     gap = F.when((c("close") > 0) & (c("avg_cost") > 0), (c("close") - c("avg_cost")) / F.when(c("avg_cost") > 0, c("avg_cost"))).otherwise(0.0)
     z = lambda a: F.coalesce(a, F.lit(0.0))
-    g = d.groupBy(SYMBOL).agg(
+    g = d.groupBy(SYMBOL, *more).agg(
+        F.count_if(smart | accum).alias("n_smart"),
         z(F.sum(F.when(smart & (c("recent_net") > 0), c("hist_pnl") * c("recent_net")))).alias("raw"),
         z(F.avg(F.when(smart, c("win_rate")))).alias("wr"),
         z(F.avg(F.when(smart, F.least(c("profit_factor"), F.lit(10.0))))).alias("pf"),
@@ -233,7 +276,9 @@ def smart_broker_score(
         z(F.avg(F.when(accum, F.lit(1.0)))).alias("ts"),
         F.lit(1).alias("_g"),
     )
-    g = xs.pct_rank(g, "_g", {f"r_{k}": (k, True) for k in ("raw", "wr", "pf", "un", "ac", "px", "ts")})
+    if by:  # as the twin has them, so that equal values tie
+        g = g.withColumns({"raw": F.round("raw", 3), **{k: F.round(k, 9) for k in ("wr", "pf", "un", "px")}})
+    g = xs.pct_rank(g, by or "_g", {f"r_{k}": (k, True) for k in ("raw", "wr", "pf", "un", "ac", "px", "ts")})
     g = g.withColumns(
         {
             "smart_broker_score": c("r_raw") * 0.4 + c("r_wr") * 0.25 + c("r_pf") * 0.25 + c("r_un") * 0.1,
@@ -241,7 +286,7 @@ def smart_broker_score(
         }
     )
     g = g.withColumn("smart_broker_factor", c("smart_broker_score") * 0.6 + c("accum_broker_score") * 0.4)
-    return g.select(SYMBOL, "smart_broker_score", "accum_broker_score", "smart_broker_factor")
+    return g.select(SYMBOL, *more, "smart_broker_score", "accum_broker_score", "smart_broker_factor", *(["n_smart"] if by else []))
 
 
 def key_player_cost(brokers: DataFrame, top_n: int = 3, days: int = 60) -> DataFrame:

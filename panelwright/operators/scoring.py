@@ -56,17 +56,57 @@ MODES = list(REGIME_WEIGHTS)
 DIMENSIONS = ["technical", "chip", "fundamental", "news", "valuation", "dividend"]
 # Modes that do not run in a regime.
 MODE_BLOCK = {"sideways": ["momentum", "growth"], "crisis": ["growth"]}
-# Chip weights by available inputs (broker, lending, margin).
-CHIP_WEIGHTS = {
-    (True, True, True): ({"consec": 0.29, "bvr": 0.27, "persist": 0.06, "smr": 0.14, "sbl": 0.12, "broker": 0.12}, "6F"),
-    (True, True, False): ({"consec": 0.36, "bvr": 0.30, "persist": 0.06, "sbl": 0.14, "broker": 0.14}, "5F"),
-    (True, False, True): ({"consec": 0.41, "bvr": 0.33, "persist": 0.06, "broker": 0.20}, "4F"),
-    (True, False, False): ({"consec": 0.41, "bvr": 0.33, "persist": 0.06, "broker": 0.20}, "4F"),
-    (False, True, True): ({"consec": 0.33, "bvr": 0.30, "persist": 0.06, "smr": 0.16, "sbl": 0.15}, "5F"),
-    (False, True, False): ({"consec": 0.44, "bvr": 0.35, "persist": 0.06, "sbl": 0.15}, "4F"),
-    (False, False, True): ({"consec": 0.39, "bvr": 0.35, "persist": 0.06, "smr": 0.20}, "4F"),
-    (False, False, False): ({"consec": 0.50, "bvr": 0.40, "persist": 0.10}, "3F"),
+# Chip weights and tier by the inputs that are there; the first row whose inputs all are holds.
+CHIP_TIERS = {
+    "momentum": [
+        (("broker", "sbl", "margin"), {"consec": 0.29, "bvr": 0.27, "persist": 0.06, "smr": 0.14, "sbl": 0.12, "broker": 0.12}, "6F"),
+        (("broker", "sbl"), {"consec": 0.36, "bvr": 0.30, "persist": 0.06, "sbl": 0.14, "broker": 0.14}, "5F"),
+        (("broker",), {"consec": 0.41, "bvr": 0.33, "persist": 0.06, "broker": 0.20}, "4F"),
+        (("sbl", "margin"), {"consec": 0.33, "bvr": 0.30, "persist": 0.06, "smr": 0.16, "sbl": 0.15}, "5F"),
+        (("sbl",), {"consec": 0.44, "bvr": 0.35, "persist": 0.06, "sbl": 0.15}, "4F"),
+        (("margin",), {"consec": 0.39, "bvr": 0.35, "persist": 0.06, "smr": 0.20}, "4F"),
+        ((), {"consec": 0.50, "bvr": 0.40, "persist": 0.10}, "3F"),
+    ],
+    "swing": [
+        (("smart", "broker", "sbl", "whale"), {"trust": 0.18, "cum": 0.18, "persist20": 0.08, "whale": 0.12, "broker": 0.12, "sbl": 0.10, "smart": 0.22}, "6F"),
+        (("whale", "broker", "sbl"), {"trust": 0.24, "cum": 0.24, "persist20": 0.08, "whale": 0.16, "broker": 0.16, "sbl": 0.12}, "5F"),
+        (("whale", "sbl"), {"trust": 0.29, "cum": 0.29, "persist20": 0.08, "whale": 0.19, "sbl": 0.15}, "4F"),
+        (("broker", "sbl"), {"trust": 0.29, "cum": 0.29, "persist20": 0.08, "broker": 0.19, "sbl": 0.15}, "4F"),
+        (("sbl",), {"trust": 0.36, "cum": 0.36, "persist20": 0.08, "sbl": 0.20}, "3F"),
+        (("whale", "broker"), {"trust": 0.31, "cum": 0.31, "persist20": 0.08, "whale": 0.15, "broker": 0.15}, "4F"),
+        (("whale",), {"trust": 0.36, "cum": 0.36, "persist20": 0.08, "whale": 0.20}, "3F"),
+        (("broker",), {"trust": 0.36, "cum": 0.36, "persist20": 0.08, "broker": 0.20}, "3F"),
+        ((), {"trust": 0.42, "cum": 0.42, "persist20": 0.16}, "2F"),
+    ],
+    "growth": [
+        (("margin", "broker"), {"streak": 0.25, "bvr": 0.22, "total": 0.22, "smr": 0.16, "broker": 0.15}, "5F"),
+        (("margin",), {"streak": 0.30, "bvr": 0.25, "total": 0.25, "smr": 0.20}, "4F"),
+        (("broker",), {"streak": 0.32, "bvr": 0.24, "total": 0.24, "broker": 0.20}, "4F"),
+        ((), {"streak": 0.40, "bvr": 0.30, "total": 0.30}, "3F"),
+    ],
 }
+#: The rank column of each factor.
+CHIP_RANKS = {"consec": "k_consec", "bvr": "k_bvr", "persist": "k_p10", "smr": "k_smr", "sbl": "k_sbl", "broker": "k_broker", "trust": "k_trust", "cum": "k_cum", "persist20": "k_p20", "whale": "k_whale", "smart": "k_smart", "streak": "k_streak", "total": "k_total"}
+
+
+def chip_tier(mode: str) -> tuple[dict[str, Column], Column]:
+    """The weight of each factor, 0 where it isn't used, and the tier, by a row's own ``has_...`` flags."""
+    table = CHIP_TIERS[mode]
+    factors = list(dict.fromkeys(f for _, w, _ in table for f in w))
+    weights, tier = {f: F.lit(0.0) for f in factors}, F.lit("N/A")
+    for needs, w, name in reversed(table):
+        there = reduce(lambda a, n: a & C(f"has_{n}"), needs, F.lit(True))
+        weights = {f: F.when(there, w.get(f, 0.0)).otherwise(e) for f, e in weights.items()}
+        tier = F.when(there, name).otherwise(tier)
+    return weights, tier
+
+
+def chip_tier_sql(mode: str) -> tuple[dict[str, str], str]:
+    """The same as SQL."""
+    table = CHIP_TIERS[mode]
+    factors = list(dict.fromkeys(f for _, w, _ in table for f in w))
+    case = lambda pick: "CASE " + " ".join(f"WHEN {' AND '.join(f'has_{n}' for n in needs) or 'true'} THEN {pick(w, name)}" for needs, w, name in table) + " END"
+    return {f: case(lambda w, _, f=f: float(w.get(f, 0.0))) for f in factors}, case(lambda _, name: f"'{name}'")
 
 
 def half(c) -> Column:
@@ -347,11 +387,11 @@ def chip_ranks(d: DataFrame, xs: CrossSection, by=DATE) -> DataFrame:
 def drop_flat_factors(d: DataFrame, xs: CrossSection, weights: dict[str, float], by=DATE, eps: float = 1e-9) -> Column:
     """Weighted sum over factors with spread on the date, weights rescaled to their total.
 
-    ``weights`` maps rank columns to weights.  Returns (frame, score expression).
+    ``weights`` maps rank columns to weights, numbers or columns.  Returns (frame, score expression).
     """
     d = xs.with_spread(d, by, {f"_sp_{k}": k for k in weights})
     on = lambda k: C(f"_sp_{k}") >= eps
-    tot = sum(weights.values())
+    tot = reduce(lambda a, b: a + b, weights.values())
     live = reduce(lambda a, b: a + b, [F.when(on(k), w).otherwise(0.0) for k, w in weights.items()])
     s = reduce(lambda a, b: a + b, [F.when(on(k), C(k) * w).otherwise(0.0) for k, w in weights.items()])
     return d, F.coalesce(s * tot / F.when(live > 0, live), F.lit(0.5))
@@ -365,17 +405,18 @@ def quality_modifiers(score: Column, bonus: float = 0.03, high: float = 0.25) ->
 
 
 def chip_momentum(d: DataFrame, xs: CrossSection) -> DataFrame:
-    """I8 with broker, lending and margin data present (tier 6F)."""
-    w, tier = CHIP_WEIGHTS[(True, True, True)]
-    keys = {"consec": "k_consec", "bvr": "k_bvr", "persist": "k_p10", "smr": "k_smr", "sbl": "k_sbl", "broker": "k_broker"}
-    d, s = drop_flat_factors(d, xs, {keys[k]: v for k, v in w.items()})
-    return d.withColumns({"chip_score": quality_modifiers(s), "chip_tier": F.lit(tier)})
+    """I8: factors with spread on the date, by the weights of the inputs that a name has."""
+    w, tier = chip_tier("momentum")
+    d = d.withColumns({f"_w{k}": e for k, e in w.items()}).withColumn("chip_tier", tier)
+    d, s = drop_flat_factors(d, xs, {CHIP_RANKS[k]: C(f"_w{k}") for k in w})
+    return d.withColumn("chip_score", quality_modifiers(s))
 
 
-def chip_swing(d: DataFrame) -> Column:
-    """I9 with holder, broker and lending data (tier 5F)."""
-    s = C("k_trust") * 0.24 + C("k_cum") * 0.24 + C("k_p20") * 0.08 + C("k_whale") * 0.16 + C("k_broker") * 0.16 + C("k_sbl") * 0.12
-    return quality_modifiers(s)
+def chip_swing(d: DataFrame) -> DataFrame:
+    """By the weights of the inputs that a name has, brokers that have done well among them."""
+    w, tier = chip_tier("swing")
+    s = reduce(lambda a, b: a + b, [e * C(CHIP_RANKS[k]) for k, e in w.items()])
+    return d.withColumns({"chip_score": quality_modifiers(s), "chip_tier": tier})
 
 
 def chip_value(d: DataFrame) -> Column:
@@ -388,9 +429,10 @@ def chip_dividend(d: DataFrame) -> Column:
     return C("k_trust") * 0.5 + C("k_cum") * 0.5
 
 
-def chip_growth(d: DataFrame) -> Column:
-    """I12 with margin and broker data (tier 5F)."""
-    return C("k_streak") * 0.25 + C("k_bvr") * 0.22 + C("k_total") * 0.22 + C("k_smr") * 0.16 + C("k_broker") * 0.15
+def chip_growth(d: DataFrame) -> DataFrame:
+    """By the weights of the inputs that a name has."""
+    w, tier = chip_tier("growth")
+    return d.withColumns({"chip_score": reduce(lambda a, b: a + b, [e * C(CHIP_RANKS[k]) for k, e in w.items()]), "chip_tier": tier})
 
 
 def broker_rank_penalty(rank, penalty, persistence, factor: float = 0.5) -> Column:

@@ -8,6 +8,8 @@ CTES: dict[str, str] = {}
 
 
 def cte(name: str, sql: str) -> None:
+    if name in CTES:
+        raise ValueError(f"duplicate CTE {name}")
     CTES[name] = sql.strip()
 
 

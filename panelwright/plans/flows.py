@@ -108,6 +108,23 @@ def penalties(p):
     return op.quick_turn_penalty(p.brokers(), avg_volume(p), KNOWN)
 
 
+def penalties_by_date(p):
+    v = ind.feature_columns(p.bars()).select("symbol", "date", F.col("volume_ma20").alias("avg_volume_20d"))
+    return op.quick_turn_penalties(p.brokers(), v, KNOWN)
+
+
+cte("dts_p", """SELECT symbol, broker, known AS since FROM (SELECT symbol, broker, date, CASE WHEN s1 < 0 AND -s1 >= net * 0.7 THEN d1 WHEN s2 < 0 AND -s2 >= net * 0.7 THEN d2 WHEN s3 < 0 AND -s3 >= net * 0.7 THEN d3 END AS known FROM (
+    SELECT symbol, broker, date, buy - sell AS net, lead(buy - sell, 1) OVER w AS s1, lead(buy - sell, 2) OVER w AS s2, lead(buy - sell, 3) OVER w AS s3, lead(date, 1) OVER w AS d1, lead(date, 2) OVER w AS d2, lead(date, 3) OVER w AS d3
+    FROM brokers_p WINDOW w AS (PARTITION BY symbol, broker ORDER BY date)) WHERE net > 0)
+  WHERE known IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol, broker ORDER BY known, date) = 3""")
+cte("dtd_p", """SELECT g.symbol, g.date, CASE WHEN v > 0 AND x < v * 0.05 THEN p1 * 0.5 ELSE p1 END AS daytrade_penalty FROM (
+    SELECT symbol, date, x, CASE WHEN tb > 0 AND kb / tb >= 0.1 THEN greatest(p0, 0.5) ELSE p0 END AS p1 FROM (
+      SELECT symbol, date, greatest(coalesce(sum(net) FILTER (dt), 0), 0) AS x, max(buy) FILTER (known) AS kb, sum(buy) AS tb,
+        CASE WHEN sum(greatest(net, 0)) > 0 AND coalesce(sum(net) FILTER (dt), 0) > 0 THEN least(1.0, sum(net) FILTER (dt) / sum(greatest(net, 0))) ELSE 0.0 END AS p0
+      FROM (SELECT b.*, buy - sell AS net, b.broker IN (3, 7) AS known, coalesce(d.since <= b.date, false) OR b.broker IN (3, 7) AS dt FROM brokers_p b LEFT JOIN dts_p d ON d.symbol = b.symbol AND d.broker = b.broker) GROUP BY 1, 2)) g
+  LEFT JOIN (SELECT symbol, date, volume_ma20 AS v FROM features_p) f ON f.symbol = g.symbol AND f.date = g.date""")
+
+
 @plan("d08_daytrade_penalty", "SELECT * FROM dtp_p", "daytrade_penalty")
 def _(p):
     return penalties(p)

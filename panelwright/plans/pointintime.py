@@ -14,6 +14,7 @@ from ..operators import flows as fl
 from ..operators import ranking as rk
 from ..operators import scoring as sc
 from .ctes import cte, pr_sql
+from .flows import ACC, GAP, SMART
 
 C = F.col
 FRAME, RECENT = 20, 5
@@ -46,11 +47,11 @@ def seen_days(p, days):
     return p.scan_dates().select(C("date").alias("scan"), F.explode(F.sequence(F.date_sub("date", days), C("date"))).alias("date"))
 
 
-def carried(p, rows):
-    """Rows of (symbol, date, ...) dealt to every scan date at which they are the symbol's latest."""
+def carried(p, rows, key=("symbol",)):
+    """Rows of (key, date, ...) dealt to every scan date at which they are the key's latest."""
     cal = market(p)
     d = rows.join(cal.select("date", "s"), "date")
-    upto = F.lead("s").over(Window.partitionBy("symbol").orderBy("date"))
+    upto = F.lead("s").over(Window.partitionBy(*key).orderBy("date"))
     d = d.withColumn("_to", F.coalesce(upto, cal.agg(F.count_if("is_scan") + 1).scalar())).where(C("s") < C("_to"))
     d = d.withColumn("s", F.explode(F.sequence(C("s"), C("_to") - 1))).drop("_to", "date")
     return d.join(cal.where("is_scan").select("s", "date"), "s").drop("s")
@@ -110,6 +111,12 @@ def key_players(p, top_n=3):
     return g.groupBy("symbol", "date").agg((F.sum("_v") / F.sum("_q")).alias("key_player_cost"))
 
 
+def smart_brokers(p):
+    """D9 at every scan date: each broker's ledger as it stood then, for the names that trade."""
+    states = carried(p, fl.ledger_states(p.brokers()), ("symbol", "broker"))
+    return fl.smart_broker_score(states, p.closes().select("symbol", "date", "close"), p.xs, min_win_rate=0.4, min_profit_factor=1.0, min_buy_value=50_000.0, by="date")
+
+
 def news(p):
     """D17 at every scan date: decayed catalyst and risk mass of the last 15 days against that date's other names."""
     ev = p.news().groupBy("symbol", "date", "event_type", "sentiment").agg(F.count(F.lit(1)).alias("n"))
@@ -155,11 +162,11 @@ def build_bonuses(p):
 
 # -- twins ----------------------------------------------------------------------------------------------
 
-cte("cal_p", "SELECT date, row_number() OVER (ORDER BY date) AS o FROM (SELECT DISTINCT week AS date FROM lines_p)")
-cte("scano_p", "SELECT date, o FROM scan_p JOIN cal_p USING (date)")
+cte("mcal_p", "SELECT date, row_number() OVER (ORDER BY date) AS o FROM (SELECT DISTINCT week AS date FROM lines_p)")
+cte("mscan_p", "SELECT date, o FROM scan_p JOIN mcal_p USING (date)")
 cte("framed_p", """SELECT f.symbol, s.date, round(sum(foreign_net * 0.3 + trust_net * 0.7), 9) AS net,
     sum(CASE WHEN s.o - c.o < 5 THEN total_net ELSE 0 END) AS recent, sum(CASE WHEN s.o - c.o >= 5 THEN total_net ELSE 0 END) AS base
-  FROM flows_p f JOIN cal_p c ON c.date = f.date JOIN scano_p s ON s.o - c.o BETWEEN 0 AND 19 GROUP BY 1, 2""")
+  FROM flows_p f JOIN mcal_p c ON c.date = f.date JOIN mscan_p s ON s.o - c.o BETWEEN 0 AND 19 GROUP BY 1, 2""")
 FIRST = lambda n: f"first_value(close) OVER (PARTITION BY symbol ORDER BY date ROWS {n - 1} PRECEDING)"
 cte("retd_p", f"""SELECT g.symbol, g.date, r.ret60, r.ret20 FROM (SELECT symbol, date FROM (SELECT DISTINCT symbol FROM bars_p), scan_p) g
   ASOF JOIN (SELECT symbol, date, close / {FIRST(60)} - 1 AS ret60, close / {FIRST(20)} - 1 AS ret20, row_number() OVER (PARTITION BY symbol ORDER BY date) AS k FROM bars_p) r
@@ -183,6 +190,17 @@ cte("kpd_p", f"""SELECT symbol, date, sum(v) / sum(q) AS key_player_cost FROM (
   SELECT b.symbol, s.date, broker, sum(buy - sell) AS n, sum(buy * buy_price) AS v, sum(buy) FILTER (buy > 0 AND buy_price IS NOT NULL) AS q
   FROM brokers_p b JOIN scan_p s ON b.date BETWEEN s.date - {LEDGER_DAYS} AND s.date GROUP BY 1, 2, 3 HAVING sum(buy - sell) > 0
   QUALIFY row_number() OVER (PARTITION BY b.symbol, s.date ORDER BY sum(buy - sell) DESC, broker) <= 3) GROUP BY 1, 2""")
+cte("leds_p", """SELECT r.symbol, r.broker, t.date, coalesce(wins / nullif(sells, 0), 0) AS win_rate, CASE WHEN loss > 0 THEN gain / loss WHEN gain > 0 THEN 999.0 ELSE 0.0 END AS profit_factor, sells AS sell_events,
+    bought AS total_buy_value, gain - loss AS hist_pnl, t.net - coalesce(a.net, 0) AS recent_net, pos AS net_position, cost AS avg_cost, t.net - coalesce(h.net, 0) > coalesce(h.net, 0) AS trend_up, coalesce(t.s / nullif(t.b, 0), 0) AS sell_ratio
+  FROM led_r r JOIN ledsum_p t ON t.symbol = r.symbol AND t.broker = r.broker AND t.rn = r.rn LEFT JOIN ledsum_p a ON a.symbol = r.symbol AND a.broker = r.broker AND a.rn = r.rn - 3 LEFT JOIN ledsum_p h ON h.symbol = r.symbol AND h.broker = r.broker AND h.rn = r.rn // 2""")
+cte("ledsum_p", "SELECT symbol, broker, date, rn, sum(buy - sell) OVER w AS net, sum(buy) OVER w AS b, sum(sell) OVER w AS s FROM led_in WINDOW w AS (PARTITION BY symbol, broker ORDER BY date)")
+cte("smartd_p", f"""SELECT symbol, date, s AS smart_broker_score, a AS accum_broker_score, s * 0.6 + a * 0.4 AS smart_broker_factor, n_smart FROM (
+  SELECT symbol, date, n_smart, ({pr_sql('raw', 'date')}) * 0.4 + ({pr_sql('wr', 'date')}) * 0.25 + ({pr_sql('pf', 'date')}) * 0.25 + ({pr_sql('un', 'date')}) * 0.1 AS s, ({pr_sql('ac', 'date')}) * 0.4 + ({pr_sql('px', 'date')}) * 0.35 + ({pr_sql('ts', 'date')}) * 0.25 AS a FROM (
+    SELECT l.symbol, l.date, count(*) FILTER ({SMART} OR {ACC}) AS n_smart, round(coalesce(sum(hist_pnl * recent_net) FILTER ({SMART} AND recent_net > 0), 0), 3) AS raw, round(coalesce(avg(win_rate) FILTER ({SMART}), 0), 9) AS wr,
+      round(coalesce(avg(least(profit_factor, 10.0)) FILTER ({SMART}), 0), 9) AS pf, round(coalesce(avg({GAP}) FILTER ({SMART} AND net_position > 0), 0), 9) AS un, count(*) FILTER ({ACC}) AS ac,
+      round(coalesce(avg({GAP}) FILTER ({ACC}), 0), 9) AS px, coalesce(avg(1) FILTER ({ACC}), 0) AS ts
+    FROM (SELECT g.symbol, g.broker, g.date, x.* EXCLUDE (symbol, broker, date) FROM (SELECT symbol, broker, date FROM (SELECT DISTINCT symbol, broker FROM brokers_p), scan_p) g
+      ASOF JOIN leds_p x ON x.symbol = g.symbol AND x.broker = g.broker AND x.date <= g.date) l JOIN bars_p c ON c.symbol = l.symbol AND c.date = l.date GROUP BY 1, 2))""")
 cte("bond_p", """SELECT symbol, date, sector_bonus, concept_bonus, relative_strength_bonus, key_player_cost,
     greatest(least(pb, greatest(0.08 - abs(sector_bonus + concept_bonus), 0)), -greatest(0.08 - abs(sector_bonus + concept_bonus), 0)) AS peer_rank_bonus FROM (
   SELECT *, greatest(least(cb, greatest(0.08 - abs(sector_bonus), 0)), -greatest(0.08 - abs(sector_bonus), 0)) AS concept_bonus FROM (

@@ -10,7 +10,7 @@ from ..operators import indicators as ind
 from ..operators import regime as rg
 from ..operators import scoring as sc
 from .ctes import cte, pr_sql
-from .flows import penalties
+from .flows import penalties_by_date
 from .regime import regimes
 from .registry import plan
 
@@ -29,12 +29,23 @@ def price_panel(p, extra=False):
 
 
 def chip_panel(p):
-    """Flow, margin, broker and holder inputs at scan dates."""
+    """The stored table of flow, margin, broker, smart-broker and holder ranks at scan dates."""
+    return p.shared("chip_panel", lambda: build_chip_panel(p))
+
+
+def build_chip_panel(p):
+    from . import pointintime as pt
+
     d = fl.flow_slope(sc.flow_inputs(p.wide()))
     d = at_scan(p, d).join(at_scan(p, sc.broker_inputs(p.brokers())), ["symbol", "date"], "left")
+    d = d.join(pt.smart_brokers(p).select("symbol", "date", "smart_broker_factor", "n_smart"), ["symbol", "date"], "left")
+    d = d.join(at_scan(p, penalties_by_date(p)).select("symbol", "date", "daytrade_penalty"), ["symbol", "date"], "left")
     w = fl.whale_share(p.holding()).withColumnRenamed("date", "q")
     d = d.withColumn("q", F.add_months(F.trunc("date", "quarter"), -3)).join(w, ["symbol", "q"], "left")
-    return sc.chip_ranks(d, p.xs)
+    z = lambda c: F.coalesce(C(c), F.lit(0))
+    d = d.withColumns({"has_broker": z("lead_days") > 0, "has_sbl": z("short_balance") > 0, "has_margin": z("margin_balance") > 0, "has_whale": C("whale_percent").isNotNull(), "has_smart": z("n_smart") > 0})
+    d = d.withColumn("smart_broker_factor", F.round(F.coalesce("smart_broker_factor", F.lit(0.0)), 9))
+    return sc.chip_ranks(p.xs.pct_rank(d, "date", {"k_smart": ("smart_broker_factor", True)}), p.xs)
 
 
 def fundamental_panel(p, scan=None):
@@ -145,23 +156,26 @@ cte("bin_p", f"""SELECT symbol, date, hhi, {A('avg', 'hhi', 3)} - {A('avg', 'hhi
   SELECT *, sum(CASE WHEN b = pb THEN 0 ELSE 1 END) {OV}) AS g FROM (SELECT h.*, b, lag(b) OVER (PARTITION BY h.symbol ORDER BY h.date) AS pb FROM hhi_p h LEFT JOIN (
     SELECT symbol, date, broker AS b FROM brokers_p WHERE buy > sell QUALIFY row_number() OVER (PARTITION BY symbol, date ORDER BY buy - sell DESC, broker) = 1) t ON t.symbol = h.symbol AND t.date = h.date))""")
 KS = {"k_streak": "foreign_streak", "k_bvr": "buy_vol_ratio", "k_flow": "ifw", "k_p10": "persist10", "k_p20": "persist20", "k_total": "total_sum", "k_trust": "trust_sum", "k_cum": "cum20", "k_smr": "smr", "k_sbl0": "short_balance",
-      "k_hhi": "hhi", "k_lead": "lead_days", "k_wp": "wp", "k_wc": "wc", "k_for": "foreign_sum", "k_ts": "total_streak"}
+      "k_hhi": "hhi", "k_lead": "lead_days", "k_wp": "wp", "k_wc": "wc", "k_for": "foreign_sum", "k_ts": "total_streak", "k_smart": "smart_"}
+FLAGS = "lead_days > 0 AS has_broker, short_balance > 0 AS has_sbl, margin_balance > 0 AS has_margin, has_whale, has_smart"
 cte("chipr_p", f"""SELECT *, k_flow * 0.6 + k_streak * 0.4 AS k_consec, 1 - k_sbl0 AS k_sbl, k_hhi * 0.6 + k_lead * 0.4 AS k_broker, k_wp * 0.6 + k_wc * 0.4 AS k_whale FROM (
-  SELECT symbol, date, inst_slope, hhi_trend, hhi_short_avg, persist10, {', '.join(f"{pr_sql(c, 'date')} AS {k}" for k, c in KS.items())} FROM (
-    SELECT f.*, round(inst_flow_weighted, 9) AS ifw, inst_slope, coalesce(hhi, 0) AS hhi, hhi_trend, hhi_short_avg, coalesce(lead_days, 0) AS lead_days, coalesce(whale_percent, 0) AS wp, coalesce(whale_change, 0) AS wc
+  SELECT symbol, date, inst_slope, hhi_trend, hhi_short_avg, persist10, {FLAGS}, {', '.join(f"{pr_sql(c, 'date')} AS {k}" for k, c in KS.items())} FROM (
+    SELECT f.*, round(coalesce(smart_broker_factor, 0), 9) AS smart_, coalesce(n_smart, 0) > 0 AS has_smart, whale_percent IS NOT NULL AS has_whale, round(inst_flow_weighted, 9) AS ifw, inst_slope, coalesce(hhi, 0) AS hhi, hhi_trend, hhi_short_avg, coalesce(lead_days, 0) AS lead_days, coalesce(whale_percent, 0) AS wp, coalesce(whale_change, 0) AS wc
     FROM fl0_p f JOIN vwf_p v ON v.symbol = f.symbol AND v.date = f.date JOIN slope_p s ON s.symbol = f.symbol AND s.date = f.date LEFT JOIN bin_p b ON b.symbol = f.symbol AND b.date = f.date
-    LEFT JOIN whale_p w ON w.symbol = f.symbol AND w.date = date_trunc('quarter', f.date) - INTERVAL 3 MONTH))""")
+    LEFT JOIN smartd_p y ON y.symbol = f.symbol AND y.date = f.date LEFT JOIN whale_p w ON w.symbol = f.symbol AND w.date = date_trunc('quarter', f.date) - INTERVAL 3 MONTH))""")
 MOD = lambda s: f"least(greatest({s} + CASE WHEN inst_slope > 0 THEN 0.03 WHEN inst_slope < 0 THEN -0.03 ELSE 0 END + CASE WHEN hhi_short_avg >= 0.25 THEN CASE WHEN hhi_trend > 0 THEN 0.03 WHEN hhi_trend < 0 THEN -0.03 ELSE 0 END ELSE 0 END, 0), 1)"
-W6 = {"k_consec": 0.29, "k_bvr": 0.27, "k_p10": 0.06, "k_smr": 0.14, "k_sbl": 0.12, "k_broker": 0.12}
+W8, TIER8 = sc.chip_tier_sql("momentum")
+W9, TIER9 = sc.chip_tier_sql("swing")
+W12, TIER12 = sc.chip_tier_sql("growth")
 ONK = lambda k: f"(max({k}) OVER w - min({k}) OVER w >= 1e-9)"
-LIVE = " + ".join(f"CASE WHEN {ONK(k)} THEN {w} ELSE 0 END" for k, w in W6.items())
-SUMK = " + ".join(f"CASE WHEN {ONK(k)} THEN {k} * {w} ELSE 0 END" for k, w in W6.items())
-cte("chipm_p", f"SELECT symbol, date, {MOD('s')} AS chip_score FROM (SELECT symbol, date, inst_slope, hhi_short_avg, hhi_trend, coalesce(({SUMK}) * 1.0 / nullif({LIVE}, 0), 0.5) AS s FROM chipr_p WINDOW w AS (PARTITION BY date))")
+LIVE = " + ".join(f"CASE WHEN {ONK(sc.CHIP_RANKS[k])} THEN {w} ELSE 0 END" for k, w in W8.items())
+SUMK = " + ".join(f"CASE WHEN {ONK(sc.CHIP_RANKS[k])} THEN {sc.CHIP_RANKS[k]} * {w} ELSE 0 END" for k, w in W8.items())
+ALLK = " + ".join(f"({w})" for w in W8.values())
+cte("chipm_p", f"SELECT symbol, date, {MOD('s')} AS chip_score, chip_tier FROM (SELECT symbol, date, inst_slope, hhi_short_avg, hhi_trend, {TIER8} AS chip_tier, coalesce(({SUMK}) * ({ALLK}) / nullif({LIVE}, 0), 0.5) AS s FROM chipr_p WINDOW w AS (PARTITION BY date))")
+BLEND = lambda w: " + ".join(f"{sc.CHIP_RANKS[k]} * {e}" for k, e in w.items())
 CHIP = {
-    "i09_chip_swing": MOD("(k_trust * 0.24 + k_cum * 0.24 + k_p20 * 0.08 + k_whale * 0.16 + k_broker * 0.16 + k_sbl * 0.12)"),
     "i10_chip_value": "k_trust * 0.4 + k_cum * 0.4 + k_broker * 0.2",
     "i11_chip_dividend": "k_trust * 0.5 + k_cum * 0.5",
-    "i12_chip_growth": "k_streak * 0.25 + k_bvr * 0.22 + k_total * 0.22 + k_smr * 0.16 + k_broker * 0.15",
 }
 cte("chip7_p", "SELECT symbol, date, k_for * 0.30 + k_trust * 0.20 + k_total * 0.20 + k_ts * 0.15 + k_bvr * 0.15 AS chip_score FROM chipr_p")
 
@@ -171,12 +185,22 @@ def _(p):
     return sc.chip_base(at_scan(p, sc.flow_inputs(p.wide())), p.xs).select("symbol", "date", "chip_score")
 
 
-@plan("i08_chip_momentum", "SELECT symbol, date, chip_score, '6F' AS chip_tier FROM chipm_p", "chip_score")
+@plan("i08_chip_momentum", "SELECT symbol, date, chip_score, chip_tier FROM chipm_p", "chip_score")
 def _(p):
     return sc.chip_momentum(chip_panel(p), p.xs).select("symbol", "date", "chip_score", "chip_tier")
 
 
-for _name, _fn in {"i09_chip_swing": sc.chip_swing, "i10_chip_value": sc.chip_value, "i11_chip_dividend": sc.chip_dividend, "i12_chip_growth": sc.chip_growth}.items():
+@plan("i09_chip_swing", f"SELECT symbol, date, {MOD('(' + BLEND(W9) + ')')} AS chip_score, {TIER9} AS chip_tier FROM chipr_p", "chip_score")
+def _(p):
+    return sc.chip_swing(chip_panel(p)).select("symbol", "date", "chip_score", "chip_tier")
+
+
+@plan("i12_chip_growth", f"SELECT symbol, date, {BLEND(W12)} AS chip_score, {TIER12} AS chip_tier FROM chipr_p", "chip_score")
+def _(p):
+    return sc.chip_growth(chip_panel(p)).select("symbol", "date", "chip_score", "chip_tier")
+
+
+for _name, _fn in {"i10_chip_value": sc.chip_value, "i11_chip_dividend": sc.chip_dividend}.items():
 
     @plan(_name, f"SELECT symbol, date, {CHIP[_name]} AS chip_score FROM chipr_p", "chip_score")
     def _(p, fn=_fn):
@@ -184,10 +208,17 @@ for _name, _fn in {"i09_chip_swing": sc.chip_swing, "i10_chip_value": sc.chip_va
         return d.select("symbol", "date", fn(d).alias("chip_score"))
 
 
-@plan("i13_daytrade_adjusted_rank", """SELECT r.symbol, k_broker, daytrade_penalty, persist10, CASE WHEN daytrade_penalty > 0 THEN k_broker * (1 - daytrade_penalty * (1 - persist10) * 0.5) ELSE k_broker END AS broker_rank FROM (
-  SELECT * FROM chipr_p QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1) r JOIN dtp_p d ON d.symbol = r.symbol""", "k_broker daytrade_penalty persist10 broker_rank")
+@plan("d09_smart_broker_history", "SELECT symbol, date, smart_broker_score, accum_broker_score, smart_broker_factor, n_smart FROM smartd_p", "smart_broker_score accum_broker_score smart_broker_factor")
 def _(p):
-    d = fl.last_rows(chip_panel(p)).select("symbol", "k_broker", "persist10").join(penalties(p).select("symbol", "daytrade_penalty"), "symbol")
+    from . import pointintime as pt
+
+    return pt.smart_brokers(p)
+
+
+@plan("i13_daytrade_adjusted_rank", """SELECT r.symbol, r.date, k_broker, daytrade_penalty, persist10, CASE WHEN daytrade_penalty > 0 THEN k_broker * (1 - daytrade_penalty * (1 - persist10) * 0.5) ELSE k_broker END AS broker_rank
+  FROM chipr_p r LEFT JOIN dtd_p d ON d.symbol = r.symbol AND d.date = r.date""", "k_broker daytrade_penalty persist10 broker_rank")
+def _(p):
+    d = chip_panel(p).select("symbol", "date", "k_broker", "daytrade_penalty", "persist10")
     return d.withColumn("broker_rank", sc.broker_rank_penalty("k_broker", "daytrade_penalty", "persist10"))
 
 
@@ -197,18 +228,20 @@ def _(p):
     return d.select("symbol", "date", sc.quality_modifiers(C("chip_score")).alias("chip_score"))
 
 
-@plan("i15_exclude_zero_variance", "SELECT symbol, date, coalesce((CASE WHEN max(k_bvr) OVER w - min(k_bvr) OVER w >= 1e-9 THEN k_bvr * 0.6 ELSE 0 END) * 1.0 / nullif(CASE WHEN max(k_bvr) OVER w - min(k_bvr) OVER w >= 1e-9 THEN 0.6 ELSE 0 END, 0), 0.5) AS score FROM chipr_p WINDOW w AS (PARTITION BY date)", "score")
+SIX = dict(sc.CHIP_TIERS["momentum"][0][1])
+ON6 = lambda k, x: f"CASE WHEN {ONK(sc.CHIP_RANKS[k])} THEN {x} ELSE 0 END"
+
+
+@plan("i15_exclude_zero_variance", f"SELECT symbol, date, coalesce(({' + '.join(ON6(k, f'{sc.CHIP_RANKS[k]} * {w}') for k, w in SIX.items())}) * {sum(SIX.values())!r} / nullif({' + '.join(ON6(k, w) for k, w in SIX.items())}, 0), 0.5) AS score FROM chipr_p WINDOW w AS (PARTITION BY date)", "score")
 def _(p):
-    d = sc.chip_ranks(at_scan(p, fl.flow_slope(sc.flow_inputs(p.wide()))).withColumns({k: F.lit(0.0) for k in ("hhi", "lead_days", "whale_percent", "whale_change")}), p.xs)
-    d, s = sc.drop_flat_factors(d.withColumn("flat", F.lit(1.0)), p.xs, {"k_bvr": 0.6, "flat": 0.4})
+    d, s = sc.drop_flat_factors(chip_panel(p), p.xs, {sc.CHIP_RANKS[k]: w for k, w in SIX.items()})
     return d.select("symbol", "date", s.alias("score"))
 
 
-@plan("h35_chip_base_weights", """SELECT date, count(*) FILTER (lead_days > 0) > 0 AS has_broker, '6F' AS tier, 0.29 AS consec FROM bin_p GROUP BY 1""", "consec")
+@plan("h35_chip_base_weights", f"SELECT symbol, date, has_broker, has_sbl, has_margin, {TIER8} AS tier, {', '.join(f'{e} AS w_{k}' for k, e in W8.items())} FROM chipr_p", " ".join(f"w_{k}" for k in W8))
 def _(p):
-    d = sc.broker_inputs(p.brokers()).groupBy("date").agg((F.count_if(C("lead_days") > 0) > 0).alias("has_broker"))
-    w, tier = sc.CHIP_WEIGHTS[(True, True, True)]
-    return d.select("date", "has_broker", F.lit(tier).alias("tier"), F.lit(w["consec"]).alias("consec"))
+    w, tier = sc.chip_tier("momentum")
+    return chip_panel(p).select("symbol", "date", "has_broker", "has_sbl", "has_margin", tier.alias("tier"), *[e.alias(f"w_{k}") for k, e in w.items()])
 
 
 # -- fundamental twins ----------------------------------------------------------------

@@ -66,6 +66,21 @@ class Panels:
             made[key] = path
         return self.spark.read.parquet(made[key])
 
+    def panel(self, name: str, build) -> DataFrame:
+        """A panel stored once for each version of the tables, dealt to buckets by symbol and sorted by symbol and date:
+        grouping, windows and joins by symbol read it without an exchange.  Raw rows are read once per version."""
+        key = (self.root, f"panel {name}", self.version())
+        made = self.spark.__dict__.setdefault("_panelwright_shared", {})
+        if key not in made:
+            table = f"panelwright_{name}_{uuid.uuid4().hex}"
+            path = f"{shared_folder(self.spark)}/derived/{table}"
+            n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            df = build()
+            order = [c for c in ("symbol", "date") if c in df.columns]
+            df.repartition(n, "symbol").write.bucketBy(n, "symbol").sortBy(*order).option("path", path).saveAsTable(table)
+            made[key] = table
+        return self.spark.table(made[key])
+
     # -- raw lines ---------------------------------------------------------
 
     def lines(self) -> DataFrame:
@@ -86,6 +101,9 @@ class Panels:
         )
 
     def _bars(self, grain: str) -> DataFrame:
+        return self.panel(f"bars_{grain}", lambda: self._build_bars(grain))
+
+    def _build_bars(self, grain: str) -> DataFrame:
         px = F.col("l_extendedprice") / F.col("l_quantity")
         tie = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
         return (
@@ -109,7 +127,7 @@ class Panels:
         return self._bars("day")
 
     def closes(self, grain: str = "week") -> DataFrame:
-        """(symbol, date, close, volume) only: a narrower aggregation than ``bars``."""
+        """(symbol, date, close, volume) only."""
         return self._bars(grain).select("symbol", "date", "close", "volume")
 
     def index(self, grain: str = "week") -> DataFrame:
@@ -150,6 +168,9 @@ class Panels:
 
     def flow_long(self) -> DataFrame:
         """Investor net per (symbol, date, investor)."""
+        return self.panel("flow_long", self._build_flow_long)
+
+    def _build_flow_long(self) -> DataFrame:
         net = F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity"))
         inv = lookup(F.col("o_orderpriority"), PRIORITY_TO_INVESTOR, "other")
         return (
@@ -160,17 +181,13 @@ class Panels:
 
     def flows(self) -> DataFrame:
         """Wide investor nets per (symbol, date), missing investors as 0."""
-        net = F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity"))
-        inv = lookup(F.col("o_orderpriority"), PRIORITY_TO_INVESTOR, "other")
-        part = lambda k: F.coalesce(F.sum(F.when(inv == k, net)), F.lit(0.0)).alias(f"{k}_net")
-        return (
-            self._lines_orders()
-            .groupBy("symbol", F.col("week").alias("date"))
-            .agg(part("foreign"), part("trust"), part("dealer"), F.sum(net).alias("total_net"))
-        )
+        return self.wide().select("symbol", "date", "foreign_net", "trust_net", "dealer_net", "total_net")
 
     def wide(self) -> DataFrame:
         """Bars, investor nets and running margin balances in one aggregation pass."""
+        return self.panel("wide", self._build_wide)
+
+    def _build_wide(self) -> DataFrame:
         px = F.col("l_extendedprice") / F.col("l_quantity")
         tie = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
         q = F.col("l_quantity")
@@ -199,11 +216,17 @@ class Panels:
 
     def scan_dates(self) -> DataFrame:
         """The last trading week of every month."""
+        return self.shared("scan_dates", self._build_scan_dates)
+
+    def _build_scan_dates(self) -> DataFrame:
         w = self.lines().select(F.col("week").alias("date")).distinct()
         return w.groupBy(F.trunc("date", "month").alias("m")).agg(F.max("date").alias("date")).select("date")
 
     def brokers(self) -> DataFrame:
         """Broker trades per (symbol, date, broker)."""
+        return self.panel("brokers", self._build_brokers)
+
+    def _build_brokers(self) -> DataFrame:
         c = self.table("customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("broker"))
         sell = F.col("l_returnflag") == "R"
         q, v = F.col("l_quantity"), F.col("l_extendedprice")
@@ -221,6 +244,9 @@ class Panels:
 
     def margin(self) -> DataFrame:
         """Running open (margin) and returned (short) quantities per (symbol, date)."""
+        return self.panel("margin", self._build_margin)
+
+    def _build_margin(self) -> DataFrame:
         q = F.col("l_quantity")
         w = symbol_window().rowsBetween(Window.unboundedPreceding, 0)
         d = (
@@ -247,6 +273,9 @@ class Panels:
 
     def revenue(self) -> DataFrame:
         """Monthly revenue with month-on-month and year-on-year growth in percent."""
+        return self.panel("revenue", self._build_revenue)
+
+    def _build_revenue(self) -> DataFrame:
         rev = F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")))
         m = self.lines().groupBy("symbol", F.trunc("day", "month").alias("date")).agg(rev.alias("revenue"))
         w = symbol_window()
@@ -263,6 +292,9 @@ class Panels:
 
     def statements(self) -> DataFrame:
         """Quarterly statements per (symbol, quarter end)."""
+        return self.panel("statements", self._build_statements)
+
+    def _build_statements(self) -> DataFrame:
         q, gross = F.col("l_quantity"), F.col("l_extendedprice")
         rev = gross * (1 - F.col("l_discount"))
         part = self.table("part").select("p_partkey", "p_retailprice")
@@ -303,6 +335,9 @@ class Panels:
 
     def holding(self) -> DataFrame:
         """Holder levels per (symbol, quarter start, level): percent of quantity."""
+        return self.panel("holding", self._build_holding)
+
+    def _build_holding(self) -> DataFrame:
         c = self.table("customer").select("c_custkey", "c_acctbal")
         b = F.col("c_acctbal")
         level = (
@@ -374,6 +409,9 @@ class Panels:
 
     def trades(self) -> DataFrame:
         """Orders as closed trades of the customer's nation portfolio."""
+        return self.panel("trades", self._build_trades)
+
+    def _build_trades(self) -> DataFrame:
         o = self.table("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
         c = self.table("customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("portfolio"))
         px = F.col("l_extendedprice") / F.col("l_quantity")

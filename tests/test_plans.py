@@ -49,16 +49,6 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "l_comment" not in scan and "l_tax" not in scan
 
 
-def test_scan_without_its_risk_stage_keeps_more_rows(spark):
-    from panelwright.plans.stages import scan
-    from panelwright.sources.panels import Panels
-
-    p = Panels(spark, SF)
-    key = lambda d: {(r.symbol, r.date, r.mode) for r in d.select("symbol", "date", "mode").collect()}
-    with_stage, without = key(scan(p, 1000)), key(scan(p, 1000, risk=False))
-    assert with_stage and len(without) > len(with_stage)
-
-
 def test_derived_tables_follow_their_sources(spark, tmp_path):
     from panelwright.sources.panels import Panels
 
