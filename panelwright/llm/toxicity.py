@@ -26,7 +26,6 @@ STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "
 #: Harmless phrases around words that are often abuse.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "clown car", "pond scum", "soap scum", "sore loser rule", "stupid simple")
 LENGTHS = range(4, 11)
-MOST_TERMS = 300
 SAMPLE = 8_000
 THRESHOLD = 0.7
 
@@ -43,7 +42,7 @@ def _fold_table() -> dict[int, str | None]:
 
 
 _FOLD = _fold_table()
-_DIGITS = re.compile(r"[0134578@$]{1,3}(?=[a-z])")
+_DIGITS = re.compile(r"[0134578@$]{1,3}(?=[a-z])|(?<=[a-z])[0134578@$]{1,3}(?![a-z0-9])")
 _WORD = re.compile(r"[^\W_]+")
 _STANDS = str.maketrans(STANDS_FOR)
 
@@ -155,12 +154,14 @@ def drawn(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from the texts of the documents in a sample of the labels, `sample` of them at most (see `drawn`).
 
-    Null texts are left out. Terms: those whose rate per word in toxic rows is at least
+    Null texts are left out; of rows that repeat a doc_id one text counts, so `sample` bounds all that is gathered. Every
+    term beyond chance is used, there is no limit to their number. Terms: those whose rate per word in toxic rows is at least
     six times that in others and beyond chance (z of 8 and more by words, 5 by rows), in 5 toxic rows at least; of terms that begin alike,
     the one furthest beyond chance. With no toxic or no other rows, or no terms, all scores are the share of toxic rows.
     """
     # the sample is bounded, so it can be broadcast; its texts stay distributed
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text is not null").join(F.broadcast(drawn(labels, sample)), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     rows = stored(rows.select("text", (F.col("toxic") == 1).alias("toxic")), "labelled")
     sums = rows.mapInArrow(_counts, "term string, toxic_docs long, other_docs long, toxic_n long, other_n long").groupBy("term").agg(*(F.sum(c).alias(c) for c in ("toxic_docs", "other_docs", "toxic_n", "other_n")))
     sums = stored(sums.filter("toxic_docs >= 5 or other_docs >= 3 or term = ''"), "terms")
@@ -175,20 +176,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     d1, d0 = F.col("toxic_docs") / max(1, whole["toxic_docs"]), F.col("other_docs") / max(1, whole["other_docs"])
     z_docs = (d1 - d0) / F.sqrt((F.col("toxic_docs") + F.col("other_docs") + 1) / (whole["toxic_docs"] + whole["other_docs"]) * (1 / max(1, whole["toxic_docs"]) + 1 / max(1, whole["other_docs"])))
     found = sums.filter("term <> '' and toxic_docs >= 5").withColumn("z", z).filter((F.col("z") >= 8) & (z_docs >= 5) & (r1 >= 6 * (r0 + 0.5 / n0)))
-    found = found.orderBy(F.desc("z"), F.length("term").desc(), "term").limit(50 * MOST_TERMS).collect()
-    terms: dict[str, float] = {}
-    for r in found:
-        bare = r["term"].rstrip(" ")
-        if len(terms) < MOST_TERMS and not any(bare.startswith(t.rstrip(" ")) or t.startswith(bare) for t in terms):
-            terms[r["term"]] = float(np.log((r["toxic_n"] + 0.5) / n1 / ((r["other_n"] + 0.5) / n0)))
+    found = found.orderBy(F.desc("z"), F.length("term").desc(), "term").collect()  # words of the bounded sample
+    terms = furthest([(r["term"], float(np.log((r["toxic_n"] + 0.5) / n1 / ((r["other_n"] + 0.5) / n0)))) for r in found])
     if not terms or not whole["toxic_docs"] or not whole["other_docs"]:
         return flat
-    heads = [t for t in terms if not t.endswith(" ")]
-    inside = F.lit(False)
-    for t in heads:
-        inside = inside | F.col("term").startswith(t)
-    harmless = sums.filter(F.col("term").endswith(" ") & (F.col("toxic_docs") == 0) & (F.col("other_docs") >= 3) & inside)
-    spared = [r["term"].strip() for r in harmless.orderBy(F.desc("other_docs"), "term").limit(MOST_TERMS).collect()]
+    heads = F.array(*(F.lit(t) for t in terms if not t.endswith(" "))).cast("array<string>")
+    begins = F.array(*(F.substring("term", 1, k + 1) for k in LENGTHS))
+    harmless = sums.filter(F.col("term").endswith(" ") & (F.col("toxic_docs") == 0) & (F.col("other_docs") >= 3) & F.arrays_overlap(begins, heads))
+    spared = [r["term"].strip() for r in harmless.select("term").collect()]
     model = Model(terms, tuple(sorted({*EXCEPTIONS, *spared})))
     x = np.array([tuple(r) for r in rows.mapInArrow(_feature_rows(model), "a double, b double, c double, toxic boolean").collect()], float)
     center, spread = x[:, :3].mean(0), x[:, :3].std(0) + 1e-9
@@ -196,6 +191,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(terms, model.exceptions, tuple(center), tuple(spread), tuple(slope), bias)
 
 
+def furthest(found: list[tuple[str, float]]) -> dict[str, float]:
+    """Of terms that begin alike the first, from terms in order; a whole word counts as its beginning here."""
+    terms: dict[str, float] = {}
+    taken: set[str] = set()
+    begun: set[str] = set()
+    for term, weight in found:
+        bare = term.rstrip(" ")
+        begins = [bare[:k] for k in range(1, len(bare) + 1)]
+        if taken.isdisjoint(begins) and bare not in begun:
+            terms[term] = weight
+            taken.add(bare)
+            begun.update(begins)
+    return terms
+
+
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

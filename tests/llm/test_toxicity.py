@@ -1,9 +1,12 @@
 import random
 
+import numpy as np
+
 from panelwright.llm import toxicity
 
 
 def test_folding():
+    assert toxicity.folded("a55 cl0wn5 x2024 42") == " ass clowns x2024 42 "
     assert toxicity.folded("An 1D10T, а МОRОN; cl0wn! Çà ｔｒａｓｈ 5tup1d 2024 áb") == " an idiot a moron clown ca trash stupid 2024 ab "
 
 
@@ -40,6 +43,41 @@ def test_exception_phrases_spare_hits():
     assert hit("trash trash can trash") > hit("trash can trash") > 0
 
 
+def test_features_match_a_plain_search():
+    """Aho-Corasick against trying every term and every phrase at every place."""
+    rng = random.Random(9)
+    terms = {" trash ": 3.0, " gri": 2.0, " grimm ": 1.5, " ab": 0.5, " a ": 0.25}
+    model = toxicity.Model(terms, ("trash can", "a grimm", "grimmig"))
+    matcher = model.matcher()
+    for _ in range(300):
+        text = toxicity.folded(" ".join(rng.choice(["trash", "can", "a", "grimm", "grimmig", "abc", "xab", "Gr1m", "tr4sh"]) for _ in range(rng.randrange(12))))
+        total = 0.0
+        for term, weight in terms.items():
+            for at in range(len(text)):
+                if text.startswith(term, at):
+                    held = any(text.startswith(f" {p} ", b) and b <= at and at + len(term) <= b + len(p) + 2 for p in model.exceptions for b in range(len(text)))
+                    total += 0 if held else weight
+        n = len(text.split())
+        assert model.features(matcher, text) == (float(np.log1p(total)), min(20.0, 100 * total / max(n, 10)), float(np.log1p(n)))
+
+
+def test_all_terms_beyond_chance_are_kept(spark):
+    """More different terms than any round number, none cut; of terms that begin alike the first stays."""
+    bad = [f"{a}{b}rk" for a in ("zo", "qu", "wy", "xa", "vu", "ky", "ju", "hi", "pf", "gn") for b in ("bna", "cle", "dmi", "fto", "glu", "hra", "jne", "kli", "lpo", "mqu", "ndi", "pse", "rwa", "sto", "tvi", "vbe", "wna", "xly", "yro", "zdu", "bko", "cmi", "dru", "fwe", "gha", "hty", "jso", "knu", "lva", "mbe", "nco", "pdi")]
+    rng = random.Random(1)
+    rows = [(k, make(rng, 30, 0) + " " + " ".join(bad) if k % 2 else make(rng, 350, 0), k % 2) for k in range(400)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(train.drop("toxic"), train)
+    assert len(bad) == 320 and all(any(f" {w} ".startswith(t) for t in model.terms) for w in bad)
+    assert toxicity.furthest([(" abc", 1.0), (" ab", 2.0), (" abcd ", 3.0), (" b ", 4.0), (" bc", 5.0)]) == {" abc": 1.0, " b ": 4.0}
+
+
+def test_repeated_ids_count_once(spark):
+    train = spark.createDataFrame(rows(1), "doc_id long, text string, toxic int")
+    docs = train.drop("toxic")
+    assert toxicity.fit(docs.unionByName(docs), train) == toxicity.fit(docs, train)
+
+
 def test_edges(spark, frame):
     train = spark.createDataFrame(rows(1), "doc_id long, text string, toxic int")
     model = toxicity.fit(train.drop("toxic"), train)
