@@ -93,27 +93,30 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-_NORM = "list_filter(string_split(trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')"
-_TEMPLATES = ", ".join("({}, '{}', '{}')".format(k, name, body.replace("'", "''")) for k, (name, body) in enumerate(licenses.TEMPLATES))
-_GRAMS = "list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))"
+_SPLIT = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
+_TEMPLATES = ", ".join("({}, '{}', '{}', {}, {})".format(k, name, body.replace("'", "''"), must.split(), never.split()) for k, (name, body, must, never) in enumerate(licenses.TEMPLATES))
+_GRAMS = "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
 
 
 @query(f"""
 WITH known AS (
-  SELECT template, license, {_GRAMS} AS grams
-  FROM (SELECT template, license, {_NORM.format("body")} AS ws FROM (VALUES {_TEMPLATES}) v(template, license, body))),
-units AS (
-  SELECT DISTINCT doc_id, unit FROM (
-    SELECT doc_id, unnest(string_split(text, chr(10))) AS unit FROM documents
-    UNION ALL
-    SELECT doc_id, unnest(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n')) FROM documents)),
-sets AS (
-  SELECT doc_id, unit, {_GRAMS} AS grams FROM (SELECT doc_id, unit, {_NORM.format("unit")} AS ws FROM units) WHERE len(ws) >= 2),
+  SELECT template, license, len(ws) AS l, {_GRAMS.format("ws")} AS grams, must::VARCHAR[] AS must, never::VARCHAR[] AS never
+  FROM (SELECT *, {_SPLIT.format("body")} AS ws FROM (VALUES {_TEMPLATES}) v(template, license, body, must, never))),
+docs AS (SELECT doc_id, {_SPLIT.format("text")} AS ws FROM documents),
+pairs AS (SELECT DISTINCT doc_id, unnest({_GRAMS.format("ws")}) AS g FROM docs WHERE len(ws) > 1),
+likely AS (
+  SELECT doc_id, template FROM pairs JOIN (SELECT template, len(grams) AS m, unnest(grams) AS g FROM known) USING (g)
+  GROUP BY doc_id, template, m HAVING 3 * count(*) >= 2 * m),
+windows AS (
+  SELECT doc_id, k.*, ws[b:b + l - 1] AS own
+  FROM (SELECT d.doc_id, ws, template, unnest(range(1, len(ws))) AS b FROM docs d JOIN likely USING (doc_id)) JOIN known k USING (template)),
+sized AS (
+  SELECT *, {_GRAMS.format("own")} AS own_grams FROM windows
+  WHERE len(list_intersect(must, own)) = len(must) AND len(list_intersect(never, own)) = 0),
 shared AS (
-  SELECT s.doc_id, s.unit, k.template, k.license, len(s.grams) AS n, len(k.grams) AS m, len(list_intersect(s.grams, k.grams)) AS c
-  FROM sets s JOIN known k ON 120 * len(s.grams) >= 80 * len(k.grams) AND 80 * len(s.grams) <= 120 * len(k.grams)),
+  SELECT doc_id, license, len(grams) AS m, len(own_grams) AS n, len(list_intersect(own_grams, grams)) AS c FROM sized),
 best AS (SELECT *, 2.0::DOUBLE * c / (n + m) AS dice FROM shared WHERE 200 * c >= 80 * (n + m))
-SELECT doc_id, arg_min(license, (-dice, license)) AS license, max(dice) AS dice, count(DISTINCT unit)::BIGINT AS n_units
+SELECT doc_id, arg_min(license, (-dice, -m, license)) AS license, max(dice) AS dice, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses
 FROM best GROUP BY doc_id""")
 def op1_license_scans(spark: SparkSession, root: str) -> DataFrame:
     return licenses.scan(table(spark, root, "documents"), percent=80)
