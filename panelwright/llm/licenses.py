@@ -90,14 +90,15 @@ def anchors(percent: int) -> dict[str, list[int]]:
     """Bigram -> templates of which it is an anchor.
 
     A window that reaches the threshold shares at least percent / (200 - percent) of a template's bigrams, so it misses
-    fewer than the rest and one: that many of the template's rarest ones (by templates that have them) are its anchors.
+    fewer than the rest and one: that many of its bigrams are anchors, the longest ones, as they are the rarest in prose,
+    and those of more than eight templates last.
     """
     own = [grams_of(words_of(body)) for _, body, _, _ in TEMPLATES]
     common = Counter(g for gs in own for g in gs)
     out: dict[str, list[int]] = {}
     for k, gs in enumerate(own):
         least = ceil(percent * len(gs) / (200 - percent))
-        for g in sorted(gs, key=lambda g: (common[g], g))[: len(gs) - least + 1]:
+        for g in sorted(gs, key=lambda g: (common[g] > 8, -len(g), g))[: len(gs) - least + 1]:
             out.setdefault(g, []).append(k)
     return out
 
