@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -405,3 +408,84 @@ def bootstrap(trades: DataFrame, key, sims: int, initial: float = 1.0, seed: int
     s = s.withColumn("ret", C("g") if log else (F.exp("g") - 1) * initial)
     q = lambda p: F.percentile("ret", F.lit(p))  # one value per simulation
     return s.groupBy(*ks).agg(q(0.05).alias("p5"), q(0.5).alias("p50"), q(0.95).alias("p95"), F.count(F.lit(1)).alias("n_sims"))
+
+
+#: Trades whose paths are computed at once, for all simulations.
+PATH_BLOCK = 512
+
+
+def _uniform(key: np.ndarray, sims: int, seed: int) -> np.ndarray:
+    """`draw` for every key (rows) and simulation (columns)."""
+    sim = np.arange(sims, dtype=np.int64)
+    a = ((key % RING) * 1103515245)[:, None] + sim * 40503 + seed
+    b = (a % RING) * 48271 % RING
+    return ((b + sim * 7919 + (b & 65535) * 31) * 69621 % RING) / float(RING)
+
+
+def _path(trade_id: np.ndarray, g: np.ndarray, r: np.ndarray, sims: int, seed: int) -> np.ndarray:
+    """State of a run of trades in every simulation: sum, highest and lowest point and largest drop of the path of log
+    growth after each draw, number of draws, sum and sum of squares of the returns."""
+    m = np.searchsorted(poisson_steps(), _uniform(trade_id, sims, seed), "right").astype(float)
+    step = m * g[:, None]
+    end = np.cumsum(step, axis=0)
+    begin, drawn, loss = end - step, m > 0, (g < 0)[:, None]
+    high = np.where(drawn, begin + np.where(loss, g[:, None], step), -np.inf)
+    low = np.where(drawn, begin + np.where(loss, step, g[:, None]), np.inf)
+    before = np.vstack([np.full((1, sims), -np.inf), np.maximum.accumulate(high, axis=0)[:-1]])
+    drop = np.maximum(np.where(drawn & loss, (m - 1) * -g[:, None], 0.0), np.where(drawn & np.isfinite(before), before - low, 0.0))
+    return np.stack([end[-1], high.max(0), low.min(0), drop.max(0), m.sum(0), (m * r[:, None]).sum(0), (m * r[:, None] ** 2).sum(0)])
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The state of one run after another."""
+    fall = np.where(np.isfinite(a[1]) & np.isfinite(b[2]), a[1] - (a[0] + b[2]), 0.0)
+    return np.stack([a[0] + b[0], np.maximum(a[1], a[0] + b[1]), np.minimum(a[2], a[0] + b[2]), np.maximum(np.maximum(a[3], b[3]), fall), *(a[4:] + b[4:])])
+
+
+def bootstrap_paths(trades: DataFrame, key: str, sims: int, seed: int = 42) -> DataFrame:
+    """K3: P5 / P50 / P95 of log growth, largest drawdown in percent and Sharpe ratio over resampled paths of trades.
+
+    A path draws every trade a Poisson(1) number of times, in one random order of the trades. Trades are dealt out by
+    ranges of that order, so a portfolio with very many is in many tasks; a task turns its run into one small state for
+    each portfolio and simulation, and the states of a portfolio, one a task, are joined in order.
+    """
+    kind = trades.schema[key].dataType.simpleString()
+    order = (C("trade_id") % RING * 48271 + seed) % RING
+    growth = F.log1p(F.greatest(C("return_pct"), F.lit(-0.999)))
+    d = trades.where(C("return_pct").isNotNull()).select(key, order.alias("o"), C("trade_id").cast("long").alias("trade_id"), growth.alias("g"), C("return_pct").cast("double").alias("r"))
+    d = d.repartitionByRange(key, "o", "trade_id").sortWithinPartitions(key, "o", "trade_id").select(key, F.spark_partition_id().alias("part"), "trade_id", "g", "r")
+
+    def runs(batches):
+        now, part, state = None, None, None
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            ids, g, r = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 4))
+            at = 0
+            while at < len(keys):
+                to = at + 1
+                while to < len(keys) and to - at < PATH_BLOCK and keys[to] == keys[at]:
+                    to += 1
+                own = _path(ids[at:to], g[at:to], r[at:to], sims, seed)
+                if state is not None and keys[at] != now:
+                    yield pa.RecordBatch.from_pylist([{key: now, "part": part, "state": state.ravel().tolist()}], schema)
+                    state = None
+                now, part, state = keys[at], batch.column(1)[at].as_py(), own if state is None else _joined(state, own)
+                at = to
+        if state is not None:
+            yield pa.RecordBatch.from_pylist([{key: now, "part": part, "state": state.ravel().tolist()}], schema)
+
+    def whole(table):
+        states = sorted(zip(table["part"].to_pylist(), table["state"].to_pylist(), strict=True))
+        s = reduce(_joined, (np.array(x).reshape(7, sims) for _, x in states))
+        n = np.maximum(s[4], 1)
+        mean = s[5] / n
+        sd = np.sqrt(np.maximum(s[6] / n - mean * mean, 0))
+        sharpe = np.divide(mean, sd, out=np.zeros(sims), where=sd > 1e-9)
+        values = {"": s[0], "drawdown_": -np.expm1(-s[3]) * 100, "sharpe_": sharpe}
+        out = {f"{name}p{q}": [float(np.percentile(v, q))] for name, v in values.items() for q in (5, 50, 95)}
+        return pa.table({key: table[key].slice(0, 1), **out, "n_sims": [sims]})
+
+    schema = pa.schema([(key, pa.int64() if kind == "bigint" else pa.string() if kind == "string" else pa.int32()), ("part", pa.int32()), ("state", pa.list_(pa.float64()))])
+    states = d.mapInArrow(runs, f"`{key}` {kind}, part int, state array<double>")
+    names = ", ".join(f"{name}p{q} double" for name in ("", "drawdown_", "sharpe_") for q in (5, 50, 95))
+    return states.groupBy(key).applyInArrow(whole, f"`{key}` {kind}, {names}, n_sims long")

@@ -58,14 +58,21 @@ def _(p):
 STEPS = " + ".join(f"(u >= {c!r})::INT" for c in rk.poisson_steps())
 
 
-@plan("k03_bootstrap_returns", f"""SELECT portfolio, quantile_cont(r, 0.05) AS p5, quantile_cont(r, 0.5) AS p50, quantile_cont(r, 0.95) AS p95, count(*) AS n_sims
-FROM (SELECT portfolio, sim, sum(g * ({STEPS})) AS r
-  FROM (SELECT *, {rk.draw('trade_id', 'sim', 42)} AS u
-    FROM (SELECT portfolio, trade_id::BIGINT AS trade_id, ln(1 + greatest(exit_price / entry_price - 1, -0.999)) AS g FROM trades_p), range(200) t(sim))
-  GROUP BY 1, 2) GROUP BY 1""", "p5 p50 p95")
+Q3 = lambda x, n: f"quantile_cont({x}, 0.05) AS {n}p5, quantile_cont({x}, 0.5) AS {n}p50, quantile_cont({x}, 0.95) AS {n}p95"
+
+
+@plan("k03_bootstrap_returns", f"""SELECT portfolio, {Q3('growth', '')}, {Q3('drawdown', 'drawdown_')}, {Q3('sharpe', 'sharpe_')}, count(*) AS n_sims FROM (
+  SELECT portfolio, sim, sum(step) AS growth, (1 - exp(-max(falls))) * 100 AS drawdown,
+    CASE WHEN greatest(sum(m * r * r) / greatest(sum(m), 1) - pow(sum(m * r) / greatest(sum(m), 1), 2), 0) > 1e-18 THEN sum(m * r) / greatest(sum(m), 1) / sqrt(sum(m * r * r) / greatest(sum(m), 1) - pow(sum(m * r) / greatest(sum(m), 1), 2)) ELSE 0 END AS sharpe FROM (
+    SELECT *, CASE WHEN m = 0 THEN 0 ELSE greatest(CASE WHEN g < 0 THEN (m - 1) * -g ELSE 0 END, coalesce(max(high) OVER (PARTITION BY portfolio, sim ORDER BY o, trade_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - low, 0)) END AS falls FROM (
+      SELECT *, CASE WHEN m > 0 THEN cum - step + CASE WHEN g < 0 THEN g ELSE step END END AS high, CASE WHEN m > 0 THEN cum - step + CASE WHEN g < 0 THEN step ELSE g END END AS low FROM (
+        SELECT *, sum(step) OVER (PARTITION BY portfolio, sim ORDER BY o, trade_id ROWS UNBOUNDED PRECEDING) AS cum FROM (SELECT *, g * m AS step FROM (
+          SELECT *, {STEPS} AS m FROM (SELECT *, {rk.draw('trade_id', 'sim', 42)} AS u, (trade_id % {rk.RING} * 48271 + 42) % {rk.RING} AS o
+            FROM (SELECT portfolio, trade_id::BIGINT AS trade_id, exit_price / entry_price - 1 AS r, ln(1 + greatest(exit_price / entry_price - 1, -0.999)) AS g FROM trades_p), range(200) t(sim)))))))
+  GROUP BY 1, 2) GROUP BY 1""", " ".join(f"{n}p{q}" for n in ("", "drawdown_", "sharpe_") for q in (5, 50, 95)))
 def _(p):
     t = p.trades().withColumn("return_pct", C("exit_price") / C("entry_price") - 1)
-    return rk.bootstrap(t, "portfolio", 200, log=True)
+    return rk.bootstrap_paths(t, "portfolio", 200)
 
 
 cte("dd_p", "SELECT portfolio, max(capital) AS peak, arg_max(capital, date) AS last FROM snapshots_p GROUP BY 1")
