@@ -30,7 +30,8 @@ def oracle(body: str, digits: dict[str, int] | None = None) -> str:
     body = body.strip().rstrip(";")
     seen: dict[str, None] = {}
     _collect(body, seen)
-    ctes = [f"{n} AS ({CTES[n]})" for n in seen]
+    kept = "/*MATERIALIZED*/"
+    ctes = [f"{n} AS MATERIALIZED ({CTES[n].removeprefix(kept)})" if CTES[n].startswith(kept) else f"{n} AS ({CTES[n]})" for n in seen]
     if digits:
         rep = ", ".join(f"{rnd_sql(c, d)} AS {c}" for c, d in digits.items())
         body = f"SELECT * REPLACE ({rep}) FROM (\n{body}\n)"

@@ -278,16 +278,24 @@ def _(p):
     return report(p).select("symbol", "fundamental_score")
 
 
-BLEND = {"technical_score": 0.3, "chip_score": 0.3, "fundamental_score": 0.25}
+BLEND = {"technical_score": 0.3, "chip_score": 0.3, "fundamental_score": 0.25, "model_score": 0.15}
+cte("repm_p", "SELECT r.*, coalesce(probability_up, 0.5) AS model_score, technical_score * 0.3 + chip_score * 0.3 + fundamental_score * 0.25 + coalesce(probability_up, 0.5) * 0.15 AS composite FROM rep_p r LEFT JOIN mlscore_p m ON m.symbol = r.symbol")
 
 
-@plan("i42_report_composite", "SELECT symbol, technical_score * 0.3 + chip_score * 0.3 + fundamental_score * 0.25 + 0.5 * 0.15 AS composite FROM rep_p", "composite")
+def blended(p):
+    """The report with the stored model's probability; names without enough history are neutral."""
+    from .ml import model_score
+
+    d = report(p).join(model_score(p).select("symbol", C("probability_up").alias("model_score")), "symbol", "left").withColumn("model_score", sc.half("model_score"))
+    return d.withColumn("composite", sum((C(k) * w for k, w in BLEND.items()), F.lit(0.0)))
+
+
+@plan("i42_report_composite", "SELECT symbol, model_score, composite FROM repm_p", "model_score composite")
 def _(p):
-    """The model score is neutral (0.5) here; pass the probability of the pooled model to replace it."""
-    return report(p).select("symbol", (sum((C(k) * w for k, w in BLEND.items()), F.lit(0.0)) + 0.5 * 0.15).alias("composite"))
+    return blended(p).select("symbol", "model_score", "composite")
 
 
-@plan("i56_report_run", "SELECT symbol, date, technical_score, chip_score, fundamental_score, composite, row_number() OVER (ORDER BY composite DESC, symbol) AS rank FROM (SELECT *, round(technical_score * 0.3 + chip_score * 0.3 + fundamental_score * 0.25 + 0.5 * 0.15, 9) AS composite FROM rep_p)", "technical_score chip_score fundamental_score composite")
+@plan("i56_report_run", "SELECT symbol, date, technical_score, chip_score, fundamental_score, model_score, composite, row_number() OVER (ORDER BY composite DESC, symbol) AS rank FROM (SELECT * REPLACE (round(composite, 9) AS composite) FROM repm_p)", "technical_score chip_score fundamental_score model_score composite")
 def _(p):
-    d = report(p).withColumns({"composite": F.round(sum((C(k) * w for k, w in BLEND.items()), F.lit(0.0)) + 0.5 * 0.15, 9), "_g": F.lit(1)})
+    d = blended(p).withColumns({"composite": F.round("composite", 9), "_g": F.lit(1)})
     return p.pool.row_rank(d, "_g", "composite", "rank").drop("_g")
