@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.regime import FLAGS, step
 from ..sources.tables import insert_update, write_partitions
@@ -58,6 +59,112 @@ def regime_state(states: DataFrame) -> DataFrame:
     )
 
 
+class _Regime(StatefulProcessor):
+    """One market: its last date, regime and pending count."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("regime", "last date, regime string, pending long")
+
+    def handleInitialState(self, key: tuple, initial: pd.DataFrame, timers: object) -> None:
+        r = initial.iloc[-1]
+        self.state.update((r["date"], r["regime"], int(r["pending"])))
+
+    def handleInputRows(self, key: tuple, batches: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:
+        last, now, pending = self.state.get() if self.state.exists() else (None, None, 0)
+        out = []
+        for r in pd.concat(list(batches)).sort_values("date").to_dict("records"):
+            if last is None or r["date"] > last:
+                now, pending = step(now, pending, r["regime"], r)
+                last = r["date"]
+                out.append((key[0], last, r["regime"], now, pending))
+        self.state.update((last, now, pending))
+        yield pd.DataFrame(out, columns=["market", "date", "raw_regime", "regime", "pending"])
+
+
+def regime_stream(states: DataFrame, initial: DataFrame) -> DataFrame:
+    """N1 that goes on from batch results: ``initial`` has market, date, regime and pending of each market's last known date.
+
+    Rows of dates up to the last one are ignored, so what was delivered before changes nothing.
+    """
+    cols = states.select("market", "date", "regime", *FLAGS).groupBy("market")
+    return cols.transformWithStateInPandas(
+        _Regime(), "market string, date date, raw_regime string, regime string, pending long", "append", "none",
+        initial.select("market", "date", "regime", "pending").groupBy("market"))
+
+
+class _RecentDays(StatefulProcessor):
+    """One (symbol, type): the counts of its last closed days, and the last of them."""
+
+    def __init__(self, factor: float, rows: int) -> None:
+        self.factor, self.rows = factor, rows
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("days", "last date, counts array<long>")
+
+    def handleInputRows(self, key: tuple, batches: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:
+        last, counts = self.state.get() if self.state.exists() else (None, [])
+        counts, out = list(counts), []
+        for r in pd.concat(list(batches)).sort_values("date").to_dict("records"):
+            if last is not None and r["date"] <= last:
+                continue  # a day that was closed before: sent again, or late
+            mean = sum(counts) / len(counts) if counts else 0.0
+            if mean > 0 and r["n"] >= mean * self.factor:
+                out.append((r["date"], *key, int(r["n"]), mean))
+            last, counts = r["date"], [*counts, int(r["n"])][-self.rows :]
+        self.state.update((last, counts))
+        yield pd.DataFrame(out, columns=["date", "symbol", "event_type", "n", "avg_n"])
+
+
+def spike_stream(days: DataFrame, factor: float = 2.0, rows: int = 10) -> DataFrame:
+    """Alerts on a stream of closed days (date, symbol, event_type, n), from each name's last days in state alone.
+
+    A day that comes after a later one of its name, or again, is ignored.
+    """
+    cols = days.select("date", "symbol", "event_type", "n").groupBy("symbol", "event_type")
+    return cols.transformWithStateInPandas(_RecentDays(factor, rows), "date date, symbol long, event_type string, n long, avg_n double", "append", "none")
+
+
+class _Equity(StatefulProcessor):
+    """One portfolio: its last date, its capital then and its first capital."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("equity", "last date, capital double, first double")
+
+    def handleInputRows(self, key: tuple, batches: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:
+        last, capital, first = self.state.get() if self.state.exists() else (None, None, None)
+        out = []
+        for r in pd.concat(list(batches)).sort_values("date").to_dict("records"):
+            if last is not None and r["date"] <= last:
+                continue
+            now = float(r["capital"])
+            first = now if first is None else first
+            out.append((key[0], r["date"], now, None if not capital else now / capital - 1, now / first - 1 if first else None))
+            last, capital = r["date"], now
+        self.state.update((last, capital, first))
+        yield pd.DataFrame(out, columns=["portfolio", "date", "capital", "daily_return_pct", "cum_return_pct"])
+
+
+def snapshot_stream(capital: DataFrame) -> DataFrame:
+    """Daily and cumulative returns of (portfolio, date, capital), against the values kept in state."""
+    cols = capital.select("portfolio", "date", "capital").groupBy("portfolio")
+    return cols.transformWithStateInPandas(_Equity(), "portfolio long, date date, capital double, daily_return_pct double, cum_return_pct double", "append", "none")
+
+
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def drained(spark: SparkSession, start: Callable[[], DataFrame], sink: Callable[[DataFrame, int], None] | str, checkpoint: str) -> None:
+    """Run a stream over all files that are there, into a folder or a batch writer, with state in RocksDB."""
+    before = spark.conf.get(STORE[0], None)
+    spark.conf.set(*STORE)
+    try:
+        w = start().writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        q = w.format("parquet").start(sink) if isinstance(sink, str) else w.foreachBatch(sink).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(STORE[0], before) if before else spark.conf.unset(STORE[0])
+
+
 def daily_activity(events: DataFrame, lateness: str = "1 day") -> DataFrame:
     """Event counts per (symbol, type, day), emitted once the watermark passes the day."""
     e = events.select(C("ts").cast("timestamp").alias("ts"), C("user_id").alias("symbol"), "event_type", "value")
@@ -95,9 +202,12 @@ def alert_sink(history: str, alerts: str, factor: float = 2.0, rows: int = 10) -
     return write
 
 
-def upsert_sink(path: str, keys: list[str], by: str = "date", order: str | None = None) -> Callable[[DataFrame, int], None]:
+def upsert_sink(path: str, keys: list[str], by: str = "date", order: str | None = None, stream: str | None = None) -> Callable[[DataFrame, int], None]:
     """foreachBatch writer that upserts by key.
 
+    With ``stream``, a name that is the checkpoint's own, an epoch that was written whole leaves a marker, and its replay
+    is skipped. The epoch's folder goes once its partitions are in place.
+
     The partitions that a batch touches are read, merged with it (its last row by ``order`` wins) and written to a
     folder of the epoch; then they replace the old ones.  A batch that is replayed gives the same table, and rows of
     the same date from other batches stay.
@@ -110,6 +220,9 @@ def upsert_sink(path: str, keys: list[str], by: str = "date", order: str | None
         columns = [c for c in batch.columns if c != order]
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+        marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}_commits/{stream}/{epoch}") if stream else None
+        if marker and fs.exists(marker):
+            return
         if fs.exists(target):
             kind = batch.schema[by].dataType
             old = spark.read.parquet(path).withColumn(by, C(by).cast(kind)).join(batch.select(by).distinct(), by, "left_semi").select(*columns)
@@ -118,6 +231,9 @@ def upsert_sink(path: str, keys: list[str], by: str = "date", order: str | None
         staged = f"{path.rstrip('/')}_epochs/{epoch}"
         insert_update(old, batch, keys, columns, order).write.mode("overwrite").parquet(staged)
         write_partitions(spark.read.parquet(staged), path, by)
+        if marker:
+            fs.create(marker, True).close()
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(staged), True)
 
     return write
 

@@ -87,3 +87,82 @@ def test_freshness_sink_alerts(spark):
 
 def test_checkpoint_dir_reads_the_session(spark):
     assert jobs.checkpoint_dir(spark, "x", "/tmp/f").endswith("/x")
+
+
+def files_of(spark, path, schema):
+    return lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def add(spark, rows, schema, path):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_regime_stream_goes_on_from_batch_and_from_its_checkpoint(spark, tmp_path):
+    states = raw_states(spark)
+    pdf, schema = states.toPandas().sort_values("date"), states.schema
+    want = rg.hysteresis(spark.createDataFrame(pdf, schema)).orderBy("date").toPandas()
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    initial = spark.createDataFrame(want[["market", "date", "regime", "pending"]].iloc[119:120])
+    cuts = [120, 200, len(pdf)]
+    for a, b in zip(cuts, cuts[1:]):
+        add(spark, pdf.iloc[a - 30 : b], schema, src)  # dates that are known already come again
+        jobs.drained(spark, lambda: jobs.regime_stream(files_of(spark, src, schema)(), initial), out, ck)
+    jobs.drained(spark, lambda: jobs.regime_stream(files_of(spark, src, schema)(), initial), out, ck)
+    got = spark.read.parquet(out).orderBy("date").toPandas()
+    pd.testing.assert_frame_equal(got[["date", "raw_regime", "regime", "pending"]], want[["date", "raw_regime", "regime", "pending"]].iloc[120:].reset_index(drop=True))
+
+
+def test_alert_state_holds_the_last_ten_days(spark, tmp_path):
+    counts = [10, 30, 10, 10, 10, 10, 10, 10, 10, 10, 10, 10, 24, 10, 60]
+    schema = "date date, symbol long, event_type string, n long"
+    rows = [(dt.date(2024, 1, 1 + k), s, "view", n * s) for k, n in enumerate(counts) for s in (1, 2)]
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    for a, b in ((0, 9), (6, 20), (14, 30)):
+        add(spark, rows[a:b], schema, src)
+        jobs.drained(spark, lambda: jobs.spike_stream(files_of(spark, src, schema)()), out, ck)
+    add(spark, [(dt.date(2024, 1, 3), 1, "view", 999)], schema, src)  # a day that was closed long ago
+    jobs.drained(spark, lambda: jobs.spike_stream(files_of(spark, src, schema)()), out, ck)
+    want = jobs.spikes(spark.createDataFrame(rows, schema)).select("date", "symbol", "event_type", "n", "avg_n")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(spark.read.parquet(out)) == key(want) and want.count() == 6
+
+
+def test_snapshots_survive_a_restart_and_a_stop_between_writes(spark, tmp_path, monkeypatch):
+    schema = "portfolio long, date date, capital double"
+    rows = [(p, dt.date(2024, 1, 1 + k), 100.0 * p + k * k) for k in range(6) for p in (1, 2)]
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    add(spark, rows[:6], schema, src)
+    stream = lambda: jobs.snapshot_stream(files_of(spark, src, schema)())
+    sink = jobs.upsert_sink(out, ["portfolio", "date"], stream="one")
+    real, stop = jobs.write_partitions, []
+
+    def once(*a, **k):
+        if not stop:
+            stop.append(1)
+            raise RuntimeError("stopped between the two writes")
+        return real(*a, **k)
+
+    monkeypatch.setattr(jobs, "write_partitions", once)
+    try:
+        jobs.drained(spark, stream, sink, ck)
+    except Exception as e:
+        assert "stopped between" in str(e)
+    assert stop
+    jobs.drained(spark, stream, sink, ck)
+    add(spark, rows[4:], schema, src)
+    jobs.drained(spark, stream, sink, ck)
+    jobs.drained(spark, stream, sink, ck)
+    got = {(r.portfolio, r.date.day - 1): (r.capital, r.daily_return_pct, r.cum_return_pct) for r in spark.read.parquet(out).collect()}
+    at = lambda p, k: 100.0 * p + k * k
+    assert got == {(p, k): (at(p, k), None if k == 0 else at(p, k) / at(p, k - 1) - 1, at(p, k) / at(p, 0) - 1) for p in (1, 2) for k in range(6)}
+    assert not list((tmp_path / "out_epochs").glob("*")) and len([x for x in (tmp_path / "out_commits" / "one").iterdir() if x.suffix != ".crc"]) == 2
+
+
+def test_a_marked_epoch_is_not_written_again(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "portfolio int, date date, capital double"
+    write = jobs.upsert_sink(path, ["portfolio", "date"], stream="s")
+    write(spark.createDataFrame([(1, dt.date(2024, 1, 1), 5.0)], schema), 0)
+    write(spark.createDataFrame([(1, dt.date(2024, 1, 1), 9.0)], schema), 0)
+    assert [r.capital for r in spark.read.parquet(path).collect()] == [5.0]
+    jobs.upsert_sink(path, ["portfolio", "date"], stream="other")(spark.createDataFrame([(1, dt.date(2024, 1, 1), 9.0)], schema), 0)
+    assert [r.capital for r in spark.read.parquet(path).collect()] == [9.0]
