@@ -129,8 +129,9 @@ def turns_of_json(records: DataFrame, json_col: str, keep: list[str]) -> DataFra
     """keep, fingerprint, mapping, turns for a column of JSON records of mixed layouts.
 
     Null, malformed and non-object records, and layouts that no mapping names, have mapping null and no turns. Fields
-    that no mapping names are ignored.
+    that no mapping names are ignored. Kept columns that are named as a result, or `_record`, give way to it.
     """
+    keep = [c for c in keep if c not in ("_record", "fingerprint", "mapping", "turns")]
     record = F.try_parse_json(F.col(json_col))
     out = records.select(*keep, record.alias("_record")).withColumn("fingerprint", fingerprint(paths(F.col("_record"))))
     names = F.create_map(*(F.lit(x) for pair in BY_FINGERPRINT.items() for x in pair))

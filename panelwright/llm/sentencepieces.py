@@ -182,10 +182,11 @@ def encode(docs: DataFrame, path: str, keep: list[str], text_col: str = "text",
 
     round_trip: the text's own ids, decoded by the model's pieces, give its bytes. parity: sentencepiece gives the same ids; it is checked for the rows whose
     text hashes to a multiple of `audit` (1: all, 0: none) and null for the others. Null text counts as empty and has no
-    ids. Rows are encoded each alone, so null or repeated ids don't matter. Only the columns in `keep` are carried. No
-    rows give no rows.
+    ids. Rows are encoded each alone, so null or repeated ids don't matter. Only the columns in `keep` are carried; those
+    named as a result give way to it. No rows give no rows.
     """
     data = docs.sparkSession.sparkContext.broadcast(V.contents(path))
+    keep = [c for c in keep if c not in ("ids", "parity", "round_trip")]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(*keep, text.alias("text_"), F.abs(F.hash(text).cast("long")).alias("audit_"))
     names = [*keep, "ids", "parity", "round_trip"]
@@ -194,7 +195,8 @@ def encode(docs: DataFrame, path: str, keep: list[str], text_col: str = "text",
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
-    """Adds decoded, the text of the ids; null or no ids give an empty text."""
+    """Adds decoded, the text of the ids, in place of a column of that name; null or no ids give an empty text."""
+    rows = rows.drop("decoded")
     data = rows.sparkSession.sparkContext.broadcast(V.contents(path))
     names = [*rows.columns, "decoded"]
     return rows.mapInArrow(T.tidied(_decode(data, rows.columns.index(ids_col), names)), f"{_fields(rows, rows.columns)}, decoded string")

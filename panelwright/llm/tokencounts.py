@@ -67,7 +67,7 @@ class Counter:
 
 def _count(name: str, data):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = V.loaded(("count", name), lambda: Counter(name, data.value))
+        counter = V.loaded(("count", name, hash(data.value)), lambda: Counter(name, data.value))
         for batch in batches:
             counts: list[int] = []
             for i, j in T.runs(T.buffers(batch.column(1))[1], RUN_BYTES):
