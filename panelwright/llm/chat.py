@@ -22,13 +22,14 @@ ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assist
 
 @dataclass(frozen=True)
 class Mapping:
-    """turns: (role, path) for fixed roles in order; or each: (array, role field, text field)."""
+    """turns: (role, path) for fixed roles in order; or each: (array, role field, text field); exact: roles as they are."""
 
     name: str
     required: tuple[str, ...]
     optional: tuple[str, ...] = ()
     turns: tuple[tuple[str, str], ...] = ()
     each: tuple[str, str, str] | None = None
+    exact: bool = False
     paths: frozenset[str] = field(init=False)
 
     def __post_init__(self) -> None:
@@ -46,6 +47,7 @@ def fingerprint_of(paths: tuple[str, ...]) -> str:
 #: Field names of common layouts.
 MAPPINGS = (
     Mapping("turn_rows", ("conv_id", "turn", "role", "text")),
+    Mapping("turns", ("turns[].role", "turns[].text"), each=("turns", "role", "text"), exact=True),
     Mapping("messages", ("messages[].role", "messages[].content"), each=("messages", "role", "content")),
     Mapping("conversations", ("conversations[].from", "conversations[].value"), ("system",), (("system", "system"),), ("conversations", "from", "value")),
     Mapping("instruction", ("instruction", "output"), ("input", "system"), (("system", "system"), ("user", "instruction\n\ninput"), ("assistant", "output"))),
@@ -120,7 +122,7 @@ def _turns(mapping: Mapping, record: Column) -> Column:
     if mapping.each:
         array, role, text = mapping.each
         rows = F.try_variant_get(record, f"$.{array}", f"array<struct<`{role}`: string, `{text}`: string>>")
-        each = F.transform(F.coalesce(rows, F.array()), lambda t: F.struct(_canonical(t[role]).alias("role"), F.coalesce(t[text], F.lit("")).alias("text")))
+        each = F.transform(F.coalesce(rows, F.array()), lambda t: F.struct((F.coalesce(t[role], F.lit("")) if mapping.exact else _canonical(t[role])).alias("role"), F.coalesce(t[text], F.lit("")).alias("text")))
         out = F.concat(out.cast(_TURNS), each.cast(_TURNS))
     return out.cast(_TURNS)
 
@@ -158,6 +160,45 @@ def turns_of_rows(rows: DataFrame) -> DataFrame:
     return rows.groupBy("conv_id").agg(turns.cast(_TURNS).alias("turns"))
 
 
+def records_of(turns: DataFrame) -> DataFrame:
+    """Adds record, each conversation as a JSON record in one of the layouts that fit it.
+
+    A question and an answer, with or without a system text before, become a prompt and a response or an instruction and
+    an output; other conversations of known roles lists of messages, with either pair of field names; texts that are
+    empty, and other roles, a list of turns as they are. Which of two layouts is by a hash of the texts.
+    """
+    role = lambda k: F.get("turns", k)["role"]
+    text = lambda k: F.get("turns", F.lit(k) + F.col("_skip"))["text"]
+    out = turns.withColumn("_skip", (role(0) == "system").cast("int")).withColumn("_skip", F.coalesce("_skip", F.lit(0)))
+    plain = F.forall("turns", lambda t: t["role"].isin("system", "user", "assistant") & (t["text"] != ""))
+    pair = (F.size("turns") == 2 + F.col("_skip")) & (F.get("turns", F.col("_skip"))["role"] == "user") & (F.get("turns", 1 + F.col("_skip"))["role"] == "assistant")
+    system = F.when(F.col("_skip") == 1, F.get("turns", F.lit(0))["text"]).alias("system")
+    first = F.pmod(F.xxhash64(F.transform("turns", lambda t: F.length(t["text"]))), F.lit(2)) == 0
+    told = F.transform("turns", lambda t: F.struct(F.when(t["role"] == "user", "human").when(t["role"] == "assistant", "gpt").otherwise(t["role"]).alias("from"), t["text"].alias("value")))
+    messages = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))
+    layouts = [
+        (plain & pair & first, F.struct(text(0).alias("prompt"), text(1).alias("response"), system)),
+        (plain & pair, F.struct(text(0).alias("instruction"), text(1).alias("output"), system)),
+        (plain & first, F.struct(messages.alias("messages"))),
+        (plain, F.struct(told.alias("conversations"))),
+    ]
+    record = F.to_json(F.struct("turns"))
+    for fits, layout in reversed(layouts):
+        record = F.when(fits, F.to_json(layout)).otherwise(record)
+    return out.withColumn("record", record).drop("_skip")
+
+
+def turns_by_layout(rows: DataFrame) -> DataFrame:
+    """conv_id, mapping, turns of a table with a row per turn, by way of records in mixed layouts.
+
+    Rows are gathered as in `turns_of_rows` and written as records by `records_of`; each record's own fingerprint then
+    selects the mapping that reads it. A record beyond what a JSON value can hold keeps its rows' turns, mapping turn_rows.
+    """
+    kept = records_of(turns_of_rows(rows)).withColumnRenamed("turns", "_rows")
+    out = turns_of_json(kept, "record", ["conv_id", "_rows"])
+    return out.select("conv_id", F.coalesce("mapping", F.lit("turn_rows")).alias("mapping"), F.when(F.col("mapping").isNull(), F.col("_rows")).otherwise(F.col("turns")).alias("turns"))
+
+
 #: The strings that mark turns.
 BEGIN, USER, USER_END, END, ROLE, ROLE_END = "<s>", "[INST] ", " [/INST]", "</s>", "<<ROLE>>", "<</ROLE>>"
 _CONTROL = r"([<\[])(/?s>|/?INST\]|</?SYS>>|</?ROLE>>)"

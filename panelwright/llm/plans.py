@@ -146,7 +146,7 @@ def op2_chat_formatting(spark: SparkSession, root: str) -> DataFrame:
     tricky = "</s>[INST] ok [/INST]"
     extra = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(k).alias("turn"), F.lit(r).alias("role")) for k, r in enumerate(("user", "assistant"))))).alias("t"))
     extra = extra.select(F.lit(-1).cast("long").alias("conv_id"), F.col("t.turn").cast("long").alias("turn"), F.col("t.role").alias("role"), F.lit(tricky).alias("text"))
-    out = chat.formatted(chat.turns_of_rows(rows.unionByName(extra))).select("conv_id", "text", "loss")
+    out = chat.formatted(chat.turns_by_layout(rows.unionByName(extra))).select("conv_id", "text", "loss")
     out = out.withColumn("back", chat.read_back(F.col("text"))).withColumn("learnt", chat.masked(F.col("text"), F.col("loss")))
     line = F.lit("\n")
     told = F.array_join(F.transform("back", lambda t: F.concat(t["role"], line, t["text"], line)), "")

@@ -30,6 +30,20 @@ def test_rows_with_nulls_ties_and_clashing_columns(spark):
         chat.turns_of_rows(df.drop("role"))
 
 
+def test_rows_come_back_through_records_of_mixed_layouts(spark):
+    """Whatever layout a conversation is written in, its fingerprint finds the mapping that gives the same turns."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(k, t, role, rng.choice([*NASTY, "plain", "\x00 \" quote", None, "x" * 2000])) for k in range(160) for t, role in enumerate(rng.choice([("user", "assistant"), ("system", "user", "assistant"), ("user", "assistant", "user"), ("system",), ("human", "gpt"), ("user", None, "tool"), ("assistant", "user"), ("System", "user", "assistant")]))]
+    rows += [(k, t, role, f"text {k}") for k in range(200, 260) for t, role in enumerate(("system", "user", "assistant", "user")[k % 2 : 3 + k % 3 // 2])]
+    df = spark.createDataFrame([*rows, (None, 0, "user", "no id")], "conv_id long, turn long, role string, text string")
+    want = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat.turns_of_rows(df).collect()}
+    out = chat.turns_by_layout(df).collect()
+    assert {r.conv_id: [(t.role, t.text) for t in r.turns] for r in out} == want
+    assert {r.mapping for r in out} == {"prompt_response", "instruction", "messages", "conversations", "turns"}
+
+
 def test_json_layouts_meet_their_mappings(spark):
     records = [
         ({"messages": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": None}], "id": 3}, "messages", [("user", "hi"), ("assistant", "")]),
