@@ -75,12 +75,12 @@ class CrossSection:
         if not self.pooled:
             return df.withColumns({o: pr(c, by, asc) for o, (c, asc) in specs.items()})
         base = df = cut(df)
-        for o, (c, asc) in specs.items():
+        up = (F.col("n_below") + (F.col("n_eq") + 1) / 2) / F.col("n_all")
+        down = (F.col("n_all") - F.col("n_below") - F.col("n_eq") + (F.col("n_eq") + 1) / 2) / F.col("n_all")
+        for c in dict.fromkeys(c for c, _ in specs.values()):  # one pass a column, whatever is asked of it
             r = count_below(base.select(*by, c), by, c)
-            avg = (F.col("n_below") + (F.col("n_eq") + 1) / 2) / F.col("n_all")
-            if not asc:
-                avg = (F.col("n_all") - F.col("n_below") - F.col("n_eq") + (F.col("n_eq") + 1) / 2) / F.col("n_all")
-            r = r.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], F.col(c).alias("_v"), avg.alias(o))
+            outs = [(up if asc else down).alias(o) for o, (x, asc) in specs.items() if x == c]
+            r = r.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], F.col(c).alias("_v"), *outs)
             cond = F.col(c) == F.col("_v")
             for i, k in enumerate(by):
                 cond = cond & F.col(k).eqNullSafe(F.col(f"_k{i}"))
@@ -116,13 +116,15 @@ class CrossSection:
             return df.groupBy(*by).agg(*[F.percentile(c, F.lit(q)).alias(o) for o, (c, q) in specs.items()])
         df = cut(df)
         res = df.select(*by).distinct()
-        for o, (c, q) in specs.items():
+        for c in dict.fromkeys(c for c, _ in specs.values()):  # one pass a column, whatever is asked of it
             d = count_below(df.select(*by, c), by, c)
-            p = (F.col("n_all") - 1) * q
             at = lambda pos: F.max(F.when((F.col("n_below") <= pos) & (pos < F.col("n_below") + F.col("n_eq")), F.col(c)))
-            e = d.groupBy(*by).agg(at(F.floor(p)).alias("_x"), at(F.ceil(p)).alias("_y"), F.max(p - F.floor(p)).alias("_f"))
-            e = e.select(*by, (F.col("_x") + (F.col("_y") - F.col("_x")) * F.col("_f")).alias(o))
-            res = res.join(e, by, "left")
+            parts, outs = [], []
+            for k, (o, q) in enumerate((o, q) for o, (x, q) in specs.items() if x == c):
+                p = (F.col("n_all") - 1) * q
+                parts += [at(F.floor(p)).alias(f"_x{k}"), at(F.ceil(p)).alias(f"_y{k}"), F.max(p - F.floor(p)).alias(f"_f{k}")]
+                outs.append((F.col(f"_x{k}") + (F.col(f"_y{k}") - F.col(f"_x{k}")) * F.col(f"_f{k}")).alias(o))
+            res = res.join(d.groupBy(*by).agg(*parts).select(*by, *outs), by, "left")
         return res
 
     def with_quantiles(self, df: DataFrame, by, specs) -> DataFrame:

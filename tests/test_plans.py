@@ -43,10 +43,30 @@ def test_entry_runs(spark):
     assert entry.entry(spark).columns[:2] == ["symbol", "date"]
 
 
-def test_filters_and_columns_reach_the_scan(spark):
-    plan = load_plans()["e18_breakout_bonus"].run(spark, SF)._jdf.queryExecution().executedPlan().toString()
-    scan = re.search(r"FileScan parquet \[([^\]]*)\]", plan).group(1)
-    assert "l_comment" not in scan and "l_tax" not in scan
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_columns_reach_the_raw_scan(spark):
+    from panelwright.sources.panels import Panels
+
+    scan = re.search(r"FileScan parquet \[([^\]]*)\]", plan_of(Panels(spark, SF)._build_bars("week"))).group(1)
+    assert "l_comment" not in scan and "l_tax" not in scan and "l_suppkey" in scan
+
+
+def test_panels_are_read_by_column_and_without_an_exchange(spark):
+    plan = plan_of(load_plans()["e18_breakout_bonus"].run(spark, SF))
+    scan = re.search(r"FileScan parquet \S*panelwright_bars_week\S*\[([^\]]*)\]", plan).group(1)
+    assert "turnover" not in scan and "symbol" in scan
+    assert "lineitem" not in plan and "Exchange hashpartitioning(symbol" not in plan
+
+
+@pytest.mark.parametrize("name", ["i33_peer_fundamental_ranking", "i32_concept_bonus", "c14_broker_data_extended", "f12_top_stocks_from_hot_sectors", "f11_sector_scores_for_stocks", "i13_daytrade_adjusted_rank", "i38_run_scan", "k29_strategy_signals", "b18_universe"])
+def test_raw_tables_are_read_once_at_most(spark, name):
+    name = next(n for n in load_plans() if n.startswith(name.split("_")[0]))
+    plan = plan_of(load_plans()[name].run(spark, SF))
+    for table in ("lineitem", "orders", "customer"):
+        assert len(re.findall(rf"Location: \S+ ?\[[^\]]*{table}\.parquet", plan)) <= 1, table
 
 
 def test_derived_tables_follow_their_sources(spark, tmp_path):
