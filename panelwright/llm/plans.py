@@ -222,7 +222,9 @@ def op8_toxicity(spark: SparkSession, root: str) -> DataFrame:
 @query()
 def op6_masked_pseudo_likelihood(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents")
-    return pseudolikelihood.score(docs, pseudolikelihood.train(docs), words=pseudolikelihood.vocabulary(docs))
+    words = pseudolikelihood.vocabulary(docs)
+    own = pseudolikelihood.frequent(words)
+    return pseudolikelihood.score(docs, pseudolikelihood.train(docs, own=own), words=words, own=own)
 
 
 _CRC = """xor(4294967295, list_reduce([ascii(c)::BIGINT FOR c IN string_split(conv_id::VARCHAR, '')], lambda crc, byte:

@@ -1,14 +1,15 @@
 """Masked pseudo-likelihood of texts by a small bidirectional window network, trained in numpy over the whole corpus.
 
-A word falls into one of VOCABULARY buckets of its hash. The network sees the buckets of two words on either side, weighs
-their embeddings by position, and predicts the bucket in two softmax steps: its class, then its place in the class.
+The OWN most frequent words of the corpus have an output and an embedding each; any other word falls into one of the
+buckets of its hash that are left of VOCABULARY. The network sees the words or buckets of two words on either side, weighs
+their embeddings by position, and predicts the word or bucket in two softmax steps: its class, then its place in the class.
 Training is data-parallel: in each round every task starts from the same weights, takes one pass of mini-batches over its
 documents of that round and sends its weights in blocks; their means, weighted by words and formed in two steps of
 grouping, start the next round. Every document is trained on once.
 
-Which word of its bucket it is comes from a table of the corpus's words and counts, which grows with the corpus and is
+Which word of a shared bucket it is comes from a table of the corpus's words and counts, which grows with the corpus and is
 joined by word; only the words that are at least one in HOT of all, never more than HOT, are broadcast. A text's score is
-the sum over its words of log P(bucket | both sides) + log P(word | bucket).
+the sum over its words of log P(word or bucket | both sides) + log P(word | bucket); a word of its own has no second part.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from panelwright.llm.shared import stored, type_of
 
 CLASSES = 48
 VOCABULARY = CLASSES * CLASSES
+OWN = VOCABULARY * 2 // 3
 WIDTH = 16
 OFFSETS = (-2, -1, 1, 2)
 BATCH = 16384
@@ -129,13 +131,27 @@ def forward(w: dict[str, np.ndarray], context: np.ndarray, word: np.ndarray, gra
     return out
 
 
-def examples(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Without words of their own.
+NONE = np.zeros(0, np.int64)
+
+
+def buckets(hashes: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The place of each word among its own, sorted, or else a bucket after them, by its hash."""
+    out = (len(own) + ((hashes >> np.uint64(32)) % np.uint64(VOCABULARY - len(own)))).astype(np.int32)
+    if len(own):
+        word = hashes.view(np.int64)
+        place = np.minimum(np.searchsorted(own, word), len(own) - 1)
+        out = np.where(own[place] == word, place, out).astype(np.int32)
+    return out
+
+
+def examples(data: np.ndarray, at: np.ndarray, own: np.ndarray = NONE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(context, bucket, text) of every word of a run of texts."""
-    return _examples(T.words_of(data, at, _ALPHABET))
+    return _examples(T.words_of(data, at, _ALPHABET), own)
 
 
-def _examples(words: T.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    bucket, text = ((words.hash >> np.uint64(32)) % np.uint64(VOCABULARY)).astype(np.int32), words.text
+def _examples(words: T.Words, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    bucket, text = buckets(words.hash, own), words.text
     context = np.full((len(bucket), len(OFFSETS)), VOCABULARY, np.int32)
     for p, o in enumerate(OFFSETS):
         here = np.arange(max(0, -o), len(bucket) - max(0, o))
@@ -165,11 +181,12 @@ class Trainer:
 
 def _train(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer = Trainer(shaped(shared.value))
+        values, own = shared.value
+        trainer = Trainer(shaped(values))
         for batch in batches:
             data, at = T.buffers(batch.column(0))
             for i, j in T.runs(at, T.BLOCK):
-                context, word, _ = examples(data, at[i : j + 1])
+                context, word, _ = examples(data, at[i : j + 1], own)
                 trainer.take(context, word)
         if trainer.words:
             values = flat(trainer.weights)
@@ -189,15 +206,19 @@ def _mean(table: pa.Table) -> pa.Table:
     return pa.table({"block": table.column("block")[:1], "salt": pa.array([0], pa.int32()), "words": pa.array([words.sum()]), "weights": pa.array([mean], pa.binary())})
 
 
-def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> np.ndarray:
-    """Weights after one pass over all texts; null texts have no words. Without any words, the starting weights."""
+def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, own: np.ndarray = NONE) -> np.ndarray:
+    """Weights after one pass over all texts; null texts have no words. Without any words, the starting weights.
+
+    `own` are the words with an output each, as `frequent` gives them. Tasks train on their own partitions and their weights
+    are averaged, so the weights depend on how the rows are dealt out.
+    """
     spark = docs.sparkSession
     values = flat(start())
     kind = "block int, salt int, words double, weights binary"
     rows = docs.select(F.col(text_col).cast("string").alias("text")).filter("text is not null")
     for k in range(rounds):
-        own = rows.filter(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k)
-        sent = own.mapInArrow(_train(spark.sparkContext.broadcast(values)), kind)
+        part = rows.filter(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k)
+        sent = part.mapInArrow(_train(spark.sparkContext.broadcast((values, own))), kind)
         mean = sent.groupBy("block", "salt").applyInArrow(_mean, kind).groupBy("block").applyInArrow(_mean, kind)
         got = {r["block"]: np.frombuffer(r["weights"], np.float32) for r in mean.collect()}
         if got:
@@ -236,11 +257,23 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return stored(counts, "words")
 
 
-def _inside(words: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By bucket, log of what the counts of its words are divided by; the hot words, sorted, and log of their counts."""
-    bucket = F.pmod(F.shiftrightunsigned("word", 32), F.lit(VOCABULARY)).alias("bucket")
+def frequent(words: DataFrame, most: int = OWN) -> np.ndarray:
+    """The `most` words with the highest counts, ties to the smaller hash; sorted."""
+    top = words.orderBy(F.desc("n"), "word").limit(most).select("word").toArrow().column("word").to_numpy()
+    return np.sort(top.astype(np.int64))
+
+
+def _inside(words: DataFrame, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By bucket, log of what the counts of its words are divided by; the hot words, sorted, and log of their counts.
+
+    The bucket of a word of its own holds that word only, so the two cancel.
+    """
     total, seen = np.zeros(VOCABULARY), np.zeros(VOCABULARY)
-    for r in words.groupBy(bucket).agg(F.sum("n").alias("n"), F.count("*").alias("seen")).collect():
+    single = F.col("word").isin(own.tolist()) if len(own) else F.lit(False)
+    for r in words.filter(single).collect():  # OWN rows at most
+        total[np.searchsorted(own, r["word"])] = r["n"]
+    bucket = (len(own) + F.pmod(F.shiftrightunsigned("word", 32), F.lit(VOCABULARY - len(own)))).alias("bucket")
+    for r in words.filter(~single).groupBy(bucket).agg(F.sum("n").alias("n"), F.count("*").alias("seen")).collect():
         total[r["bucket"]], seen[r["bucket"]] = r["n"], r["seen"]
     hot = words.filter(F.col("n") * HOT >= int(total.sum())).toArrow()
     word, n = hot.column("word").to_numpy(), hot.column("n").to_numpy()
@@ -250,7 +283,7 @@ def _inside(words: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _score(shared, inside):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = shaped(shared.value)
+        weights, own_words = shaped(shared.value[0]), shared.value[1]
         below, hot, above = inside.value
         key = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -259,7 +292,7 @@ def _score(shared, inside):
             rare, ends = [np.zeros(0, np.int64)], np.zeros(batch.num_rows, np.int64)
             for i, j in T.runs(at, T.BLOCK):
                 words = T.words_of(data, at[i : j + 1], _ALPHABET)
-                context, bucket, text = _examples(words)
+                context, bucket, text = _examples(words, own_words)
                 for k in range(0, len(bucket), BATCH):
                     own = slice(k, k + BATCH)
                     total[i:j] += np.bincount(text[own], forward(weights, context[own], bucket[own]) - below[bucket[own]], j - i)
@@ -279,17 +312,17 @@ def _score(shared, inside):
     return run
 
 
-def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", words: DataFrame | None = None) -> DataFrame:
+def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", words: DataFrame | None = None, own: np.ndarray = NONE) -> DataFrame:
     """One row per row of `docs`: doc_id, n_words, log_likelihood (sum over words, natural log), perplexity.
 
     Words are maximal runs without ASCII white space, A-Z lower-cased. `words` is the vocabulary of the training corpus;
-    by default that of `docs`. With n occurrences of a word, N of all words of its bucket and S distinct ones,
+    by default that of `docs`; `own` are the words with an output each that the weights were trained with. With n occurrences of a word, N of all words of its bucket and S distinct ones,
     P(word | bucket) = (n + ADDED) / (N + ADDED * (2 S + 1)); n is 0 for an unseen word. Null, empty and wordless texts: 0
     words, sum 0, perplexity null. Rows are scored each alone, null or repeated ids included. Other columns are not read.
     """
     context = docs.sparkSession.sparkContext
     words = vocabulary(docs, text_col) if words is None else words
-    run = _score(context.broadcast(weights), context.broadcast(_inside(words)))
+    run = _score(context.broadcast((weights, own)), context.broadcast(_inside(words, own)))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = f"doc_id {type_of(docs, id_col)}, n_words long, inner double, key long, rare array<long>"
     # keys differ between runs of a task, so both sides of the last join read one stored copy

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from panelwright.llm import pseudolikelihood as M
 from panelwright.llm import tokens as T
@@ -103,3 +104,54 @@ def test_word_probabilities_are_those_of_the_counts(frame, monkeypatch):
                 total += np.log((counts.get(w, 0) + M.ADDED) / (sum(own) + M.ADDED * (2 * len(own) + 1)))
             expect.append((len(t.split()), total))
         assert np.allclose(got, sorted(expect), rtol=1e-5), hot
+
+
+def test_scores_match_a_plain_version(frame, monkeypatch):
+    """Each word alone, in plain Python: both softmax steps from the weights, then its share of a shared bucket."""
+    rng = np.random.default_rng(2)
+    w = {k: (v + rng.normal(0, 0.3, v.shape)).astype(np.float32) for k, v in M.start().items()}
+    texts = ["a b a c d d", "b A a e f", "g h a b b"]
+    words = M.vocabulary(frame(list(enumerate(texts))))
+    hashed = lambda t: T.words_of(*T.buffers(pa.array([t])), M._ALPHABET).hash.view(np.int64).tolist()
+    counts: dict = {}
+    for t in texts:
+        for x in hashed(t):
+            counts[x] = counts.get(x, 0) + 1
+    own = M.frequent(words, 3)
+    assert own.tolist() == sorted(sorted(counts, key=lambda x: (-counts[x], x))[:3])
+    place = lambda x: own.tolist().index(x) if x in own else len(own) + (x >> 32) % (1 << 32) % (M.VOCABULARY - len(own))
+    soft = lambda z, k: z[k] - np.log(np.exp(z).sum())
+    probe = ["a b c zz a", "zz", "", "h g f e d c b a a a b"]
+    expect = []
+    for t in probe:
+        xs, total = hashed(t), 0.0
+        for k, x in enumerate(xs):
+            hidden = w["shift"].astype(float)
+            for p, o in enumerate(M.OFFSETS):
+                hidden = hidden + w["embed"][place(xs[k + o]) if 0 <= k + o < len(xs) else M.VOCABULARY] * w["place"][p]
+            hidden = np.tanh(hidden)
+            c, inner = divmod(place(x), M.CLASSES)
+            total += soft(hidden @ w["to_class"] + w["class_bias"], c) + soft(hidden @ w["to_word"][c] + w["word_bias"][c], inner)
+            if x not in own:
+                mates = [n for y, n in counts.items() if y not in own and place(y) == place(x)]
+                total += np.log((counts.get(x, 0) + M.ADDED) / (sum(mates) + M.ADDED * (2 * len(mates) + 1)))
+        expect.append(total)
+    for hot in (1 << 16, 0):
+        monkeypatch.setattr(M, "HOT", hot)
+        got = {r.doc_id: r.log_likelihood for r in M.score(frame(list(enumerate(probe))), M.flat(w), words=words, own=own).collect()}
+        assert [got[k] for k in range(len(probe))] == pytest.approx(expect, rel=1e-4), hot
+
+
+def test_frequent_words_are_told_apart_by_their_context(spark, frame):
+    """Two frequent words in each other's places cost likelihood: what is predicted is the word, not only its bucket."""
+    rng = random.Random(8)
+    line = lambda: rng.choice(("old river runs north today .", "young meadow blooms late again ."))
+    texts = [" ".join(line() for _ in range(60)) for _ in range(3000)]
+    corpus = frame(list(enumerate(texts))).repartition(2)
+    words = M.vocabulary(corpus)
+    own = M.frequent(words)
+    weights = M.train(corpus, own=own)
+    good = texts[0]
+    swapped = good.replace("river", "?").replace("meadow", "river").replace("?", "meadow")
+    got = {r.doc_id: r.perplexity for r in M.score(frame([(1, good), (2, swapped)]), weights, words=words, own=own).collect()}
+    assert len(own) == 11 and got[1] < 0.5 * got[2]
