@@ -238,6 +238,14 @@ def ledger_states(brokers: DataFrame, recent: int = 3, only_last: bool = False)
     )
 
 
+def broker_kinds(min_win_rate: float, min_profit_factor: float, min_sell_events: int, min_buy_value: float) -> tuple[Column, Column]:
+    """Whether a ledger shows a broker that has done well, and one that accumulates."""
+    c = F.col
+    enough = c("total_buy_value") >= min_buy_value
+    smart = (c("win_rate") >= min_win_rate) & (c("profit_factor") >= min_profit_factor) & (c("sell_events") >= min_sell_events) & enough
+    return smart, (c("sell_ratio") <= 0.1) & (c("net_position") > 0) & enough & c("trend_up")
+
+
 def smart_broker_score(
     ledger: DataFrame,
     prices: DataFrame,
@@ -255,14 +263,9 @@ def smart_broker_score(
     """
     more = [by] if by else []
     c = F.col
-    smart = (
-        (c("win_rate") >= min_win_rate)
-        & (c("profit_factor") >= min_profit_factor)
-        & (c("sell_events") >= min_sell_events)
-        & (c("total_buy_value") >= min_buy_value)
-    )
-    accum = (c("sell_ratio") <= 0.1) & (c("net_position") > 0) & (c("total_buy_value") >= min_buy_value) & c("trend_up")
-    d = ledger.join(prices, [SYMBOL, *more], "inner" if by else "left")
+    smart, accum = broker_kinds(min_win_rate, min_profit_factor, min_sell_events, min_buy_value)
+    # with dates every priced name counts, and brokers of neither kind can be left out of the ledger
+    d = ledger.join(prices, [SYMBOL, *more], "right" if by else "left")
     gap = F.when((c("close") > 0) & (c("avg_cost") > 0), (c("close") - c("avg_cost")) / F.when(c("avg_cost") > 0, c("avg_cost"))).otherwise(0.0)
     z = lambda a: F.coalesce(a, F.lit(0.0))
     g = d.groupBy(SYMBOL, *more).agg(

@@ -47,12 +47,13 @@ def seen_days(p, days):
     return p.scan_dates().select(C("date").alias("scan"), F.explode(F.sequence(F.date_sub("date", days), C("date"))).alias("date"))
 
 
-def carried(p, rows, key=("symbol",)):
-    """Rows of (key, date, ...) dealt to every scan date at which they are the key's latest."""
+def carried(p, rows, key=("symbol",), only=None):
+    """Rows of (key, date, ...) dealt to every scan date at which they are the key's latest; with ``only``, those it holds for."""
     cal = market(p)
     d = rows.join(cal.select("date", "s"), "date")
     upto = F.lead("s").over(Window.partitionBy(*key).orderBy("date"))
     d = d.withColumn("_to", F.coalesce(upto, cal.agg(F.count_if("is_scan") + 1).scalar())).where(C("s") < C("_to"))
+    d = d if only is None else d.where(only)
     d = d.withColumn("s", F.explode(F.sequence(C("s"), C("_to") - 1))).drop("_to", "date")
     return d.join(cal.where("is_scan").select("s", "date"), "s").drop("s")
 
@@ -113,8 +114,11 @@ def key_players(p, top_n=3):
 
 def smart_brokers(p):
     """D9 at every scan date: each broker's ledger as it stood then, for the names that trade."""
-    states = carried(p, fl.ledger_states(p.brokers()), ("symbol", "broker"))
-    return fl.smart_broker_score(states, p.closes().select("symbol", "date", "close"), p.xs, min_win_rate=0.4, min_profit_factor=1.0, min_buy_value=50_000.0, by="date")
+    rule = {"min_win_rate": 0.4, "min_profit_factor": 1.0, "min_buy_value": 50_000.0}
+    smart, accum = fl.broker_kinds(min_sell_events=3, **rule)
+    states = carried(p, fl.ledger_states(p.brokers()), ("symbol", "broker"), smart | accum)
+    prices = p.closes().join(p.scan_dates(), "date", "left_semi").select("symbol", "date", "close")
+    return fl.smart_broker_score(states, prices, p.xs, **rule, by="date")
 
 
 def news(p):
