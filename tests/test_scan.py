@@ -43,14 +43,15 @@ def test_fixed_point_equals_the_loop_over_dates(spark):
     for mode, capped, overlaps in (("momentum", True, True), ("swing", False, True), ("value", False, False)):
         for k, d in enumerate(dates):
             low = 0.9 if (mode, k) == ("swing", 4) else 0.5
-            rows += [(n, d, mode, f"i{n % 7}", 0.6 + 0.0009 * ((n * 7 + k * 3) % 61) + rng.random() * 0.005, low, S.TOP if k % 3 else 6, capped, overlaps) for n in range(60)]
+            rows += [(n, d, mode, f"i{n % 7}", 0.6 + 0.0005 * ((n * 7 + k * 11) % 61) + rng.random() * 0.005, low, S.TOP if k % 3 else 6, capped, overlaps) for n in range(60)]
     picks, rounds = S.settled(Panels(spark, SF), spark.createDataFrame(rows, BASE))
     got = {}
     for r in picks.orderBy("rank").collect():
         got.setdefault((r.date, r["mode"]), []).append(r.symbol)
     assert got == loop(rows)
     assert 2 <= rounds <= len(dates)
-    assert not any(v == loop([(*r[:8], False) for r in rows]).get(k) for k, v in got.items() if k == (dates[1], "swing"))
+    alone = loop([(*r[:8], False) for r in rows])
+    assert sum({*v} != {*alone[k]} for k, v in got.items()) >= 5
 
 
 def test_stages_can_be_left_out(spark):
