@@ -61,6 +61,15 @@ def test_panels_are_read_by_column_and_without_an_exchange(spark):
     assert "lineitem" not in plan and "Exchange hashpartitioning(symbol" not in plan
 
 
+@pytest.mark.parametrize("build", [lambda p: p._build_bars("week"), lambda p: p._build_bars("day"), lambda p: p._build_wide()])
+def test_raw_rows_are_dealt_out_before_they_are_sorted_for_open_and_close(spark, build):
+    from panelwright.sources.panels import Panels
+
+    plan = plan_of(build(Panels(spark, SF)))
+    below = plan[plan.index("partial_min_by") :]
+    assert "Exchange hashpartitioning(symbol" in below and "partial_" not in below[below.index("Exchange hashpartitioning(symbol") :]
+
+
 @pytest.mark.parametrize("name", ["i33_peer_fundamental_ranking", "i32_concept_bonus", "c14_broker_data_extended", "f12_top_stocks_from_hot_sectors", "f11_sector_scores_for_stocks", "i13_daytrade_adjusted_rank", "i38_run_scan", "k29_strategy_signals", "b18_universe"])
 def test_raw_tables_are_read_once_at_most(spark, name):
     name = next(n for n in load_plans() if n.startswith(name.split("_")[0]))
