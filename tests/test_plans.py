@@ -88,3 +88,53 @@ def test_derived_tables_follow_their_sources(spark, tmp_path):
     assert p.shared("x", build).count() == 3 and p.version() == p.version()
     write(5)
     assert p.shared("x", build).count() == 5
+
+
+def with_conf(spark, key, value, use):
+    was = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        return use()
+    finally:
+        spark.conf.set(key, was)
+
+
+def test_panels_dealt_out_by_symbol_are_joined_by_symbol_and_date_where_they_lie(spark):
+    from panelwright.plans import scoring
+    from panelwright.sources.panels import Panels
+
+    plan = with_conf(spark, "spark.sql.autoBroadcastJoinThreshold", "20k", lambda: plan_of(scoring.build_chip_panel(Panels(spark, SF))))
+    assert "SortMergeJoin [symbol" in plan and "hashpartitioning(symbol" in plan
+    assert not re.search(r"hashpartitioning\(symbol#\w+, (date|broker|q)#", plan)
+    assert not re.search(r"hashpartitioning\(date#.*\n.*open#", plan)
+
+
+@pytest.mark.parametrize("build", [lambda p: p._build_brokers(), lambda p: p._build_holding(), lambda p: p.snapshots()])
+def test_orders_meet_customers_before_lines(spark, build):
+    from panelwright.sources.panels import Panels
+
+    plan = with_conf(spark, "spark.sql.autoBroadcastJoinThreshold", "-1", lambda: plan_of(build(Panels(spark, SF))))
+    assert plan.index("SortMergeJoin [l_orderkey") < plan.index("SortMergeJoin [o_custkey")
+
+
+def test_ledger_rows_leave_without_the_arrays_they_come_from(spark):
+    from panelwright.operators import flows as fl
+
+    b = spark.createDataFrame([(1, 2, "2020-01-06", 5.0, 1.0, 2.0, 3.0)], "symbol long, broker long, date string, buy double, sell double, buy_price double, sell_price double")
+    kept = re.findall(r"Generate explode\(.*?\), \[([^\]]*)\], false", plan_of(fl.ledger_states(b)))
+    assert kept and not any("_rows" in k or "_all" in k for k in kept)
+
+
+def test_quick_turn_penalties_of_some_dates_know_all_dates(spark):
+    from pyspark.sql import functions as F
+
+    from panelwright.operators import flows as fl
+
+    days = [f"2020-01-{d:02d}" for d in range(1, 13)]
+    rows = [(s, b, day, 10.0 + s if (i + b) % 2 else 1.0, 1.0 if (i + b) % 2 else 10.0 + s) for s in (1, 2) for b in (1, 2, 3) for i, day in enumerate(days)]
+    b = spark.createDataFrame(rows, "symbol long, broker long, date string, buy double, sell double").withColumn("date", F.col("date").cast("date"))
+    v = b.select("symbol", "date", F.lit(5.0).alias("avg_volume_20d")).distinct()
+    some = b.select("date").distinct().where("date in (date'2020-01-03', date'2020-01-11', date'2020-01-12')")
+    got = sorted(map(tuple, fl.quick_turn_penalties(b, v, [3], some).collect()))
+    assert got == sorted(map(tuple, fl.quick_turn_penalties(b, v, [3]).join(some, "date", "left_semi").select("symbol", "date", "daytrade_penalty", "has_daytrade_risk", "top_dt_brokers").collect()))
+    assert len(got) == 6 and any(r[2] > 0 for r in got)
