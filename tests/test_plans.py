@@ -138,3 +138,32 @@ def test_quick_turn_penalties_of_some_dates_know_all_dates(spark):
     got = sorted(map(tuple, fl.quick_turn_penalties(b, v, [3], some).collect()))
     assert got == sorted(map(tuple, fl.quick_turn_penalties(b, v, [3]).join(some, "date", "left_semi").select("symbol", "date", "daytrade_penalty", "has_daytrade_risk", "top_dt_brokers").collect()))
     assert len(got) == 6 and any(r[2] > 0 for r in got)
+
+
+def test_buckets_of_a_panel_grow_with_the_lines_and_change_no_row(spark, monkeypatch):
+    from panelwright.sources import panels
+
+    p = panels.Panels(spark, SF)
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # sums of doubles may differ in the last digit with the order of the rows
+    rows = lambda: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in p._build_wide().collect())
+    want = rows()
+    assert p.buckets() == usual
+    monkeypatch.setattr(panels, "BUCKET_BYTES", 5_000)
+    n = p.buckets()
+    assert n > 2 * usual
+    assert rows() == want
+    plan = with_conf(spark, "spark.sql.autoBroadcastJoinThreshold", "-1", lambda: plan_of(p._build_wide()))
+    assert set(re.findall(r"hashpartitioning\((?:symbol|l_orderkey)[^)]*, (\d+)\)", plan)) == {str(n)}
+    d = p.panel(f"buckets_{n}", p._build_wide)
+    assert f"SelectedBucketsCount: {n} out of {n}" in plan_of(d.groupBy("symbol").count())
+
+
+def test_flow_and_broker_inputs_sort_the_rows_of_a_symbol_once(spark):
+    from panelwright.operators import scoring as sc
+
+    f = spark.createDataFrame([], "symbol long, date date, foreign_net double, trust_net double, total_net double, volume double, margin_balance double, short_balance double")
+    b = spark.createDataFrame([], "symbol long, date date, broker long, buy double, sell double")
+    order = lambda d: set(re.findall(r"Sort \[(.*?)\], false", re.sub(r"#\d+L?", "", plan_of(d))))
+    assert order(sc.flow_inputs(f.repartition("symbol"))) == {"symbol ASC NULLS FIRST, date ASC NULLS FIRST"}
+    assert order(sc.broker_inputs(b.repartition("symbol"))) == {"symbol ASC NULLS FIRST, date ASC NULLS FIRST"}
