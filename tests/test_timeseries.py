@@ -103,3 +103,10 @@ def test_no_look_ahead_and_order_invariance(bars):
     a = full.where(F.col("date") <= cut).orderBy("symbol", "date").toPandas()
     b = ind.indicators(df.where(F.col("date") <= cut).repartition(7, "close")).select("symbol", "date", *cols).orderBy("symbol", "date").toPandas()
     np.testing.assert_allclose(a[cols].to_numpy(dtype=float), b[cols].to_numpy(dtype=float), rtol=1e-9)
+
+
+def test_streak_of_rows_that_share_a_date_counts_a_date_at_once(spark):
+    rows = [(1, 1, 1), (1, 2, 1), (1, 2, 0), (1, 3, 1), (1, 3, 1), (2, 1, 0), (2, None, 1)]
+    df = spark.createDataFrame(rows, "symbol int, date int, h int")
+    got = sorted(map(tuple, ts.streak(df, F.col("h") == 1, "s").select("symbol", F.coalesce("date", F.lit(0)), "h", "s").collect()))
+    assert got == [(1, 1, 1, 1), (1, 2, 0, 1), (1, 2, 1, 1), (1, 3, 1, 3), (1, 3, 1, 3), (2, 0, 1, 1), (2, 1, 0, 0)]
