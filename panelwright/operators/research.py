@@ -64,12 +64,14 @@ def spearman_by(df: DataFrame, xs: CrossSection, by: list[str], x: str, y: str)
 
 def long_factors(df: DataFrame, factors: list[str], keep: list[str]) -> DataFrame:
     cols = [C(c).cast("double").alias(c) for c in factors]
-    return df.select(*keep, *cols).unpivot(keep, factors, "factor", "value")
+    # exploded, as unpivoted rows don't lie by the columns kept any more
+    value = F.array(*[F.struct(F.lit(c).alias("factor"), C(c).alias("value")) for c in factors])
+    return df.select(*keep, *cols).withColumn("_f", F.explode(value)).select(*keep, "_f.factor", "_f.value")
 
 
 def date_ic(df: DataFrame, xs: CrossSection, factors: list[str], ret: str, date: str = DATE, min_names: int = 3) -> DataFrame:
     """Per-date Spearman of every factor: one small row per (date, factor)."""
-    d = long_factors(df, factors, [date, SYMBOL, ret])
+    d = long_factors(df.repartition(date), factors, [date, SYMBOL, ret])  # dealt out before rows are multiplied
     return spearman_by(d, xs, [date, "factor"], "value", ret).where((C("n") >= min_names) & C("ic").isNotNull())
 
 
@@ -207,11 +209,14 @@ def ablated_scores(df: DataFrame, dims: list[str], weight, score) -> DataFrame:
 
     ``weight(dim)`` and ``score(dim)`` are Columns; only dimensions with weight are removed.
     """
-    total = sum((weight(d) for d in dims), F.lit(0.0))
-    full = sum((weight(d) * score(d) for d in dims), F.lit(0.0))
-    rows = F.array(*[F.struct(F.lit(d).alias("removed"), weight(d).alias("w"), (weight(d) * score(d)).alias("ws")) for d in dims])
+    # a row's weights are looked up once
+    df = df.withColumns({f"_w_{d}": weight(d) for d in dims})
+    df = df.withColumns({f"_ws_{d}": C(f"_w_{d}") * score(d) for d in dims})
+    total = sum((C(f"_w_{d}") for d in dims), F.lit(0.0))
+    full = sum((C(f"_ws_{d}") for d in dims), F.lit(0.0))
+    rows = F.array(*[F.struct(F.lit(d).alias("removed"), C(f"_w_{d}").alias("w"), C(f"_ws_{d}").alias("ws")) for d in dims])
     rows = F.filter(rows, lambda r: r["w"] > 0)
-    d = df.withColumns({"_t": total, "_f": full}).withColumn("_r", F.explode(rows))
+    d = df.withColumns({"_t": total, "_f": full}).withColumn("_r", F.explode(rows)).drop(*[f"_{k}_{d}" for k in ("w", "ws") for d in dims])
     rest = C("_t") - C("_r.w")
     ab = F.round((C("_f") - C("_r.ws")) / F.when(rest > 1e-12, rest), 9)
     return d.withColumns({"removed": C("_r.removed"), "ablated_score": F.coalesce(ab, F.lit(0.0))}).drop("_t", "_f", "_r")
